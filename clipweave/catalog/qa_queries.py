@@ -81,7 +81,7 @@ def _(v):
 
 
 # events moved off the boundaries so that both outcomes occur
-_EV = "v_ev AS (SELECT clip_id, t_us + (k % 5) * 900000000 AS t_us, hand, kind, object FROM (SELECT t.*, o.k FROM v_transitions t JOIN v_obs o ON o.clip_id = t.clip_id AND o.t_us = t.t_us))"
+_EV = "v_ev AS (SELECT clip_id, t_us + CAST(k % 5 AS BIGINT) * 900000000 AS t_us, hand, kind, object FROM (SELECT t.*, o.k FROM v_transitions t JOIN v_obs o ON o.clip_id = t.clip_id AND o.t_us = t.t_us))"
 
 
 def moved_events(v):
