@@ -1,4 +1,4 @@
-"""Nearest-row lookup by one merge over the time order; no pairs are formed."""
+"""As-of lookups by one merge over the time order; no pairs are formed."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .ordered import Blocks, Ordered
 
 
-def nearest(
+def around(
     left: DataFrame,
     right: DataFrame,
     key: Sequence[str],
@@ -20,8 +20,9 @@ def nearest(
     ordinal: str | None = None,
     blocks: Blocks | None = None,
 ) -> DataFrame:
-    """Give each left row the ``cols`` (new name -> right column) of the right row nearest in time,
-    plus ``distance``.  On a tie the earlier right row wins, then the lower ``ordinal``."""
+    """Left rows with ``_t``, ``_before`` and ``_after``: structs (``_rt`` and ``cols``, new name ->
+    right column) of the last right row at or before and the first at or after the left time.
+    Among right rows of one time the lowest ``ordinal`` wins."""
     key = list(key)
     payload = F.struct(F.col(rt).alias("_rt"), *[F.col(c).alias(n) for n, c in cols.items()])
     orow = F.col(ordinal).cast("long") if ordinal else F.lit(0).cast("long")
@@ -36,10 +37,25 @@ def nearest(
     both = lefts.unionByName(rights).withColumn("_back", -F.col("_t"))
     both = Ordered(key, ["_t", "_side", "_nord"], blocks).running(both, {"_before": ("last", "_r")})
     both = Ordered(key, ["_back", "_side", "_nord"], blocks).running(both, {"_after": ("last", "_r")})
-    got = both.where(F.col("_side") == 1)
+    return both.where(F.col("_side") == 1).select("_l.*", "_t", "_before", "_after")
+
+
+def nearest(
+    left: DataFrame,
+    right: DataFrame,
+    key: Sequence[str],
+    lt: str,
+    rt: str,
+    cols: dict[str, str],
+    ordinal: str | None = None,
+    blocks: Blocks | None = None,
+) -> DataFrame:
+    """Left rows with the ``cols`` of the right row nearest in time, plus ``distance``.  On a tie the
+    earlier right row wins."""
+    got = around(left, right, key, lt, rt, cols, ordinal, blocks)
     db, da = F.col("_t") - F.col("_before._rt"), F.col("_after._rt") - F.col("_t")
     pick = F.when(F.col("_after").isNull() | (db <= da), F.col("_before")).otherwise(F.col("_after"))
-    got = got.select("_l", "_t", pick.alias("_p"))
+    got = got.select(*left.columns, "_t", pick.alias("_p"))
     return got.select(
-        "_l.*", *[F.col(f"_p.{n}").alias(n) for n in cols], F.abs(F.col("_t") - F.col("_p._rt")).alias("distance")
+        *left.columns, *[F.col(f"_p.{n}").alias(n) for n in cols], F.abs(F.col("_t") - F.col("_p._rt")).alias("distance")
     )
