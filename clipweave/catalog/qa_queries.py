@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import analysis as A
 from ..operators import qa as Q
 from ..operators import timeline as T
+from ..plans.cut import cut
 from .registry import query
 from .text_queries import HANDS, LABEL_WORDS, OBJ_TOKENS, SECTXT, hands, sql_count_contains, sql_in, sql_list, sql_verb
 from .timeline_queries import CLEAN, DIRECTION_CTES, SUMMARY, cleaned, runs_sql, summary
@@ -57,17 +58,25 @@ def _(v):
     return stats(v).select("clip_id", "seg", "hand", F.array_join("touched", " ").alias("touched"))
 
 
+# labels that often disagree with the contact seen
+_LAB = """v_lab AS (SELECT clip_id, seg, start_us, end_us, CASE WHEN k < 30 THEN 'hold the click' WHEN k < 60 THEN 'hold the view' WHEN k < 80 THEN 'N/A' ELSE 'take the signup' END AS left_label, CASE WHEN k % 3 = 0 THEN 'N/A' ELSE 'take the click part' END AS right_label FROM v_segments)"""
 _CAT2 = "v_cat2 AS (SELECT clip_id, list(DISTINCT event_type) AS cat FROM v_obs WHERE event_type IN ('click','view','signup') GROUP BY 1)"
-_CROSS = f"""SELECT clip_id, seg, hand, type FROM (SELECT s.clip_id, s.seg, s.hand, CASE WHEN label <> 'N/A' AND n_empty * 10 >= n * 8 THEN 'contact_says_idle?'
- WHEN label <> 'N/A' AND len(touched) > 0 AND len(w) > 0 AND NOT list_has_any(w, touched) THEN 'object_unsupported?'
- WHEN label = 'N/A' AND n > 0 AND n_empty * 10 <= n * 3 AND len(touched) > 0 THEN 'idle_but_holding?' END AS type
- FROM (SELECT *, list_intersect(list_distinct({LABEL_WORDS.format(c='label')}), cat) AS w FROM stats JOIN v_cat2 USING (clip_id)) s) WHERE type IS NOT NULL"""
+_CROSS = f"""SELECT clip_id, seg, hand, type FROM (SELECT s.clip_id, s.seg, s.hand, CASE WHEN lab <> 'N/A' AND n_empty * 10 >= n * 8 THEN 'contact_says_idle?'
+ WHEN lab <> 'N/A' AND len(touched) > 0 AND len(w) > 0 AND NOT list_has_any(w, touched) THEN 'object_unsupported?'
+ WHEN lab = 'N/A' AND n > 0 AND n_empty * 10 <= n * 3 AND len(touched) > 0 THEN 'idle_but_holding?' END AS type
+ FROM (SELECT t.*, list_intersect(list_distinct({LABEL_WORDS.format(c='lab')}), cat) AS w FROM (SELECT s.*, CASE s.hand WHEN 'left' THEN l.left_label ELSE l.right_label END AS lab FROM stats s JOIN v_lab l ON l.clip_id = s.clip_id AND l.seg = s.seg) t JOIN v_cat2 USING (clip_id)) s) WHERE type IS NOT NULL"""
 
 
-@query("contact_crosscheck", _CROSS, HANDS, STATS, _CAT2)
+@query("contact_crosscheck", _CROSS, HANDS, STATS, _LAB, _CAT2)
 def _(v):
+    k = F.col("k")
+    s = v.segments().select(
+        "clip_id", "seg", "start_us", "end_us",
+        F.when(k < 30, "hold the click").when(k < 60, "hold the view").when(k < 80, "N/A").otherwise("take the signup").alias("left_label"),
+        F.when(k % 3 == 0, "N/A").otherwise("take the click part").alias("right_label"),
+    )
     cat = v.obs().where(F.col("event_type").isin("click", "view", "signup")).select("clip_id", F.col("event_type").alias("name"), F.lit(None).cast("string").alias("colour")).distinct()
-    return A.contact_crosscheck(v.segments(), stats(v), cat)
+    return A.contact_crosscheck(s, stats(v), cat)
 
 
 _OUT = f"""outl AS (SELECT s.clip_id, s.seg, end_us - start_us AS dur_us, CAST(med * 2 AS BIGINT) AS median_x2 FROM v_segments s JOIN (
@@ -309,7 +318,10 @@ def _(v):
 
 @query("run_qa", "SELECT clip_id, seg + 1 AS seg, hand, code, detail FROM (SELECT * FROM qa1 UNION ALL SELECT * FROM qa2 UNION ALL SELECT * FROM qa3 UNION ALL SELECT * FROM qa4)", *QA)
 def _(v):
-    return Q.run_qa(v.track(), v.segments(), hands(v), directions(v), U, DAY)
+    from ..operators.hands import unpivot_hands
+
+    segs = cut(v.segments())
+    return Q.run_qa(v.track(), segs, unpivot_hands(segs.drop("k", "event_type")), directions(v), U, DAY)
 
 
 # ---- flagship --------------------------------------------------------------------------------------
@@ -330,7 +342,6 @@ ff AS (SELECT DISTINCT clip_id, seg FROM fq WHERE (label = 'N/A' AND cover * 10
 def _(v):
     from ..operators.hands import unpivot_hands
     from ..operators.joins import needs_review
-    from ..plans.cut import cut
 
     segs = v.ordered(order=("start_us",)).number(cut(cleaned(v)), "seg")
     h = unpivot_hands(segs)

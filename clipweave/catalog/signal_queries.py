@@ -61,8 +61,12 @@ def speed(v):
 
 
 def energy(v):
-    e = S.motion_energy(speed(v))
-    return cut(e) if v.blocks else e
+    return S.motion_energy(speed(v))
+
+
+def shared_energy(v):
+    """Energy that several branches read: written once."""
+    return cut(energy(v))
 
 
 @query("smooth_signal", "SELECT clip_id, hand, t_us, x_smooth, y_smooth FROM s1", *ENERGY[:2])
@@ -82,7 +86,7 @@ def _(v):
 
 @query("adaptive_threshold", "SELECT * FROM th", *ENERGY, *THR)
 def _(v):
-    return S.adaptive_threshold(energy(v), v.blocks)
+    return S.adaptive_threshold(shared_energy(v), v.blocks)
 
 
 GAP, MINB = 20 * U, 6 * U
@@ -120,31 +124,30 @@ def hot(v, e):
 
 
 def merged(v, e):
-    m = S.merge_bursts(hot(v, e), GAP, MINB, v.blocks)
-    return cut(m) if v.blocks else m
+    return S.merge_bursts(hot(v, e), GAP, MINB, v.blocks)
 
 
 def spans(v, e=None):
-    e = energy(v) if e is None else e
-    t = S.tile_spans(S.split_bursts(merged(v, e), e, _MS, 5 * DAY, v.blocks), v.clips(), _MA, _TL, v.blocks)
-    t = v.ordered(order=("start_us",)).number(cut(t), "seg")
-    return t
+    e = shared_energy(v) if e is None else e
+    b = cut(S.split_bursts(cut(merged(v, e)), e, _MS, 5 * DAY, v.blocks))
+    t = S.tile_spans(b, v.clips(), _MA, _TL, v.blocks)
+    return cut(v.ordered(order=("start_us",)).number(t, "seg"))
 
 
 @query("hot_runs", "SELECT * FROM hot", *ENERGY, *THR, *HOT)
 def _(v):
-    return hot(v, energy(v))
+    return hot(v, shared_energy(v))
 
 
 @query("merge_bursts", "SELECT * FROM mb", *ENERGY, *THR, *HOT, *MERGED)
 def _(v):
-    return merged(v, energy(v))
+    return merged(v, shared_energy(v))
 
 
 @query("split_bursts", "SELECT * FROM sb", *ENERGY, *THR, *HOT, *MERGED, *SPLIT)
 def _(v):
-    e = energy(v)
-    return S.split_bursts(merged(v, e), e, _MS, 5 * DAY, v.blocks)
+    e = shared_energy(v)
+    return S.split_bursts(cut(merged(v, e)), e, _MS, 5 * DAY, v.blocks)
 
 
 @query("tile_spans", "SELECT clip_id, seg, start_us, end_us, type FROM spans", *SPANS)
@@ -171,12 +174,12 @@ facts AS (SELECT a.clip_id, a.seg, a.hand, a.type, CASE WHEN a.mean_speed > thr
 FACTS = (*SPANS, _INS, _EDGE, _FACT)
 
 
-def facts(v, e=None, s=None):
-    sp = speed(v)
-    e = S.motion_energy(sp) if e is None else e
-    e = cut(e) if v.blocks else e
+def facts(v, s=None, times=1):
+    sp = cut(speed(v))
+    e = S.motion_energy(sp)
     s = spans(v, e) if s is None else s
-    return S.segment_facts(signals(v), sp, s, S.adaptive_threshold(e, v.blocks), _MAXT, 5 * DAY, v.blocks)
+    thr = S.adaptive_threshold(e, v.blocks).withColumn("thr", F.col("thr") * times)
+    return S.segment_facts(signals(v), sp, s, thr, _MAXT, 5 * DAY, v.blocks)
 
 
 @query("edge_median_grip", "SELECT * FROM edg WHERE g0 IS NOT NULL", *SPANS, _INS, _EDGE)
@@ -218,7 +221,7 @@ ROT = (*SPANS, _ROTS, *DIRECTION_CTES, SUMMARY, _RW)
 def rotation(v, s=None):
     r = S.segment_rotation(rotation_samples(v), spans(v) if s is None else s, 5 * DAY)
     one = lambda h, c: F.max(F.when(F.col("hand") == h, F.col(c)))
-    w = r.groupBy("clip_id", "seg").agg(one("left", "curl").alias("l_curl"), one("right", "curl").alias("r_curl"), one("left", "mag").alias("l_mag"), one("right", "mag").alias("r_mag"))
+    w = cut(r.groupBy("clip_id", "seg").agg(one("left", "curl").alias("l_curl"), one("right", "curl").alias("r_curl"), one("left", "mag").alias("l_mag"), one("right", "mag").alias("r_mag")))
     return S.calibrate(w, summary(v).select("clip_id", F.col("majority").alias("direction")), 300.0, v.blocks)
 
 
@@ -269,9 +272,9 @@ def _(v):
     return S.relabel_set(violations(v, f, r), S.idle_segments(f, r))
 
 
-@query("motion_crosscheck", "SELECT h.clip_id, h.seg, h.hand, 'label_vs_motion?' AS type_ FROM v_hands h JOIN facts f ON f.clip_id = h.clip_id AND f.seg = h.seg AND f.hand = h.hand WHERE f.type = 'transition' AND motion = 'stayed still' AND contains(grip, 'steady') AND label <> 'N/A' AND acting <> h.hand", HANDS, *FACTS)
+@query("motion_crosscheck", "SELECT h.clip_id, h.seg, h.hand, 'label_vs_motion?' AS type_ FROM v_hands h JOIN facts f ON f.clip_id = h.clip_id AND f.seg = h.seg AND f.hand = h.hand WHERE f.type = 'transition' AND motion = 'stayed still' AND contains(grip, 'steady') AND label <> 'N/A' AND acting <> h.hand", HANDS, *SPANS, _INS, _EDGE, _FACT.replace("JOIN th ON", "JOIN (SELECT clip_id, thr * 5 AS thr FROM th) th ON"))
 def _(v):
-    return S.motion_crosscheck(hands(v), facts(v))
+    return S.motion_crosscheck(hands(v), facts(v, times=5))
 
 
 _PTS = """rkp AS (SELECT clip_id, hand, frame, t_us, x, y, grip, CASE WHEN event_id % 7 <> 3 THEN x + k % 9 END AS tx, y + k % 5 AS ty, x + k % 4 AS ix, y - k % 6 AS iy FROM (SELECT clip_id, hand, frame, t_us, event_id, k, CASE WHEN k < 90 THEN k % 30 ELSE k END AS x, CAST(k % 20 AS BIGINT) AS y, grip // 10 AS grip FROM v_sig))"""

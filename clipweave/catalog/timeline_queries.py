@@ -148,7 +148,8 @@ def merged_sql(src, name):
 
 def slivers_sql(src, name, min_us):
     return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY start_us) AS i, count(*) OVER (PARTITION BY clip_id) AS n,
-  end_us - start_us >= {min_us} AS big FROM {src}),
+  end_us - start_us >= {min_us} OR (end_us - s0 >= {min_us} AND coalesce(pe - s0, 0) < {min_us}) AS big FROM (SELECT *, min(start_us) OVER (PARTITION BY clip_id) AS s0,
+  max(end_us) OVER (PARTITION BY clip_id ORDER BY start_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM {src})),
 {name}_b AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY clip_id ORDER BY i), n + 1) AS nxt, row_number() OVER (PARTITION BY clip_id ORDER BY i) AS ord FROM {name}_n WHERE big),
 {name} AS (SELECT b.clip_id, CASE WHEN b.ord = 1 THEN f.start_us ELSE b.start_us END AS start_us, l.end_us, b.left_label, b.right_label
   FROM {name}_b b JOIN {name}_n f ON f.clip_id = b.clip_id AND f.i = 1 JOIN {name}_n l ON l.clip_id = b.clip_id AND l.i = b.nxt - 1

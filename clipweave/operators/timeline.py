@@ -176,10 +176,14 @@ def bridge_gaps(segs: DataFrame, clips: DataFrame, eps: int = 50_000, blocks: Bl
 def absorb_slivers(segs: DataFrame, min_us: int = 500_000, blocks: Blocks | None = None) -> DataFrame:
     """A segment shorter than ``min_us`` goes into the previous one, leading ones into the next.
 
-    Every long segment opens a group holding the short ones after it, so no fold is needed."""
+    Every long segment opens a group holding the short ones after it, so no fold is needed.  Leading
+    short ones add up: the row at which they reach ``min_us`` together counts as long."""
     o = Ordered(KEY, ["start_us"], blocks)
-    long_row = F.col("end_us") - F.col("start_us") >= min_us
-    df = o.running(segs, {"_g": ("sum", long_row.cast("long"))})
+    df = o.totals(segs, {"_s0": ("min", "start_us")})
+    grown = F.col("end_us") - F.col("_s0") >= min_us
+    df = o.running(df, {"_seen": ("max", grown.cast("long"))}, exclusive=True)
+    long_row = (F.col("end_us") - F.col("start_us") >= min_us) | (grown & (F.coalesce("_seen", F.lit(0)) == 0))
+    df = o.running(df, {"_g": ("sum", long_row.cast("long"))})
     best = F.struct(long_row.cast("int").alias("a"), F.col("start_us").alias("b"))
     return (
         df.groupBy("clip_id", F.greatest("_g", F.lit(1)).alias("_g"))

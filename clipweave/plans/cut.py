@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and continue from there, so that later
     branches read the result instead of recomputing it and a lost executor costs little."""
+    if getattr(df, "_is_cut", False):
+        return df
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    out._is_cut = True
+    return out

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 BLK = "_blk"
 
 
@@ -53,7 +55,9 @@ class Ordered:
     def _with_block(self, df: DataFrame) -> DataFrame:
         if self.blocks is None:
             return df
-        return df.withColumn(BLK, F.floor(F.col(self.order[0]) / F.lit(self.blocks.width)).cast("long"))
+        # the rows are read twice below, by the local window and by the block summary; in a chain
+        # of operators that would double the work at each step, so the input is written once
+        return cut(df).withColumn(BLK, F.floor(F.col(self.order[0]) / F.lit(self.blocks.width)).cast("long"))
 
     @property
     def part(self) -> list[str]:
