@@ -343,7 +343,7 @@ def _(v):
     from ..operators.hands import unpivot_hands
     from ..operators.joins import needs_review
 
-    segs = v.ordered(order=("start_us",)).number(cut(cleaned(v)), "seg")
+    segs = cut(v.ordered(order=("start_us",)).number(cleaned(v), "seg"))
     h = unpivot_hands(segs)
     reviewed = needs_review(segs, T.chained_labels(h), Q.contact_qa(v.track(), h, U, DAY))
     return reviewed.groupBy("clip_id").agg(

@@ -225,12 +225,12 @@ def _(v):
 
 @query(
     "chained_label_test",
-    "SELECT 'label' AS src, clip_id AS a, seg AS b, hand AS c, CAST(upper(trim(label)) <> 'N/A' AND regexp_matches(label, '(?i)\\b(and|then|while|before|after)\\b') AS INT) AS chained FROM v_hands"
-    " UNION ALL SELECT 'doc', doc_id, 0, lang, CAST(upper(trim(text)) <> 'N/A' AND regexp_matches(text, '(?i)\\b(and|then|while|before|after)\\b') AS INT) FROM documents WHERE lang = 'en'",
+    "SELECT 'label' AS src, clip_id AS a, seg AS b, hand AS c, CAST(upper(trim(label)) <> 'N/A' AND regexp_matches(label, '(?i)(^|[^\\p{L}\\p{N}_])(and|then|while|before|after)($|[^\\p{L}\\p{N}_])') AS INT) AS chained FROM v_hands"
+    " UNION ALL SELECT 'doc', doc_id, 0, lang, CAST(upper(trim(text)) <> 'N/A' AND regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])(and|then|while|before|after)($|[^\\p{L}\\p{N}_])') AS INT) FROM documents",
     HANDS,
 )
 def _(v):
-    docs = v.table("documents").where("lang = 'en'")
+    docs = v.table("documents")
     return (
         hands(v)
         .select(F.lit("label").alias("src"), F.col("clip_id").alias("a"), F.col("seg").alias("b"), F.col("hand").alias("c"), X.is_chained("label").cast("int").alias("chained"))

@@ -190,7 +190,7 @@ def _(v):
 def cleaned(v):
     from ..plans.cut import cut
 
-    return T.clean_timeline(v.raw(), v.clips(), MIN, EPS, _R, v.blocks, cut if v.blocks else (lambda d: d))
+    return T.clean_timeline(v.raw(), v.clips(), MIN, EPS, _R, v.blocks, cut)
 
 
 @query("clean_timeline", "SELECT * FROM cleaned", *CLEAN)

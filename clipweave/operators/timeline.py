@@ -214,13 +214,13 @@ def clean_timeline(
 ) -> DataFrame:
     """Strictly valid timeline from raw segments: in bounds, ordered, no overlap, no gap, equal
     neighbours merged, slivers absorbed, times rounded and contiguous.  ``cut`` is called where the
-    chain branches most; pass `plans.cut.cut` to materialise there on large inputs."""
-    df = deoverlap(coerce_segments(raw, clips, eps), eps, blocks)
+    chain branches; pass `plans.cut.cut` to write the rows there once."""
+    df = cut(deoverlap(coerce_segments(raw, clips, eps), eps, blocks))
     df = bridge_gaps(df, clips, eps, blocks)
     merge = lambda d: run_length_merge(d, ["left_label", "right_label"], KEY, blocks).select("clip_id", *SEG)
-    df = merge(absorb_slivers(cut(merge(cut(df))), min_us, blocks))
+    df = merge(absorb_slivers(merge(df), min_us, blocks))
     rnd = lambda c: (F.floor((F.col(c) + round_us // 2) / F.lit(round_us)) * round_us).cast("long").alias(c)
-    df = cut(df).select("clip_id", rnd("start_us"), rnd("end_us"), "left_label", "right_label")
+    df = df.select("clip_id", rnd("start_us"), rnd("end_us"), "left_label", "right_label")
     return snap_contiguous(df, blocks)
 
 

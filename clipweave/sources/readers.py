@@ -28,7 +28,8 @@ def episode_segments(episodes: DataFrame) -> DataFrame:
 
 
 def read_index(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Grounding index shards (JSON arrays), tagged with their folder."""
+    """Grounding index shards (JSON arrays), tagged with their folder.  File sources skip names that start
+    with ``_`` or ``.``, so shards must be published under other names."""
     schema = "file string, tag string, hand string, t double, seg_id string, `primary` boolean, obj boolean, name string, conf double, low_conf boolean, src string"
     df = spark.read.schema(schema).option("multiLine", True).json(paths)
     folder = F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2))
@@ -70,7 +71,7 @@ def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
 def read_logs(spark: SparkSession, glob: str) -> DataFrame:
     """Console log lines with their file; batch logs are left out.  ``pos`` is the line's number in the
     file: a whole file is read as one record, since line order is its meaning."""
-    df = spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_name").alias("file"), "value")
+    df = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     df = df.where(~F.contains("file", F.lit("_batch")))
     return df.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
 
@@ -100,7 +101,7 @@ def read_signals(spark: SparkSession, path: str) -> DataFrame:
 def read_keypoints(spark: SparkSession, path: str) -> DataFrame:
     """Keypoint JSON: file name -> hands."""
     hand = "struct<cls: int, conf: double, box: array<double>, kpts: array<array<double>>>"
-    df = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"map<string, array<{hand}>>").alias("m"))
+    df = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, array<{hand}>>").alias("m"))
     df = df.select(F.explode("m").alias("file", "hands")).select("file", F.posexplode("hands").alias("hand_id", "h"))
     return df.select("file", "hand_id", "h.*")
 
