@@ -42,7 +42,7 @@ def write_episodes(episodes: DataFrame, path: str) -> None:
     episodes.write.mode("overwrite").json(path)
 
 
-def to_legacy(episodes: DataFrame) -> DataFrame:
+def to_legacy(episodes: DataFrame, model: str = "") -> DataFrame:
     """Older document shape: goal as instruction, default meta and environment, review marks recomputed."""
     bad = F.concat(
         F.coalesce(F.transform("_flags", lambda f: f["seg"] - 1), F.array().cast("array<bigint>")),
@@ -60,7 +60,7 @@ def to_legacy(episodes: DataFrame) -> DataFrame:
         episodes.withColumn("_bad", bad)
         .withColumn("instruction", F.coalesce("goal", F.lit("")))
         .withColumn("environment", F.coalesce("environment", F.struct(F.lit("").alias("category"))))
-        .withColumn("meta", F.coalesce("meta", F.struct(dur.alias("duration_sec"), F.lit("facts-first").alias("model"))))
+        .withColumn("meta", F.coalesce("meta", F.struct(dur.alias("duration_sec"), F.lit(model).alias("model"))))
         .withColumn("subtasks", sub)
         .drop("_bad")
     )
