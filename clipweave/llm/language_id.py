@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import by_text, crc_bucket, query, table, texts_of
 
-LEVEL = 3
+LEVEL = 5
 # ASCII signs and digits, which tell nothing of a language and are left out on both sides.
 SIGNS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalpha())
 _letter = regex.compile(r"\p{L}")
@@ -36,7 +36,7 @@ def plain(text: str) -> bytes:
     return text.lower().encode().translate(None, SIGNS)
 
 
-def fit(docs: DataFrame, per_language: int = 96, piece: int = 1024, languages: int = 512) -> dict[str, bytes]:
+def fit(docs: DataFrame, per_language: int = 200, piece: int = 512, languages: int = 512) -> dict[str, bytes]:
     """Raw-content dictionaries of the labelled rows of ``docs`` (doc_id, text, lang)."""
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
@@ -71,7 +71,7 @@ def model(dictionaries: tuple) -> Model:
     return Model(dict(dictionaries))
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], piece: int = 1536, margin: float = 0.01) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], piece: int = 3072, margin: float = 0.01) -> DataFrame:
     """(doc_id, lang_pred, score, rejected): the nearest language of each whole text, a score from 0 to
     1, and whether the runner-up's size is within ``margin`` of the winner's."""
     frozen = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))  # bounded by fit()

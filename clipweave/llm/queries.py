@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     byte_bpe,
     exact_dedup,
     language_id,
+    mixing,
     topk_search,
     token_counts,
     url_filter,
