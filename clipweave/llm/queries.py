@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     mixing,
     topk_search,
     token_counts,
+    toxicity,
     url_filter,
 )
 from .common import ORACLES, QUERIES
