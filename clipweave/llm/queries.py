@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     byte_bpe,
     exact_dedup,
+    jaccard_join,
     language_id,
     mixing,
     topk_search,
