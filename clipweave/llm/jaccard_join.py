@@ -11,12 +11,12 @@ smallest hash as its pivot. Steps:
 2. Classes meet their regions' pivots; exact distances to pivots are computed, and links join components.
 3. A region whose members are in one component is settled: nothing more can change the components there. In
    the others the triangle inequality leaves, for each document, the window of members whose distance to
-   the pivot differs by at most the threshold; shingles that no other open document has bound the overlap
-   from above. Further pivots (``GROWTH`` times as many in each round, until all members are) are compared with
-   what is left, region after region, until all are settled.
+   the pivot differs by at most the threshold, and the number of regions that two documents share bounds
+   their overlap from above. Further pivots (``GROWTH`` times as many in each round, until all members are)
+   are compared with what is left, until all regions are settled.
 
 Regions are rows, never collected; a region of any size is spread by joins on pairs. Only the sketch
-(2 ** ``BITS`` bytes) is broadcast.
+(2 ** ``BITS`` bytes) and a bit map that thins the scan for texts (2 ** ``BITS`` bits) are broadcast.
 
 Defined cases: a null text counts as empty; a text without words has no set and is linked with nothing;
 with fewer than five words the whole sequence is its one shingle; repeated rows are in one component; a null id
@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text, kept, query, table, texts_of
+from .common import by_text, fresh, kept, named, plain_names, query, table, texts_of
 from .components import components
 
 SIZE = 5
 PERCENT = 80
-BITS, SLICES = 23, 64
+BITS, SLICES = 24, 64
 GROWTH = 16
 _C = np.random.default_rng(20).integers(1, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -101,6 +101,19 @@ def prefix(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def rarest(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The prefix of a set in the order of the sketch. Even hashes come first, and only they are counted:
+    half of a set is more than its prefix, and the sketch tells twice as many apart."""
+    odd = s % np.uint64(2)
+    rank = np.where(odd == 0, level[bucket(s)], 255).astype(np.uint64)
+    order = np.argsort((odd << np.uint64(63)) | (rank << np.uint64(55)) | (s >> np.uint64(9)), kind="stable")
+    return s[order[: prefix(len(s))]]
+
+
 def first_pass(docs: DataFrame, seed: int) -> DataFrame:
     """Rows (doc_id, n, x, y) of all documents - set size and two hashes of the set - and, with ``slice`` not null,
     each task's shingle counts in compressed slices."""
@@ -111,7 +124,8 @@ def first_pass(docs: DataFrame, seed: int) -> DataFrame:
         names = ["doc_id", "n", "x", "y", "slice", "counts"]
         for batch in by_text(batches):
             sets = sets_of(texts_of(batch), seed)
-            np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), np.uint32(1))
+            every = np.concatenate(sets)
+            np.add.at(counts, bucket(every[every % np.uint64(2) == 0]), np.uint32(1))
             r = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([key_of(s, 0) for s in sets], pa.int64()), pa.array([key_of(s, 1) for s in sets], pa.int64()), none(r, pa.int32()), none(r, pa.binary())], names=names
@@ -159,8 +173,7 @@ def regions(docs: DataFrame, level: np.ndarray, seed: int) -> DataFrame:
                 if len(sent) > 1_000_000:
                     sent.clear()
                 sent.add(x)
-                order = (known[(s >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                xs.append(x), ns.append(len(s)), rare.append(s[np.argsort(order, kind="stable")[: prefix(len(s))]].view(np.int64))
+                xs.append(x), ns.append(len(s)), rare.append(rarest(s, known).view(np.int64))
             if xs:
                 flat = pa.array(np.concatenate(rare))
                 at = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32))
@@ -198,19 +211,6 @@ def compared(pairs: DataFrame, text: DataFrame, seed: int) -> DataFrame:
     return two.select("x", "p", "tx", "tp").mapInArrow(work, "x long, p long, inter long, either long")
 
 
-def lonely(text: DataFrame, seed: int) -> DataFrame:
-    """(x, own): how many shingles of each class no other class of ``text`` has."""
-
-    def work(batches):
-        for batch in by_text(batches):
-            sets = sets_of(texts_of(batch), seed)
-            x = np.repeat(batch.column("x").to_numpy(), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.concatenate(sets).view(np.int64))], names=["x", "s"])
-
-    each = text.select("x", "text").mapInArrow(work, "x long, s long")
-    return each.groupBy("s").agg(F.count("*").alias("df"), F.min("x").alias("x")).filter("df = 1").groupBy("x").agg(F.count("*").alias("own"))
-
-
 def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the regions whose members are in several components, with the component as ``root``."""
     now = members.drop("root").join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
@@ -230,51 +230,74 @@ def links(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
     level = levels(first.filter("slice is not null").select("slice", "counts"))
     blocks = kept(regions(rows, level, seed))
     member = blocks.select("x", "n", F.explode("rare").alias("s"))
-    place = lambda x: F.xxhash64(x, F.lit(1))  # noqa: E731  the order in which members become pivots
-    elected = member.groupBy("s").agg(F.min(F.struct(place(F.col("x")).alias("u"), "x", "n")).alias("p"), F.max("x").alias("hi"), F.min("x").alias("lo"), F.count("*").alias("m"))
-    elected = elected.filter("lo <> hi").select("s", F.col("p.x").alias("p"), F.col("p.n").alias("pn"), "m")
-    member = kept(member.join(elected, "s").distinct().withColumn("u", place(F.col("x"))))
+    place = F.xxhash64("x", F.lit(1)).cast("double") / F.lit(2.0**64) + 0.5  # the order in which members become pivots
+    shared = member.groupBy("s").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("s")
+    member = kept(member.join(shared, "s").distinct().withColumn("u", place))
+    elected = member.groupBy("s").agg(F.min(F.struct("u", "x", "n")).alias("p"), F.count("*").alias("m"))
+    member = member.join(elected.select("s", F.col("p.x").alias("p"), F.col("p.n").alias("pn"), "m"), "s")
     pairs = kept(member.filter("x <> p").filter(compatible("n", "pn")).select("x", "p").distinct())
-    # a text of every class that may meet another
-    alive = member.filter("x = p or " + f"least(n, pn) * 100 >= greatest(n, pn) * {PERCENT} or m > 2").select("x").distinct().join(classes.select("x", "doc_id"), "x")
-    by_id = rows.withColumnRenamed("doc_id", "id").join(alive, F.col("id").eqNullSafe(F.col("doc_id")))
-    text = kept(of_class(by_id, seed))
+    text = texts(rows, pairs, classes, seed)
     near = kept(compared(pairs, text, seed))
     linked = near.filter(f"inter * 100 >= either * {PERCENT}").select(F.col("x").alias("a"), F.col("p").alias("b"))
     roots = kept(components(linked))
     # distances to the region's pivot give the windows of the later rounds
-    member = member.join(near.select("x", "p", (1 - F.col("inter") / F.col("either")).alias("far")), ["x", "p"], "left")
-    member = kept(unsettled(member.withColumn("far", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("far"))), roots))
-    if not member.limit(1).count():
-        return each, roots, seed
-    own = lonely(text.join(member.select("x").distinct(), "x"), seed)
-    member = kept(member.join(own, "x", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"))
-    most = member.agg(F.max("m")).first()[0]
-    share, full = 1, False
+    far = near.select("x", "p", (1 - F.col("inter") / F.col("either")).alias("far"))
+    member = member.join(far, ["x", "p"], "left").withColumn("far", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("far")))
+    member = kept(unsettled(member, roots))
+    most = member.agg(F.max("m")).first()[0] or 0
+    share, full = 1, not most
     while not full:
         share, tried = share * GROWTH, share
         full = share >= most
-        # pivots of this round: members whose place is among the first ``share`` of the region, in expectation
-        part = (F.col("u").cast("double") / F.lit(2.0**64) + 0.5) * F.col("m")
-        chosen = member.filter(part < share).filter(part >= tried) if tried > 1 else member.filter(part < share)
-        chosen = chosen.select("s", F.col("x").alias("q"), F.col("n").alias("qn"), F.col("root").alias("q_root"), F.col("far").alias("q_far"), F.col("most").alias("q_most"))
-        over = F.least("most", "q_most")
-        meet = (
-            (F.col("root") != F.col("q_root"))
-            & compatible("n", "qn")
-            & (over * 100 >= (F.col("n") + F.col("qn") - over) * PERCENT)
-            & F.coalesce(F.abs(F.col("far") - F.col("q_far")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-        )
-        pairs = member.join(chosen, "s").filter(meet).select(F.least("x", "q").alias("x"), F.greatest("x", "q").alias("p")).distinct()
-        more = compared(kept(pairs), text, seed).filter(f"inter * 100 >= either * {PERCENT}").select(F.col("x").alias("a"), F.col("p").alias("b"))
-        old = roots
-        roots = kept(components(kept(more.unionByName(old.select(F.col("node").alias("a"), F.col("root").alias("b"))))))
+        # pivots of this round: members whose place is among the first ``share`` of the largest region, in expectation
+        part = F.col("u") * most
+        chosen = member.filter(part >= tried if tried > 1 else part >= 0)
+        chosen = chosen if full else chosen.filter(part < share)
+        chosen = chosen.select("s", F.col("x").alias("q"), F.col("n").alias("qn"), F.col("u").alias("q_u"), F.col("root").alias("q_root"), F.col("far").alias("q_far"))
+        window = F.coalesce(F.abs(F.col("far") - F.col("q_far")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
+        # each pair once: with the pivot that comes first in the order, in that one's round
+        once = (F.col("u") > F.col("q_u")) | ((F.col("u") == F.col("q_u")) & (F.col("x") > F.col("q")))
+        meet = member.join(chosen, "s").filter((F.col("root") != F.col("q_root")) & compatible("n", "qn") & once)
+        met = meet.groupBy("x", "q").agg(F.count("*").alias("c"), F.min(window).alias("window"), F.first("n").alias("n"), F.first("qn").alias("qn"))
+        # all regions that the two share are open and hold q, so c is how many rare shingles they share
+        rest = F.greatest(F.ceil(F.col("n") * PERCENT / 100), F.ceil(F.col("qn") * PERCENT / 100)) - 1
+        over = F.least(F.col("c") + rest, F.col("n"), F.col("qn"))
+        pairs = kept(met.filter("window").filter(over * 100 >= (F.col("n") + F.col("qn") - over) * PERCENT).select("x", F.col("q").alias("p")))
+        text = text.unionByName(texts(rows, pairs, classes, seed, text))
+        more = compared(pairs, text, seed).filter(f"inter * 100 >= either * {PERCENT}").select(F.col("x").alias("a"), F.col("p").alias("b"))
+        old = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = kept(components(more.unionByName(old)))
         if not full:
             member = kept(unsettled(member, roots))
             full = not member.limit(1).count()
     return each, roots, seed
 
 
+def texts(rows: DataFrame, pairs: DataFrame, classes: DataFrame, seed: int, have: DataFrame | None = None) -> DataFrame:
+    """(x, text) of the classes in ``pairs`` that ``have`` lacks. A bit map of fixed size over hashed ids
+    thins the scan before texts are shuffled; where it is full, all texts are."""
+    wanted = pairs.select("x").unionByName(pairs.select(F.col("p").alias("x"))).distinct()
+    if have is not None:
+        wanted = wanted.join(have, "x", "left_anti")
+    wanted = kept(wanted.join(classes.select("x", "doc_id"), "x"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS))
+    bits = np.zeros((1 << BITS) // 8, np.uint8)
+    parts = wanted.select((place + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("b"))
+    for r in parts.collect():  # at most 2 ** BITS bits, in buckets of 32768 from number 1
+        at = (r.k - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(r.b, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def thin(batches):
+        known = shared.value
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            yield batch.filter(pa.array((known[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1)).select(["id", "text"])
+
+    some = rows.select(F.col("doc_id").alias("id"), "text", place.alias("h")).mapInArrow(thin, "id long, text string")
+    return kept(of_class(some.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))), seed))
+
+
 def of_class(by_id: DataFrame, seed: int) -> DataFrame:
     """(x, text): one text of each wanted class; a repeated id may bring texts of other classes."""
 
@@ -309,17 +332,20 @@ def representatives(docs: DataFrame) -> DataFrame:
     id within a component, one. Documents without words stay."""
     rows, seed = grouped(docs)
     found = rows.filter("doc_id <=> component_id").groupBy("doc_id", "component_id", "n_shingles").agg(F.min("x").alias("x"))
-    stay = found.groupBy("doc_id", "x").agg(F.max("n_shingles").alias("n")).select(F.col("doc_id").alias("_id"), F.col("x").alias("_x"), F.col("n").alias("_n"))
-    schema = docs.select("*", F.lit(0).cast("long").alias("_key")).schema
+    own, key, hit, n, place, id_ = fresh(docs, "_own", "_key", "_hit", "_n", "_place", "_id")
+    stay = found.groupBy("doc_id", "x").agg(F.max("n_shingles").alias("n")).select(F.col("doc_id").alias(own), F.col("x").alias(hit), F.col("n").alias(n))
+    by_place = plain_names(docs)
+    schema = by_place.select("*", F.lit(0).cast("long").alias("key")).schema
 
     def keyed(batches):
         for batch in by_text(batches):
-            key = pa.array([key_of(s, 0) for s in sets_of(texts_of(batch), seed)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, key], names=[*batch.schema.names, "_key"])
+            x = pa.array([key_of(s, 0) for s in sets_of(texts_of(batch), seed)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, x], names=[*batch.schema.names, "key"])
 
-    both = docs.mapInArrow(keyed, schema).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_x")))
-    place = F.row_number().over(Window.partitionBy("_id", "_x").orderBy(F.length("text").desc()))
-    return both.withColumn("_place", place).filter("_place = 1").select(*docs.columns)
+    with_id = by_place.mapInArrow(keyed, schema).toDF(*docs.columns, key).withColumn(id_, F.col("doc_id").cast("long"))
+    both = with_id.join(stay, F.col(id_).eqNullSafe(F.col(own)) & (F.col(key) == F.col(hit)))
+    turn = F.row_number().over(Window.partitionBy(own, hit).orderBy(F.length("text").desc()))
+    return both.withColumn(place, turn).filter((F.col(place) == 1) | (F.col(n) == 0)).select(*named(docs))
 
 
 @query("op8_jaccard_join")
