@@ -74,3 +74,24 @@ def texts_of(batch: pa.RecordBatch) -> list[str]:
 def crc_bucket(column: str, n: int):
     """crc32 of the id written in decimal, modulo ``n``; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(df: DataFrame) -> list:
+    """All columns of ``df``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place, but for ``text``; Arrow functions take no dots in names."""
+    return df.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(df.columns)))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, query, table
+from .common import fresh, kept, named, query, table
 
 LEAD = 24
 SALTS = 64
@@ -79,11 +79,12 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, one."""
-    stay = groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(normal_form(F.col("text")), 256)).withColumn("_size", F.length("text"))
-    one = keyed.join(stay.withColumnRenamed("_sha", "_stay"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_stay")))
-    place = F.row_number().over(Window.partitionBy("_id", "_stay").orderBy(F.desc("_size")))
-    return one.withColumn("_place", place).filter("_place = 1").select(*docs.columns)
+    key, sha, size, place, hit, own = fresh(docs, "_id", "_sha", "_size", "_place", "_hit", "_own")
+    stay = groups(docs).filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(hit))
+    keyed = docs.select(*named(docs), F.col("doc_id").cast("long").alias(own), F.sha2(normal_form(F.col("text")), 256).alias(sha), F.length("text").alias(size))
+    one = keyed.join(stay, F.col(own).eqNullSafe(F.col(key)) & (F.col(sha) == F.col(hit)))
+    turn = F.row_number().over(Window.partitionBy(key, hit).orderBy(F.desc(size)))
+    return one.withColumn(place, turn).filter(F.col(place) == 1).select(*named(docs))
 
 
 SQL = r"""

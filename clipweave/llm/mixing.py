@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, query, table
+from .common import fresh, kept, named, query, table
 
 AXES = ("source", "lang", "topic")
 ROUNDS = 5
@@ -109,15 +109,15 @@ def sample(docs: DataFrame, targets=None, **options) -> DataFrame:
     rows = kept(measured(docs))
     cells = rake(rows, targets, **options)
     none = F.lit("(none)")
+    source, lang, topic, p = fresh(docs, "_source", "_lang", "_topic", "_p")
     keyed = docs.select(
-        *docs.columns,
-        F.coalesce(F.col("source").cast("string"), none).alias("_source"),
-        F.coalesce(F.col("lang").cast("string"), none).alias("_lang"),
-        topic_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_topic"),
-        uniform(F.col("doc_id")).alias("_u"),
+        *named(docs),
+        F.coalesce(F.col("source").cast("string"), none).alias(source),
+        F.coalesce(F.col("lang").cast("string"), none).alias(lang),
+        topic_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(topic),
     )
-    small = cells.select(*(F.col(a).alias(f"_{a}") for a in AXES), F.col("p").alias("_p"))
-    return keyed.join(small, [f"_{a}" for a in AXES]).filter("_u < _p").select(*docs.columns)
+    small = cells.select(F.col("source").alias(source), F.col("lang").alias(lang), F.col("topic").alias(topic), F.col("p").alias(p))
+    return keyed.join(small, [source, lang, topic]).filter(uniform(F.col("doc_id")) < F.col(p)).select(*named(docs))
 
 
 def sql(rounds: int = ROUNDS, temper: float = TEMPER, fraction: float = FRACTION) -> str:

@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     exact_dedup,
     jaccard_join,
     language_id,
+    line_dedup,
     mixing,
     topk_search,
     token_counts,

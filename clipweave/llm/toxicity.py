@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text, crc_bucket, query, table, texts_of
+from .common import by_text, crc_bucket, plain_names, query, table, texts_of
 
 WINDOW, STRIDE = 32, 24
 WORDS, GRAMS, ODDS = 1 << 13, 1 << 12, 1 << 17  # hashed rows
@@ -236,8 +236,8 @@ def log_odds(docs: list[list[bytes]], y: np.ndarray) -> np.ndarray:
     return np.where(total > 0, np.clip(odds * total / (total + 4), -4, 4) / 2, 0).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 128, rate: float = 0.01, seed: int = 7, prior: float | None = None) -> Network:
-    """Fit on labelled texts. Every epoch takes from each document the window it now finds most toxic.
+def train(texts: list[str], labels: list[int], steps: int = 240, batch: int = 64, rate: float = 0.01, seed: int = 7, prior: float | None = None) -> Network:
+    """Fit on labelled texts in ``steps`` steps; each document gives the window now found most toxic.
     ``prior``: the share of toxic documents that scores are calibrated for, if not that of the texts."""
     net, rng = Network(seed), np.random.default_rng(seed)
     docs, y = [words_of(t) for t in texts], np.array(labels)
@@ -246,7 +246,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 128
     if len(set(y.tolist())) < 2:
         net.slope, net.shift = 0.0, -60.0
         return net
-    half = np.arange(len(docs)) % 2
+    half = np.zeros(len(docs), np.int64)
+    for label in (0, 1):
+        half[y == label] = np.arange((y == label).sum()) % 2
     part = [np.flatnonzero(half == k) for k in (0, 1)]
     other = [log_odds([docs[i] for i in part[1 - k]], y[part[1 - k]]) for k in (0, 1)]
     net.odds = log_odds(docs, y)
@@ -261,8 +263,10 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 128
         top = np.maximum(o, 0)
         sums = [top[s : s + WINDOW].max() for s in range(0, max(1, len(d) - WINDOW + STRIDE), STRIDE)]
         at[i] = int(np.argmax(sums)) * STRIDE
-    for epoch in range(epochs):
-        if epoch:
+    seen = 0  # steps at which windows were last chosen
+    while step < steps:
+        if step >= seen + 48:
+            seen = step
             for k in (0, 1):
                 at[part[k]] = net.logits([docs[i] for i in part[k]], other[k])[1]
         for k in (0, 1):
@@ -287,12 +291,16 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 128
     best = np.empty(len(docs))
     for k in (0, 1):
         best[part[k]] = net.logits([docs[i] for i in part[k]], other[k])[0]
-    a, b = 1.0, 0.0
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)) if prior else np.ones(len(y))
-    for _ in range(500):  # calibration of the highest window's logit
-        g = (sigmoid(np.clip(a * best + b, -60, 60)) - y) * weight / len(y)
-        a, b = a - 0.5 * (g * best).sum(), b - 0.5 * g.sum()
-    net.slope, net.shift = float(a), float(b)
+    # calibration of the highest window's logit, by Newton's method with a small ridge
+    centre, spread = best.mean(), best.std() + 1e-6
+    z, c = np.stack([(best - centre) / spread, np.ones(len(y))], 1), np.array([1.0, 0.0])
+    for _ in range(40):
+        q = sigmoid(np.clip(z @ c, -30, 30))
+        slope = z.T @ (weight * (q - y)) + 1e-2 * c
+        bend = (z * (weight * q * (1 - q))[:, None]).T @ z + 1e-2 * np.eye(2)
+        c = c - np.clip(np.linalg.solve(bend, slope), -1, 1)
+    net.slope, net.shift = float(c[0] / spread), float(c[1] - c[0] * centre / spread)
     return net
 
 
@@ -300,9 +308,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, chars: int =
     """Train on the labelled rows of ``docs``: at most ``per_class`` documents of each label."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     there = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id")
+    n = {r.toxic: r.n for r in there.groupBy("toxic").agg(F.count("*").alias("n")).filter("toxic in (0, 1)").collect()}
+    # twice as many as wanted, by hash, so that the ranking sees a bounded number of rows
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    limit = F.lit(0.0)
+    for label, count in n.items():
+        limit = F.when(F.col("toxic") == label, F.lit(2 * per_class / count)).otherwise(limit)
+    there = there.filter(part < limit)
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = there.filter("toxic in (0, 1)").withColumn("r", rank).filter(F.col("r") <= per_class).select("doc_id", "toxic")
-    n = {r.toxic: r.n for r in there.groupBy("toxic").agg(F.count("*").alias("n")).filter("toxic in (0, 1)").collect()}
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, chars).alias("text"))
     rows = text.join(F.broadcast(chosen), "doc_id").collect()  # broadcast and result: at most 2 * per_class rows
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))[: 4 * per_class]
@@ -335,7 +349,8 @@ def clean(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
         for batch in by_text(batches):
             yield batch.filter(pa.array(m.scores(texts_of(batch)) < threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    by_place = plain_names(docs)
+    return by_place.mapInArrow(work, by_place.schema).toDF(*docs.columns)
 
 
 @query("op2_toxicity")
