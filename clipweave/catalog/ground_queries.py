@@ -44,9 +44,9 @@ def _(v):
     return D.mask_union(mk(v), ["frame", "name"]).select("frame", "name", M.area(F.col("mask")).alias("area"))
 
 
-@query("best_view", "SELECT name, b.frame AS frame, b.cand AS cand, b.score AS score FROM (SELECT name, arg_max({'frame': frame, 'cand': cand, 'score': score}, {'s': score, 'f': -frame, 'c': -cand}) AS b FROM v_mk WHERE bit_count(mask) > 0 AND bit_count(mask) < 33 AND score > 0 GROUP BY 1)", MK)
+@query("best_view", "SELECT clip_id, name, b.frame AS frame, b.cand AS cand, b.score AS score FROM (SELECT frame // 3 AS clip_id, name, arg_max({'frame': frame, 'cand': cand, 'score': score}, {'s': score, 'f': -frame, 'c': -cand}) AS b FROM v_mk WHERE bit_count(mask) > 0 AND bit_count(mask) < 33 AND score > 0 GROUP BY 1, 2)", MK)
 def _(v):
-    return D.best_view(mk(v), 33)
+    return D.best_view(mk(v).withColumn("clip_id", F.expr("frame div 3")), 33)
 
 
 def _greedy_sql(order, clash, cap, name):
@@ -61,9 +61,9 @@ def _greedy_sql(order, clash, cap, name):
 _KEPT = "SELECT frame, cand, len(kept) AS rank FROM {n} WHERE keep"
 
 
-@query("non_maximum_suppression", _KEPT.format(n="nm5"), MK, _greedy_sql("-score", "1::BIGINT * bit_count(z & n.mask) * 100 >= 40 * 1::BIGINT * bit_count(z | n.mask)", 5, "nm5"))
+@query("non_maximum_suppression", _KEPT.format(n="nm5"), MK, _greedy_sql("-score", "1::BIGINT * bit_count(z & n.mask) * 100 >= 40 * 1::BIGINT * bit_count(z | n.mask)", None, "nm5"))
 def _(v):
-    return D.nms(mk(v), ["frame"], 40, 5)
+    return D.nms(mk(v), ["frame"], 40)
 
 
 @query("drop_contained", _KEPT.format(n="dc"), MK, _greedy_sql("-bit_count(mask)", "1::BIGINT * bit_count(z & n.mask) * 100 > 65 * 1::BIGINT * bit_count(n.mask)", None, "dc"))

@@ -211,7 +211,7 @@ for _mode, _keep in (("drop", "WHERE ok"), ("first", "")):
 
     @query(
         f"flags_from_review_{_mode}",
-        f"SELECT clip_id, CASE WHEN ok THEN k - 1 ELSE 0 END AS seg, event_type AS type, detail FROM (SELECT o.clip_id, o.k, o.event_type, props[1:120] AS detail, o.k BETWEEN 1 AND n AS ok FROM v_obs o JOIN events e ON e.event_id = o.event_id JOIN (SELECT clip_id, count(*) AS n FROM v_segments GROUP BY 1) c ON c.clip_id = o.clip_id) {_keep}",
+        f"SELECT clip_id, CASE WHEN ok THEN k - 1 ELSE 0 END AS seg, event_type AS type, detail FROM (SELECT o.clip_id, o.k, o.event_type, props AS detail, o.k BETWEEN 1 AND n AS ok FROM v_obs o JOIN events e ON e.event_id = o.event_id JOIN (SELECT clip_id, count(*) AS n FROM v_segments GROUP BY 1) c ON c.clip_id = o.clip_id) {_keep}",
     )
     def _(v, mode=_mode):
         o = v.obs().join(v.table("events").select("event_id", "props"), "event_id")
@@ -264,9 +264,9 @@ _QA1 = f"""qc AS (SELECT h.clip_id, h.seg, h.hand, h.label, h.end_us - h.start_u
  arg_min(t.object, {{'a': t.start_us, 'b': t.end_us}}) AS object FROM v_hands h LEFT JOIN v_track t ON t.clip_id = h.clip_id AND t.hand = h.hand AND t.end_us > h.start_us + {S01} AND t.start_us < h.end_us - {S01}
  AND lower(trim(t.object)) NOT IN {sql_in(X.EMPTY_CONTACT)} GROUP BY ALL),
 qa1 AS (SELECT clip_id, seg, hand, code, detail FROM (SELECT *, CASE WHEN label = 'N/A' AND cover * 10 > dur * 6 AND dur * 10 > {U} * 6 THEN 'NA-WHILE-TRACKED' WHEN label <> 'N/A' AND cover IS NULL AND dur > {U} THEN 'ACTION-WHILE-UNTRACKED' END AS code,
- CASE WHEN label = 'N/A' THEN object[1:40] ELSE label[1:50] END AS detail FROM qc) WHERE code IS NOT NULL)"""
+ CASE WHEN label = 'N/A' THEN object ELSE label END AS detail FROM qc) WHERE code IS NOT NULL)"""
 _QA2 = f"""ql AS (SELECT *, {OBJ_TOKENS.format(c='label')} AS obj, {sql_verb('lower(label)', X.RELEASE_VERBS)} AS rel, {sql_verb('lower(label)', X.PICK_VERBS)} AS pik FROM v_hands WHERE label <> 'N/A'),
-qa2 AS (SELECT q.clip_id, q.seg, q.hand, 'TRACK-MISMATCH' AS code, arg_min(t.object, {{'a': t.start_us, 'b': t.end_us}})[1:30] AS detail FROM ql q JOIN v_track t ON t.clip_id = q.clip_id AND t.hand = q.hand
+qa2 AS (SELECT q.clip_id, q.seg, q.hand, 'TRACK-MISMATCH' AS code, arg_min(t.object, {{'a': t.start_us, 'b': t.end_us}}) AS detail FROM ql q JOIN v_track t ON t.clip_id = q.clip_id AND t.hand = q.hand
  AND t.object NOT IN {sql_in(X.EMPTY_CONSISTENCY)} AND CASE WHEN q.rel THEN q.start_us BETWEEN t.start_us - {S08} AND t.end_us + {S08} ELSE q.pik AND q.end_us BETWEEN t.start_us - {U // 2} AND t.end_us + {U // 2} END
  WHERE len(q.obj) > 0 GROUP BY 1, 2, 3 HAVING NOT bool_or(list_has_any({OBJ_TOKENS.format(c='t.object')}, q.obj)))"""
 _FINE = f"list_filter({sql_list(X.FINE_VERBS)}, lambda w: starts_with(lower({{c}}), w) OR contains(lower({{c}}), ' ' || w))[1]"
@@ -316,7 +316,7 @@ def _(v):
     return Q.direction_conflict(hands(v), directions(v))
 
 
-@query("run_qa", "SELECT clip_id, seg + 1 AS seg, hand, code, detail FROM (SELECT * FROM qa1 UNION ALL SELECT * FROM qa2 UNION ALL SELECT * FROM qa3 UNION ALL SELECT * FROM qa4)", *QA)
+@query("run_qa", "SELECT clip_id, seg, hand, code, detail FROM (SELECT * FROM qa1 UNION ALL SELECT * FROM qa2 UNION ALL SELECT * FROM qa3 UNION ALL SELECT * FROM qa4)", *QA)
 def _(v):
     from ..operators.hands import unpivot_hands
 

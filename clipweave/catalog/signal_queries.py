@@ -322,7 +322,7 @@ def _(v):
     return S.grasp_box(b, v.segments().select("clip_id", "seg", "start_us", "end_us"), width=DAY, blocks=v.blocks)
 
 
-_SPL = "spl AS (SELECT clip_id, seg, start_us, end_us, 'action' AS type FROM (SELECT clip_id, seg // 20 AS seg, min(start_us) AS start_us, max(end_us) AS end_us FROM v_segments GROUP BY 1, 2))"
+_SPL = "spl AS (SELECT clip_id, seg, start_us, end_us, CASE WHEN seg % 2 = 0 THEN 'action' ELSE 'transition' END AS type FROM (SELECT clip_id, seg // 20 AS seg, min(start_us) AS start_us, max(end_us) AS end_us FROM v_segments GROUP BY 1, 2))"
 _VAL = f"""vin AS (SELECT s.clip_id, s.seg, s.start_us, e.t_us, coalesce(energy, 0) AS e FROM spl s JOIN en e ON e.clip_id = s.clip_id AND e.t_us >= s.start_us + {3 * U // 10} AND e.t_us < s.end_us - {U} WHERE s.end_us - s.start_us > {8 * U}),
 vme AS (SELECT clip_id, seg, quantile_cont(e, 0.5) AS med FROM vin WHERE e > 0 GROUP BY 1,2),
 val AS (SELECT v.clip_id * 1000 + v.seg AS clip_id, v.t_us, v.start_us FROM (SELECT *, lag(e) OVER w AS p, lead(e) OVER w AS n FROM vin WINDOW w AS (PARTITION BY clip_id, seg ORDER BY t_us)) v JOIN vme m ON m.clip_id = v.clip_id AND m.seg = v.seg WHERE med >= 100 AND e * 100 < med * 55 AND e <= p AND e <= n)"""
@@ -330,13 +330,13 @@ val AS (SELECT v.clip_id * 1000 + v.seg AS clip_id, v.t_us, v.start_us FROM (SEL
 
 def long_spans(v):
     g = v.segments().groupBy("clip_id", F.floor(F.col("seg") / 20).alias("seg"))
-    return g.agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.lit("action").alias("type"))
+    return g.agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).withColumn("type", F.when(F.col("seg") % 2 == 0, "action").otherwise("transition"))
 
 
 @query(
     "refine_long_spans",
-    """SELECT clip_id, seg, start_us, end_us, 'action' AS type FROM (SELECT clip_id, seg, t_us AS start_us, lead(t_us) OVER (PARTITION BY clip_id, seg ORDER BY t_us) AS end_us FROM (
- SELECT clip_id, seg, start_us AS t_us FROM spl UNION SELECT clip_id, seg, end_us FROM spl UNION SELECT clip_id // 1000, clip_id % 1000, t_us FROM vth)) WHERE end_us IS NOT NULL""",
+    """SELECT b.clip_id, b.seg, b.start_us, b.end_us, CASE WHEN m.med >= 100 THEN 'action' ELSE s.type END AS type FROM (SELECT clip_id, seg, t_us AS start_us, lead(t_us) OVER (PARTITION BY clip_id, seg ORDER BY t_us) AS end_us FROM (
+ SELECT clip_id, seg, start_us AS t_us FROM spl UNION SELECT clip_id, seg, end_us FROM spl UNION SELECT clip_id // 1000, clip_id % 1000, t_us FROM vth)) b JOIN spl s ON s.clip_id = b.clip_id AND s.seg = b.seg LEFT JOIN vme m ON m.clip_id = b.clip_id AND m.seg = b.seg WHERE b.end_us IS NOT NULL""",
     *ENERGY, _SPL, _VAL, thin_sql("val", 30 * U, "vth", "start_us"),
 )
 def _(v):

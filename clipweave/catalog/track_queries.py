@@ -159,15 +159,12 @@ def asks(v):
 
 @query("apply_merges")
 def _(v):
-    ev = v.transitions().where(F.col("kind") == "place")
-    return K.apply_merges(v.segments(), asks(v), ev, 4 * U, U, DAY, v.blocks)
+    return K.apply_merges(v.segments(), asks(v), v.transitions(), 4 * U, U, DAY, v.blocks)
 
 
 @query("apply_seam_merges")
 def _(v):
-    ev = v.transitions().where(F.col("kind") == "place")
-    tr = v.track().where(F.col("object") == "view")
-    return K.apply_seam_merges(v.segments(), asks(v), ev, tr, 4 * U, U, U, DAY, v.blocks)
+    return K.apply_seam_merges(v.segments(), asks(v), v.transitions(), v.track(), 4 * U, U, U, DAY, v.blocks)
 
 
 @query(
@@ -238,16 +235,16 @@ def _(v):
     return C.merge_parts(s.drop("event_type"), parts, v.blocks)
 
 
-@query("merge_direction", "SELECT clip_id, CASE WHEN min(d) IS NOT DISTINCT FROM max(d) THEN min(d) ELSE 'mixed_or_alternating' END AS direction FROM (SELECT clip_id, part, CASE WHEN clip_id % 3 = 0 THEN 'assembly' ELSE nullif(left_label[1:1], 'N') END AS d FROM v_part WHERE seg = 0) GROUP BY 1", PARTS)
+@query("merge_direction", "SELECT clip_id, CASE WHEN min(d) IS NOT DISTINCT FROM max(d) THEN min(d) ELSE 'mixed_or_alternating' END AS direction FROM (SELECT clip_id, part, CASE WHEN clip_id % 3 = 0 THEN 'assembly' ELSE nullif(left_label[1:1], 'N') END AS d FROM v_part) GROUP BY 1", PARTS)
 def _(v):
-    p = part_segments(v).where("seg = 0")
+    p = part_segments(v)
     d = F.when(F.col("clip_id") % 3 == 0, "assembly").otherwise(F.nullif(F.substring("left_label", 1, 1), F.lit("N")))
     return C.merge_direction(p.select("clip_id", "part", d.alias("direction")))
 
 
-@query("merge_goal", "SELECT clip_id, string_agg(goal, ' | ' ORDER BY part) AS goal FROM (SELECT clip_id, event_type AS goal, min(part) AS part FROM v_part WHERE seg = 0 GROUP BY 1,2) GROUP BY 1".replace("ORDER BY part)", "ORDER BY part, goal)"), PARTS)
+@query("merge_goal", "SELECT clip_id, string_agg(goal, ' | ' ORDER BY part, goal) AS goal FROM (SELECT clip_id, event_type AS goal, min(part) AS part FROM v_part GROUP BY 1,2) GROUP BY 1", PARTS)
 def _(v):
-    return C.merge_goal(part_segments(v).where("seg = 0").select("clip_id", "part", F.col("event_type").alias("goal")))
+    return C.merge_goal(part_segments(v).select("clip_id", "part", F.col("event_type").alias("goal")))
 
 
 @query("merge_objects", "SELECT clip_id, lower(left_label) AS key, arg_min(left_label, {'p': part, 's': seg}) AS name FROM v_part GROUP BY 1, 2", PARTS)

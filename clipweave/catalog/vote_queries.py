@@ -19,12 +19,11 @@ def _(v):
 
 _RUNS = f"""v_runs AS (SELECT clip_id, 'right' AS hand, event_id % 3 AS run, t_us, CASE WHEN k % 2 = 0 THEN right_touching ELSE 'the silver ' || event_type || 's' END AS name FROM v_obs),
 rn AS (SELECT *, row_number() OVER (PARTITION BY clip_id, run ORDER BY t_us) - 1 AS idx, {VOTE_KEY.format(c='name')} AS key FROM v_runs),
-rs AS (SELECT clip_id, min(n) AS m FROM (SELECT clip_id, run, count(*) AS n FROM v_runs GROUP BY 1,2) GROUP BY 1),
-ra AS (SELECT r.clip_id, r.hand, r.idx, r.key, r.name, count(*) AS n, min(run) AS f FROM rn r JOIN rs ON rs.clip_id = r.clip_id WHERE r.idx < m GROUP BY ALL),
+ra AS (SELECT r.clip_id, r.hand, r.idx, r.key, r.name, count(*) AS n, min(run) AS f FROM rn r GROUP BY ALL),
 rb AS (SELECT clip_id, hand, idx, key, sum(n) AS n, min(f) AS f, arg_max(name, {{'a': n, 'b': length(name), 'c': -f}}) AS name FROM ra GROUP BY 1,2,3,4)"""
 
 
-@query("consensus", "SELECT clip_id, hand, idx, CASE WHEN w.key = 'N/A' THEN 'empty' ELSE w.name END AS object FROM (SELECT clip_id, hand, idx, arg_max({'key': key, 'name': name}, {'a': n, 'b': -f}) AS w FROM rb GROUP BY 1,2,3)", _RUNS)
+@query("consensus", "SELECT clip_id, hand, idx, CASE WHEN w.key = 'N/A' THEN 'empty' ELSE w.name END AS object, n_runs FROM (SELECT clip_id, hand, idx, arg_max({'key': key, 'name': name}, {'a': n, 'b': -f}) AS w, CAST(sum(n) AS BIGINT) AS n_runs FROM rb GROUP BY 1,2,3)", _RUNS)
 def _(v):
     r = v.obs().select(
         "clip_id", F.lit("right").alias("hand"), (F.col("event_id") % 3).alias("run"), "t_us",
@@ -87,10 +86,10 @@ def _(v):
 @query(
     "plan_probes",
     f"""SELECT clip_id, probe, t_us, kind FROM (SELECT clip_id, probe, (start_us + end_us) // 2 AS t_us, 'direction' AS kind FROM ({_even_sql(f"greatest(4, CAST(round(dur_us / {60 * U}) AS BIGINT))", "probe")})
- UNION ALL SELECT c.clip_id, greatest(4, CAST(round(dur_us / {60 * U}) AS BIGINT)), (start_us + end_us) // 2, 'role' FROM v_clips c JOIN v_segments s ON s.clip_id = c.clip_id AND s.seg = 0) WHERE probe < 13""",
+ UNION ALL SELECT c.clip_id, greatest(4, CAST(round(dur_us / {60 * U}) AS BIGINT)), (start_us + end_us) // 2, 'role' FROM v_clips c JOIN v_segments s ON s.clip_id = c.clip_id AND s.seg = 0)""",
 )
 def _(v):
-    return V.plan_probes(v.clips(), v.segments(), 60 * U, 13)
+    return V.plan_probes(v.clips(), v.segments(), 60 * U)
 
 
 @query("token_budget", "SELECT clip_id, CAST(floor(258 * 0.0002 * (dur_us / 1000000)) AS BIGINT) AS tokens, CAST(258 * 0.0002 * (dur_us / 1000000) > 115000 AS INT) AS overflow, CASE WHEN 258 * 0.0002 * (dur_us / 1000000) > 115000 THEN CAST(floor(11500000.0 / (258 * (dur_us / 1000000))) AS BIGINT) END AS fps_x100 FROM v_clips".replace("0.0002", "CAST(0.0002 AS DOUBLE)"))

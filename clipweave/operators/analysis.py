@@ -213,7 +213,7 @@ def pick_place_balance(events: DataFrame, blocks: Blocks | None = None) -> DataF
     return out
 
 
-def flags_from_review(review: DataFrame, segs: DataFrame, mode: str, limit: int = 120) -> DataFrame:
+def flags_from_review(review: DataFrame, segs: DataFrame, mode: str) -> DataFrame:
     """Reviewer rows (1-based ``seg``) to flags (0-based).  Out of range: ``drop`` or ``first``."""
     n = segs.groupBy("clip_id").agg(F.count("*").alias("_n"))
     j = review.join(n, KEY, "left").withColumn("_s", F.col("seg").try_cast("long") - 1)
@@ -221,7 +221,7 @@ def flags_from_review(review: DataFrame, segs: DataFrame, mode: str, limit: int
     if mode == "drop":
         j = j.where(ok)
     return j.select(
-        "clip_id", F.when(ok, F.col("_s")).otherwise(0).cast("long").alias("seg"), "type", F.substring("detail", 1, limit).alias("detail")
+        "clip_id", F.when(ok, F.col("_s")).otherwise(0).cast("long").alias("seg"), "type", "detail"
     )
 
 

@@ -141,10 +141,10 @@ def mask_union(masks: DataFrame, key: list[str]) -> DataFrame:
 
 
 def best_view(c: DataFrame, max_area: int) -> DataFrame:
-    """Best score per name and where it was; only masks smaller than ``max_area`` cells, first wins ties."""
+    """Best score per clip and name, and where it was; only masks smaller than ``max_area`` cells, first wins ties."""
     ok = c.where((M.area(F.col("mask")) > 0) & (M.area(F.col("mask")) < max_area) & (F.col("score") > 0))
-    b = ok.groupBy("name").agg(F.max_by(F.struct("frame", "cand", "score"), F.struct("score", -F.col("frame"), -F.col("cand"))).alias("b"))
-    return b.select("name", "b.frame", "b.cand", "b.score")
+    b = ok.groupBy("clip_id", "name").agg(F.max_by(F.struct("frame", "cand", "score"), F.struct("score", -F.col("frame"), -F.col("cand"))).alias("b"))
+    return b.select("clip_id", "name", "b.frame", "b.cand", "b.score")
 
 
 def grounding_counts(index: DataFrame) -> DataFrame:
@@ -185,8 +185,9 @@ def _greedy(c: DataFrame, key: list[str], order: str, clash, cap: int | None) ->
     return ordered_fold(c, key, [order, "cand"], ["cand", "mask"], "cand long, rank long", fold)
 
 
-def nms(c: DataFrame, key: list[str], thr_pct: int = 80, cap: int | None = 5) -> DataFrame:
-    """By score, keep a mask whose IoU with every kept one is below ``thr_pct`` percent; first ``cap``."""
+def nms(c: DataFrame, key: list[str], thr_pct: int = 80, cap: int | None = None) -> DataFrame:
+    """By score, keep a mask whose IoU with every kept one is below ``thr_pct`` percent; with its rank, and
+    the first ``cap`` only where one is given."""
     c = c.withColumn("_ord", -F.col("score"))
     return _greedy(c, key, "_ord", lambda a, b, i: i * 100 >= thr_pct * (a + b - i) if a + b - i else False, cap)
 

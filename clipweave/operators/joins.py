@@ -62,19 +62,26 @@ def unmatched_events(events: DataFrame, bounds: DataFrame, tol: int = 600_000, w
     return points_in(events, _bounds(bounds), KEY, F.col("t_us"), F.col("b_us") - tol, F.col("b_us") + tol, width, "left_anti")
 
 
+def _first_or_last(points: DataFrame, segs: DataFrame, lo: Column, hi: Column, width: int, pick: Column) -> DataFrame:
+    """``pick`` over the segments around each point; equal points are joined once and come back each."""
+    once = points.groupBy(*points.columns).agg(F.count("*").alias("_copies"))
+    j = points_in(once, segs, KEY, F.col("t_us"), lo, hi, width, "left")
+    out = j.groupBy(*once.columns).agg(pick.alias("seg"))
+    return out.select(*points.columns, "seg", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("col")
+
+
 def owner_segment(events: DataFrame, segs: DataFrame, slack: int = 50_000, width: int = WIDTH) -> DataFrame:
     """First segment holding the event; segment 0 when there is none."""
     s = segs.select("clip_id", "seg", "start_us", "end_us")
-    j = points_in(events, s, KEY, F.col("t_us"), F.col("start_us") - slack, F.col("end_us") + slack, width, "left")
-    return j.groupBy(*events.columns).agg(F.coalesce(F.min("seg"), F.lit(0)).alias("seg"))
+    pick = F.coalesce(F.min("seg"), F.lit(0))
+    return _first_or_last(events, s, F.col("start_us") - slack, F.col("end_us") + slack, width, pick)
 
 
 def edge_segment(events: DataFrame, segs: DataFrame, side: str, tol: int = 400_000, width: int = WIDTH) -> DataFrame:
     """Last segment whose end (``before``) or start (``after``) is within ``tol`` of the event."""
     edge = F.col("end_us" if side == "before" else "start_us")
     s = segs.select("clip_id", "seg", edge.alias("edge_us"))
-    j = points_in(events, s, KEY, F.col("t_us"), F.col("edge_us") - tol, F.col("edge_us") + tol, width, "left")
-    return j.groupBy(*events.columns).agg(F.max("seg").alias("seg"))
+    return _first_or_last(events, s, F.col("edge_us") - tol, F.col("edge_us") + tol, width, F.max("seg"))
 
 
 def protected(bounds: DataFrame, events: DataFrame, tol: int = 500_000, width: int = WIDTH) -> DataFrame:
@@ -131,8 +138,7 @@ def label_at(points: DataFrame, segs: DataFrame, mode: str, width: int = WIDTH)
         "closed": (F.col("start_us"), F.col("end_us")),
         "half_open": (F.col("start_us"), F.col("end_us") + 999),
     }[mode]
-    j = points_in(points, s, KEY, F.col("t_us"), lo, hi, width, "left")
-    return j.groupBy(*points.columns).agg(F.min("seg").alias("seg"))
+    return _first_or_last(points, s, lo, hi, width, F.min("seg"))
 
 
 def contact_pairs(entities: DataFrame) -> DataFrame:
@@ -159,12 +165,11 @@ def needs_review(segs: DataFrame, flags: DataFrame, qa: DataFrame) -> DataFrame:
 def pair_by_tag(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Pair each prediction tag with the first (by name) truth file whose name contains it.
 
-    Names are cut into substrings of the tag lengths that occur (a handful of integers), so the
-    containment test becomes an equi-join."""
+    Names are cut into all their substrings (a file name is short), so the containment test becomes
+    an equi-join."""
     tags = pred.select("tag").distinct()
-    lengths = [r[0] for r in tags.select(F.length("tag")).distinct().collect() if r[0]]
-    names = truth.select("name").distinct()
-    pieces = names.select("name", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("_l")).where(F.length("name") >= F.col("_l"))
+    names = truth.select("name").where(F.length("name") > 0).distinct()
+    pieces = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("_l"))
     pieces = pieces.select("name", "_l", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("_l") + 1)).alias("_p"))
     pieces = pieces.select("name", F.substring("name", F.col("_p"), F.col("_l")).alias("tag")).distinct()
     return tags.join(pieces, "tag").groupBy("tag").agg(F.min("name").alias("name"))

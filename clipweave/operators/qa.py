@@ -29,7 +29,7 @@ def contact_qa(track: DataFrame, hands: DataFrame, unit: int = SEC, width: int =
     na = (lab == "N/A") & (F.coalesce("cover_us", F.lit(0)) * 10 > dur * 6) & (dur * 10 > unit * 6)
     act = ~lab.isin("N/A", "") & F.col("cover_us").isNull() & (dur > unit)
     code = F.when(na, "NA-WHILE-TRACKED").when(act, "ACTION-WHILE-UNTRACKED")
-    detail = F.when(na, F.substring("object", 1, 40)).otherwise(F.substring("label", 1, 50))
+    detail = F.when(na, F.col("object")).otherwise(F.col("label"))
     return s.select("clip_id", "seg", "hand", code.alias("code"), detail.alias("detail")).where(F.col("code").isNotNull())
 
 
@@ -47,7 +47,7 @@ def track_consistency(track: DataFrame, hands: DataFrame, unit: int = SEC, width
         g = j.groupBy("clip_id", "seg", "hand").agg(
             F.max(agree.cast("int")).alias("_ok"), F.min_by("object", F.struct("iv_start", "iv_end")).alias("object")
         )
-        g = g.where(F.col("_ok") == 0).select("clip_id", "seg", "hand", F.lit("TRACK-MISMATCH").alias("code"), F.substring("object", 1, 30).alias("detail"))
+        g = g.where(F.col("_ok") == 0).select("clip_id", "seg", "hand", F.lit("TRACK-MISMATCH").alias("code"), F.col("object").alias("detail"))
         out = g if out is None else out.union(g)
     return out
 
@@ -81,11 +81,10 @@ def direction_conflict(hands: DataFrame, directions: DataFrame) -> DataFrame:
 
 
 def run_qa(track: DataFrame, segs: DataFrame, hands: DataFrame, directions: DataFrame, unit: int = SEC, width: int = WIDTH) -> DataFrame:
-    """All findings; ``seg`` is 1-based and 0 means the whole clip."""
-    allq = (
+    """All findings; ``seg`` counts from 0 and -1 means the whole clip (documents add 1)."""
+    return (
         contact_qa(track, hands, unit, width)
         .unionByName(track_consistency(track, hands, unit, width))
         .unionByName(pair_exclusivity(segs))
         .unionByName(direction_conflict(hands, directions))
     )
-    return allq.withColumn("seg", F.col("seg") + 1)

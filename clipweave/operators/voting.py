@@ -22,12 +22,11 @@ def vote_gate(votes: DataFrame, key: list[str]) -> DataFrame:
 def consensus(runs: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Majority over repeated runs, frame by frame (``clip_id, hand, run, t_us, name``).
 
-    Frames are matched by their number in the run, up to the shortest run.  Names vote by their core
-    nouns (ties: the earliest run); shown is the winner's most frequent, then longest, raw name."""
+    Frames are matched by their number in the run; every run that has the frame votes (``n_runs``).  Names vote by
+    their core nouns (ties: the earliest run); shown is the winner's most frequent, then longest, raw name."""
     k = ["clip_id", "hand"]
     r = Ordered([*k, "run"], ["t_us"], blocks).number(runs.select(*k, "run", "t_us", "name"), "idx")
-    shortest = r.groupBy(*k, "run").agg(F.count("*").alias("n")).groupBy(*k).agg(F.min("n").alias("m"))
-    r = r.join(shortest, k).where(F.col("idx") < F.col("m")).withColumn("key", X.vote_key("name"))
+    r = r.withColumn("key", X.vote_key("name"))
     f = [*k, "idx"]
     by_name = r.groupBy(*f, "key", "name").agg(F.count("*").alias("n"), F.min("run").alias("first"))
     by_key = by_name.groupBy(*f, "key").agg(
@@ -35,8 +34,8 @@ def consensus(runs: DataFrame, blocks: Blocks | None = None) -> DataFrame:
         F.min("first").alias("first"),
         F.max_by("name", F.struct("n", F.length("name"), -F.col("first"))).alias("name"),
     )
-    win = by_key.groupBy(*f).agg(F.max_by(F.struct("key", "name"), F.struct("n", -F.col("first"))).alias("w"))
-    return win.select(*f, F.when(F.col("w.key") == "N/A", "empty").otherwise(F.col("w.name")).alias("object"))
+    win = by_key.groupBy(*f).agg(F.max_by(F.struct("key", "name"), F.struct("n", -F.col("first"))).alias("w"), F.sum("n").alias("n_runs"))
+    return win.select(*f, F.when(F.col("w.key") == "N/A", "empty").otherwise(F.col("w.name")).alias("object"), "n_runs")
 
 
 def inventory_votes(proposals: DataFrame) -> DataFrame:
@@ -113,16 +112,16 @@ def plan_chunks(clips: DataFrame, max_us: int = 300 * SEC) -> DataFrame:
     return _even(clips, n, "part")
 
 
-def plan_probes(clips: DataFrame, spans: DataFrame, every: int = 6 * SEC, cap: int = 16) -> DataFrame:
+def plan_probes(clips: DataFrame, spans: DataFrame, every: int = 6 * SEC) -> DataFrame:
     """Direction probes at the middle of even windows (at least four), then a role probe in the first
-    span; only the first ``cap`` requests are made."""
+    span; ``probe`` numbers a clip's requests, so a caller with a budget takes the first ones."""
     n = F.greatest(F.lit(4).cast("long"), F.round(F.col("dur_us") / F.lit(every)).cast("long"))
     w = _even(clips, n, "probe")
     d = w.select("clip_id", "probe", F.expr("(start_us + end_us) div 2").alias("t_us"), F.lit("direction").alias("kind"))
     count = d.groupBy("clip_id").agg(F.count("*").alias("probe"))
     first = spans.groupBy("clip_id").agg(F.min_by(F.struct("start_us", "end_us"), F.struct("start_us", "end_us")).alias("s"))
     role = first.join(count, KEY).select("clip_id", "probe", F.expr("(s.start_us + s.end_us) div 2").alias("t_us"), F.lit("role").alias("kind"))
-    return d.union(role).where(F.col("probe") < cap)
+    return d.union(role)
 
 
 def token_budget(clips: DataFrame, per_frame: int = 258, fps: float = 1.0, budget: int = 115_000) -> DataFrame:

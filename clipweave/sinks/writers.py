@@ -29,7 +29,8 @@ def assemble_episodes(
     l = l.groupBy("clip_id", "part").agg(pick("left"), pick("right"))
     where = segs.select("clip_id", "seg", part("start_us"))
     fl = flags.join(where, ["clip_id", "seg"]).groupBy("clip_id", "part").agg(F.sort_array(F.collect_list(F.struct((F.col("seg") + 1).alias("seg"), "type"))).alias("_flags"))
-    q = qa.join(where, ["clip_id", "seg"]).groupBy("clip_id", "part").agg(F.sort_array(F.collect_list(F.struct((F.col("seg") + 1).alias("seg"), "hand", "code", "detail"))).alias("v"))
+    # a finding on the whole clip (seg -1) goes with its first part
+    q = qa.join(where, ["clip_id", "seg"], "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long"))).groupBy("clip_id", "part").agg(F.sort_array(F.collect_list(F.struct((F.col("seg") + 1).alias("seg"), "hand", "code", "detail"))).alias("v"))
     out = doc.join(l, ["clip_id", "part"], "left").join(fl, ["clip_id", "part"], "left").join(q, ["clip_id", "part"], "left").join(clips, "clip_id")
     return out.select(
         F.col("clip_id").cast("string").alias("clip"), "part", _sec(F.col("dur_us")).alias("duration_sec"),

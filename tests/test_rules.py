@@ -163,11 +163,11 @@ def test_temporal_carry_respects_a_certain_gate(spark, rows):
     assert got == [("s0L", "N/A", ""), ("s1L", "cup", "temporal")]
 
 
-def test_probe_cap_loses_the_role_probe(spark, rows):
+def test_every_clip_has_its_role_probe(spark, rows):
     clips = spark.createDataFrame([(1, 60 * SEC), (2, 120 * SEC)], "clip_id long, dur_us long")
     spans = spark.createDataFrame([(1, 0, SEC), (2, 0, SEC)], "clip_id long, start_us long, end_us long")
     p = V.plan_probes(clips, spans).groupBy("clip_id", "kind").count()
-    assert rows(p, "clip_id", "kind", "count") == [(1, "direction", 10), (1, "role", 1), (2, "direction", 16)]
+    assert rows(p, "clip_id", "kind", "count") == [(1, "direction", 10), (1, "role", 1), (2, "direction", 20), (2, "role", 1)]
 
 
 def test_keypoint_geometry(spark):
