@@ -174,14 +174,7 @@ def verdict_texts(v):
     _VERDICTS,
 )
 def _(v):
-    return verdict_texts(v).select(
-        "src",
-        "id",
-        X.is_indeterminate("t").cast("int").alias("indeterminate"),
-        X.direction_class("t").alias("direction"),
-        X.role_class("t").alias("role"),
-        X.colour_class("t").alias("colour"),
-    )
+    return X.verdict_columns(verdict_texts(v), "t", "src", "id")
 
 
 # bursts: every observation is one probe answer; its verdict is worded from the event
