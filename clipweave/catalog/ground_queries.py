@@ -208,6 +208,17 @@ def _(v):
     return D.restrict_vocab(inv, ok).select("clip_id", "name")
 
 
+@query("dropped_names", "SELECT DISTINCT clip_id, event_type AS name FROM v_obs o WHERE NOT EXISTS (SELECT 1 FROM v_obs p WHERE p.clip_id = o.clip_id AND p.event_type = o.event_type AND p.k = 99)")
+def _(v):
+    names = v.obs().select("clip_id", F.col("event_type").alias("name"), "k")
+    return D.dropped_names(names, names.where("k = 99"))
+
+
+@query("provenance_values", "SELECT DISTINCT CASE WHEN k < 60 THEN 'llm' WHEN k < 90 THEN event_type END AS src FROM v_obs WHERE k < 90")
+def _(v):
+    return D.provenance_values(v.obs().select(F.when(F.col("k") < 60, "llm").when(F.col("k") < 90, F.col("event_type")).alias("src")))
+
+
 @query(
     "gate_and_track",
     """SELECT o.clip_id, o.t_us, 'left' AS hand, CASE WHEN coalesce(g.event_type <> 'error', false) THEN coalesce(CASE WHEN o.k >= 50 THEN o.event_type END, g.event_type) ELSE 'N/A' END AS name,
@@ -336,6 +347,13 @@ def _(v):
     return E.determinism(o, two, 60_000_000, v.blocks)
 
 
+@query("determinism_strict", "SELECT clip_id, min(CAST(coalesce(abs(a - b) < 60000000, false) AS INT)) AS same FROM (SELECT clip_id, t_us AS a, t_us + CASE WHEN clip_id % 4 = 0 THEN 60000000 ELSE 59999999 END AS b FROM v_obs) GROUP BY 1")
+def _(v):
+    o = v.obs()
+    two = o.select("clip_id", (F.col("t_us") + F.when(F.col("clip_id") % 4 == 0, 60_000_000).otherwise(59_999_999)).alias("t_us"))
+    return E.determinism(o, two, 60_000_000, v.blocks, strict=True)
+
+
 # truth: the segments; prediction: six-event segments with the labels of their first event
 _AL = """v_six AS (SELECT clip_id, seg // 6 AS seg, min(start_us) AS start_us, max(end_us) AS end_us, arg_min(left_label, seg) AS left_label, arg_min(right_label, seg) AS right_label FROM v_segments GROUP BY 1, 2),
 al AS (SELECT g.clip_id, g.seg, (SELECT min(p.seg) FROM v_six p WHERE p.clip_id = g.clip_id AND (g.start_us + g.end_us) // 2 BETWEEN p.start_us - 36000000 AND p.end_us + 36000000) AS pred_seg FROM v_segments g),

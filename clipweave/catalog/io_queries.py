@@ -81,6 +81,11 @@ def _(v):
     return K.eval_report(identity_accuracy(s))
 
 
+@query("ordered_rows", "SELECT clip_id, seg, start_us, hand, label FROM v_hands", HANDS)
+def _(v):
+    return K.in_order(hands(v).select("clip_id", "seg", "start_us", "hand", "label"), "clip_id", "start_us", "hand")
+
+
 @query("episode_documents", None)
 def _(v):
     s, h = v.segments(), hands(v)

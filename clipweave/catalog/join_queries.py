@@ -223,6 +223,12 @@ def _(v):
     return J.apply_overrides(v.segments().select("clip_id", "start_us", "left_label"), ov)
 
 
+@query("override_originals", "SELECT clip_id, start_us, left_label FROM v_segments WHERE clip_id IN (SELECT clip_id FROM v_ov)", _OV)
+def _(v):
+    clips = v.obs().where("event_type = 'error' AND k >= 95").select("clip_id").distinct()
+    return J.override_originals(v.segments().select("clip_id", "start_us", "left_label"), clips)
+
+
 _CAT = "v_cat AS (SELECT DISTINCT clip_id, event_type AS name, CASE WHEN k < 50 THEN 'take' ELSE 'hold' END AS colour FROM v_obs WHERE event_type IN ('click','view'))"
 
 

@@ -115,6 +115,11 @@ def _(v):
     return V.stride_sample(v.obs().select("clip_id", "t_us"), "t_us", 12, v.blocks)
 
 
+@query("every_kth_frame", "SELECT clip_id, t_us FROM nm WHERE i % 4 = 0", _NUM)
+def _(v):
+    return V.every_kth(v.obs().select("clip_id", "t_us"), "t_us", 30.0, 8.0, v.blocks)
+
+
 @query("assign_shards", "SELECT clip_id, t_us, hand, (dense_rank() OVER (PARTITION BY clip_id ORDER BY t_us) - 1) % 4 AS shard FROM (SELECT clip_id, t_us, unnest(['left','right']) AS hand FROM v_obs)")
 def _(v):
     d = v.obs().select("clip_id", "t_us", F.explode(F.array(F.lit("left"), F.lit("right"))).alias("hand"))

@@ -76,13 +76,14 @@ def score_boundaries(truth: DataFrame, det: DataFrame, tol: int = 800_000, margi
     return j.select("clip_id", "m", z("n_truth").alias("recall"), z("n_inner").alias("precision"))
 
 
-def determinism(run1: DataFrame, run2: DataFrame, tol: int = 60_000, blocks: Blocks | None = None) -> DataFrame:
-    """1 where two runs have equally many boundaries, pairwise within ``tol``."""
+def determinism(run1: DataFrame, run2: DataFrame, tol: int = 60_000, blocks: Blocks | None = None, strict: bool = False) -> DataFrame:
+    """1 where two runs have equally many boundaries, pairwise within ``tol`` (``strict``: closer than it)."""
     o = Ordered(KEY, ["t_us"], blocks)
     a = o.number(run1.select("clip_id", "t_us"), "i")
     b = o.number(run2.select("clip_id", "t_us"), "i").withColumnRenamed("t_us", "u_us")
     j = a.join(b, ["clip_id", "i"], "full")
-    ok = F.coalesce(F.abs(F.col("t_us") - F.col("u_us")) <= tol, F.lit(False))
+    off = F.abs(F.col("t_us") - F.col("u_us"))
+    ok = F.coalesce(off < tol if strict else off <= tol, F.lit(False))
     return j.groupBy("clip_id").agg(F.min(ok.cast("int")).alias("same"))
 
 

@@ -23,6 +23,16 @@ def restrict_vocab(inventory: DataFrame, verified: DataFrame) -> DataFrame:
     return j.join(any_ok, "clip_id").where((F.col("_v") == 1) | (F.col("_any") == 0)).select(*inventory.columns)
 
 
+def dropped_names(proposed: DataFrame, verified: DataFrame) -> DataFrame:
+    """Proposed names of a clip that were not verified."""
+    return proposed.select("clip_id", "name").distinct().join(verified, ["clip_id", "name"], "left_anti")
+
+
+def provenance_values(rows: DataFrame, column: str = "src") -> DataFrame:
+    """Distinct provenance values, for a legend."""
+    return rows.select(column).where(F.col(column).isNotNull()).distinct()
+
+
 def filter_candidates(c: DataFrame, min_area: float = 0.0002, max_area: float = 0.40, max_on_hand: float = 0.70) -> DataFrame:
     """Geometry gate: area in range, touching the box, not on the wrist, not mostly on the hand.
     Columns: ``area`` (share of the picture), ``in_box``, ``on_wrist`` (0/1), ``on_hand`` (share)."""

@@ -181,6 +181,11 @@ def apply_overrides(segs: DataFrame, overrides: DataFrame) -> DataFrame:
     return rest.unionByName(overrides.withColumn("override_applied", F.lit(1)))
 
 
+def override_originals(segs: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The rows that `apply_overrides` sets aside: the pipeline's own segments of overridden clips."""
+    return segs.join(overrides.select("clip_id").distinct(), KEY, "left_semi")
+
+
 def oov_words(hands: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Label words missing from the clip's catalogue (longer than two, not a number)."""
     w = hands.select("clip_id", F.explode(X.label_words("label")).alias("word")).distinct()

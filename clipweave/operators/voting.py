@@ -164,6 +164,12 @@ def stride_sample(df: DataFrame, order: str, m: int, blocks: Blocks | None = Non
     return d.where((F.col("_i") % F.col("_s") == 0) & (F.expr("_i div _s") < m)).drop("_i", "_n", "_s")
 
 
+def every_kth(df: DataFrame, order: str, src_fps: float, target_fps: float, blocks: Blocks | None = None) -> DataFrame:
+    """Every k-th row of a clip, k = src / target rounded half to even and at least one."""
+    k = max(1, round(src_fps / target_fps))
+    return Ordered(KEY, [order], blocks).number(df, "_i").where(F.col("_i") % k == 0).drop("_i")
+
+
 def assign_shards(df: DataFrame, order: str, n: int, blocks: Blocks | None = None) -> DataFrame:
     """Round-robin shard of each distinct time."""
     o = Ordered(KEY, [order], blocks)

@@ -67,6 +67,11 @@ def to_legacy(episodes: DataFrame, model: str = "") -> DataFrame:
     )
 
 
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows in one global order, as a sink that writes numbered files needs them (a range exchange, no single task)."""
+    return df.orderBy(*keys)
+
+
 def build_manifest(keys: DataFrame) -> DataFrame:
     """Published keys ``<stem>__<version>`` (split at the last ``__``) with the versions of each stem in order."""
     stem, ver = F.regexp_extract("key", "^(.*)__(.*)$", 1), F.regexp_extract("key", "^(.*)__(.*)$", 2)
