@@ -201,3 +201,27 @@ def test_frozen_label_is_flagged(spark, rows):
     ev = spark.createDataFrame([(1, 5 * SEC + 300_000, "left", "place")], "clip_id long, t_us long, hand string, kind string")
     assert rows(A.frozen_across(s, ev), "seg", "hand") == [(1, "left")]
     assert rows(A.dup_across(s, ev), "seg") == [(1,)]
+
+
+def test_equal_points_stay_apart(spark, rows):
+    s = segs(spark, [(1, 0, 0, 100, "a", "b"), (1, 1, 100, 200, "a", "b")])
+    ev = spark.createDataFrame([(1, 150), (1, 150), (2, 5)], "clip_id long, t_us long")
+    assert rows(J.label_at(ev, s, "closed"), "clip_id", "t_us", "seg") == [(1, 150, 1), (1, 150, 1), (2, 5, None)]
+    assert rows(J.owner_segment(ev, s, 0), "clip_id", "seg") == [(1, 1), (1, 1), (2, 0)]
+
+
+def test_best_view_is_per_clip(spark, rows):
+    c = spark.createDataFrame([(1, "cup", 0, 0, 5, [1]), (2, "cup", 3, 1, 9, [1])], "clip_id long, name string, frame long, cand long, score long, mask array<long>")
+    assert rows(D.best_view(c, 33), "clip_id", "frame") == [(1, 0), (2, 3)]
+
+
+def test_clip_findings_reach_the_document(spark):
+    from clipweave.sinks import writers as K
+
+    s = segs(spark, [(1, 0, 0, SEC, "a", "b")]).withColumn("needs_review", F.lit(0))
+    lanes = spark.createDataFrame([(1, "left", 0, SEC, "a")], "clip_id long, hand string, start_us long, end_us long, label string")
+    flags = spark.createDataFrame([], "clip_id long, seg long, type string")
+    qa = spark.createDataFrame([(1, -1, "both", "DIRECTION-CONFLICT", "assembly")], "clip_id long, seg long, hand string, code string, detail string")
+    clips = spark.createDataFrame([(1, SEC)], "clip_id long, dur_us long")
+    doc = K.assemble_episodes(s, lanes, flags, qa, clips).first()
+    assert [(q.seg, q.code) for q in doc["_qa"].violations] == [(0, "DIRECTION-CONFLICT")]
