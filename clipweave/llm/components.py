@@ -18,7 +18,6 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: every larger neighbour of a node is tied to the node's smallest neighbour
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         e = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-        e = kept(e)
         # small star: a node's smaller neighbours and the node itself are tied to the smallest of them
         low = e.groupBy("a").agg(F.min("b").alias("low"))
         tied = e.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))

@@ -11,9 +11,8 @@ smallest hash as its pivot. Steps:
 2. Classes meet their regions' pivots; exact distances to pivots are computed, and links join components.
 3. A region whose members are in one component is settled: nothing more can change the components there. In
    the others the triangle inequality leaves, for each document, the window of members whose distance to
-   the pivot differs by at most the threshold, and the number of regions that two documents share bounds
-   their overlap from above. Further pivots (``GROWTH`` times as many in each round, until all members are)
-   are compared with what is left, until all regions are settled.
+   the pivot differs by at most the threshold. Further pivots (``GROWTH`` times as many in each round, until
+   all members are) are compared with what is left, until all regions are settled.
 
 Regions are rows, never collected; a region of any size is spread by joins on pairs. Only the sketch
 (2 ** ``BITS`` bytes) and a bit map that thins the scan for texts (2 ** ``BITS`` bits) are broadcast.
@@ -240,29 +239,28 @@ def links(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
     near = kept(compared(pairs, text, seed))
     linked = near.filter(f"inter * 100 >= either * {PERCENT}").select(F.col("x").alias("a"), F.col("p").alias("b"))
     roots = kept(components(linked))
-    # distances to the region's pivot give the windows of the later rounds
+    # distances to the region's pivot give the windows of the later rounds; the pivot itself is done there
     far = near.select("x", "p", (1 - F.col("inter") / F.col("either")).alias("far"))
-    member = member.join(far, ["x", "p"], "left").withColumn("far", F.when(F.col("x") == F.col("p"), 0.0).otherwise(F.col("far")))
-    member = kept(unsettled(member, roots))
+    member = kept(unsettled(member.filter("x <> p").join(far, ["x", "p"], "left"), roots))
+    # regions with the same members say the same: one of them is enough
+    alike = member.groupBy("s").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("x")).alias("h1"), F.bit_xor(F.xxhash64("x", F.lit(2))).alias("h2"))
+    one = alike.groupBy("k", "h1", "h2").agg(F.min("s").alias("s"))
+    member = kept(member.join(one.select("s"), "s"))
     most = member.agg(F.max("m")).first()[0] or 0
     share, full = 1, not most
     while not full:
         share, tried = share * GROWTH, share
         full = share >= most
-        # pivots of this round: members whose place is among the first ``share`` of the largest region, in expectation
-        part = F.col("u") * most
+        # pivots of this round: members whose place is among the first ``share`` of the region, in expectation
+        part = F.col("u") * F.col("m")
         chosen = member.filter(part >= tried if tried > 1 else part >= 0)
         chosen = chosen if full else chosen.filter(part < share)
         chosen = chosen.select("s", F.col("x").alias("q"), F.col("n").alias("qn"), F.col("u").alias("q_u"), F.col("root").alias("q_root"), F.col("far").alias("q_far"))
         window = F.coalesce(F.abs(F.col("far") - F.col("q_far")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
         # each pair once: with the pivot that comes first in the order, in that one's round
         once = (F.col("u") > F.col("q_u")) | ((F.col("u") == F.col("q_u")) & (F.col("x") > F.col("q")))
-        meet = member.join(chosen, "s").filter((F.col("root") != F.col("q_root")) & compatible("n", "qn") & once)
-        met = meet.groupBy("x", "q").agg(F.count("*").alias("c"), F.min(window).alias("window"), F.first("n").alias("n"), F.first("qn").alias("qn"))
-        # all regions that the two share are open and hold q, so c is how many rare shingles they share
-        rest = F.greatest(F.ceil(F.col("n") * PERCENT / 100), F.ceil(F.col("qn") * PERCENT / 100)) - 1
-        over = F.least(F.col("c") + rest, F.col("n"), F.col("qn"))
-        pairs = kept(met.filter("window").filter(over * 100 >= (F.col("n") + F.col("qn") - over) * PERCENT).select("x", F.col("q").alias("p")))
+        meet = member.join(chosen, "s").filter((F.col("root") != F.col("q_root")) & compatible("n", "qn") & once & window)
+        pairs = kept(meet.select("x", F.col("q").alias("p")).distinct())
         text = text.unionByName(texts(rows, pairs, classes, seed, text))
         more = compared(pairs, text, seed).filter(f"inter * 100 >= either * {PERCENT}").select(F.col("x").alias("a"), F.col("p").alias("b"))
         old = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
