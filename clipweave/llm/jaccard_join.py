@@ -11,7 +11,7 @@ smallest hash as its pivot. Steps:
 2. Classes meet their regions' pivots; exact distances to pivots are computed, and links join components.
 3. A region whose members are in one component is settled: nothing more can change the components there. In
    the others the triangle inequality leaves, for each document, the window of members whose distance to
-   the pivot differs by at most the threshold. Further pivots (``GROWTH`` times as many in each round, until
+   the pivot differs by at most the threshold; shingles that no other open document has bound overlaps. Further pivots (``GROWTH`` times as many in each round, until
    all members are) are compared with what is left, until all regions are settled.
 
 Regions are rows, never collected; a region of any size is spread by joins on pairs. Only the sketch
@@ -210,6 +210,19 @@ def compared(pairs: DataFrame, text: DataFrame, seed: int) -> DataFrame:
     return two.select("x", "p", "tx", "tp").mapInArrow(work, "x long, p long, inter long, either long")
 
 
+def lonely(text: DataFrame, seed: int) -> DataFrame:
+    """(x, own): how many shingles of each class no other class of ``text`` has."""
+
+    def work(batches):
+        for batch in by_text(batches):
+            sets = sets_of(texts_of(batch), seed)
+            x = np.repeat(batch.column("x").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.concatenate(sets).view(np.int64))], names=["x", "s"])
+
+    each = text.select("x", "text").mapInArrow(work, "x long, s long")
+    return each.groupBy("s").agg(F.count("*").alias("df"), F.min("x").alias("x")).filter("df = 1").groupBy("x").agg(F.count("*").alias("own"))
+
+
 def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the regions whose members are in several components, with the component as ``root``."""
     now = members.drop("root").join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
@@ -246,6 +259,12 @@ def links(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
     alike = member.groupBy("s").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("x")).alias("h1"), F.bit_xor(F.xxhash64("x", F.lit(2))).alias("h2"))
     one = alike.groupBy("k", "h1", "h2").agg(F.min("s").alias("s"))
     member = kept(member.join(one.select("s"), "s"))
+    # what no other open class has is in no intersection: it bounds overlaps, and rules some classes out
+    open_ = kept(member.select("x").distinct())
+    text = text.unionByName(texts(rows, open_.select("x", F.col("x").alias("p")), classes, seed, text))
+    own = lonely(text.join(open_, "x", "left_semi"), seed)
+    member = member.join(own, "x", "left").withColumn("can", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    member = kept(member.filter(F.col("can") * 100 >= F.col("n") * PERCENT))
     most = member.agg(F.max("m")).first()[0] or 0
     share, full = 1, not most
     while not full:
@@ -255,11 +274,13 @@ def links(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
         part = F.col("u") * F.col("m")
         chosen = member.filter(part >= tried if tried > 1 else part >= 0)
         chosen = chosen if full else chosen.filter(part < share)
-        chosen = chosen.select("s", F.col("x").alias("q"), F.col("n").alias("qn"), F.col("u").alias("q_u"), F.col("root").alias("q_root"), F.col("far").alias("q_far"))
+        chosen = chosen.select("s", F.col("x").alias("q"), F.col("n").alias("qn"), F.col("u").alias("q_u"), F.col("root").alias("q_root"), F.col("far").alias("q_far"), F.col("can").alias("q_can"))
+        over = F.least("can", "q_can")
+        bound = over * 100 >= (F.col("n") + F.col("qn") - over) * PERCENT
         window = F.coalesce(F.abs(F.col("far") - F.col("q_far")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
         # each pair once: with the pivot that comes first in the order, in that one's round
         once = (F.col("u") > F.col("q_u")) | ((F.col("u") == F.col("q_u")) & (F.col("x") > F.col("q")))
-        meet = member.join(chosen, "s").filter((F.col("root") != F.col("q_root")) & compatible("n", "qn") & once & window)
+        meet = member.join(chosen, "s").filter((F.col("root") != F.col("q_root")) & compatible("n", "qn") & bound & once & window)
         pairs = kept(meet.select("x", F.col("q").alias("p")).distinct())
         text = text.unionByName(texts(rows, pairs, classes, seed, text))
         more = compared(pairs, text, seed).filter(f"inter * 100 >= either * {PERCENT}").select(F.col("x").alias("a"), F.col("p").alias("b"))
