@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, chunks
-from .common import by_text, query, table, texts_of
+from .common import by_text, modest_batches, query, table, texts_of
 
-CACHE = 200_000  # slices remembered by a worker
+CACHE = 100_000  # slices remembered by a worker
 BLOCK = 64
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_LAST, WHITE_LAST, WHITE, END = range(9)
 FRESH, IN_LETTER, IN_NUMBER, IN_OTHER, IN_WHITE, AFTER_SPACE, SKIP1, SKIP2 = range(8)
@@ -182,7 +182,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [x for x, _ in c.encode(texts_of(batch))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>")
+    return modest_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -216,7 +216,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             n, a, b, same = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(same)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
+    return modest_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
 
 
 @query("op4_byte_bpe")

@@ -50,6 +50,16 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ``rows`` rows: texts are long, and both the JVM and the
+    Python side hold whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def by_text(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of about ``chars`` bytes of ``text``, so that what Python holds at
     once stays bounded whatever the lengths of the documents; one document is never cut."""

@@ -35,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text, fresh, kept, named, plain_names, query, table, texts_of
+from .common import by_text, fresh, kept, modest_batches, named, plain_names, query, table, texts_of
 from .components import components
 
 SIZE = 5
 PERCENT = 80
-BITS, SLICES = 24, 64
+BITS, SLICES = 23, 64
 GROWTH = 16
 _C = np.random.default_rng(20).integers(1, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -53,7 +53,7 @@ class Hashes(dict):
         self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
@@ -233,7 +233,7 @@ def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
 def links(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
     """Every document's (doc_id, n, x), (node, root) of the classes that are linked with others, and the
     hash seed of ``x``."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = modest_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     first = kept(first_pass(rows, seed))
     each = first.filter("slice is null").select("doc_id", "n", "x", "y")
     classes = kept(each.filter("n > 0").groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.min("y").alias("y"), F.max("y").alias("y2")))

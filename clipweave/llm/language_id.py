@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text, crc_bucket, query, table, texts_of
+from .common import by_text, crc_bucket, modest_batches, query, table, texts_of
 
 LEVEL = 5
 # ASCII signs and digits, which tell nothing of a language and are left out on both sides.
@@ -90,7 +90,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], piece: int = 3072,
             lang, score, rejected = zip(*(one(m, t) for t in texts_of(batch)), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang), pa.array(score, pa.float64()), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, lang_pred string, score double, rejected boolean")
+    return modest_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 @query("op9_language_id")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, chunks
-from .common import by_text, query, table, texts_of
+from .common import by_text, modest_batches, query, table, texts_of
 
 CACHE = 300_000  # words remembered by a worker
 
@@ -67,7 +67,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return modest_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 @query("op3_token_counts")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text, crc_bucket, plain_names, query, table, texts_of
+from .common import by_text, crc_bucket, modest_batches, plain_names, query, table, texts_of
 
 WINDOW, STRIDE = 32, 24
 WORDS, GRAMS, ODDS = 1 << 13, 1 << 12, 1 << 17  # hashed rows
@@ -337,7 +337,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         for batch in by_text(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.scores(texts_of(batch)), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double")
+    return modest_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double")
 
 
 def clean(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
@@ -349,7 +349,7 @@ def clean(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
         for batch in by_text(batches):
             yield batch.filter(pa.array(m.scores(texts_of(batch)) < threshold))
 
-    by_place = plain_names(docs)
+    by_place = modest_batches(plain_names(docs))
     return by_place.mapInArrow(work, by_place.schema).toDF(*docs.columns)
 
 
