@@ -41,12 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back: later branches read the
     files, and a lost executor costs no recomputation of what went before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

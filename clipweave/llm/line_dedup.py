@@ -36,7 +36,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """(id, line, chars, first, n) of every distinct line; ``first`` is its smallest (doc_id, line_no)."""
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "line_no")
     each = lines_of(docs).groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    return kept(each.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("chars"), "first", "n"))
+    return kept(each.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("chars"), "first", "n"), "zstd")
 
 
 def segment(chars, i: int, edits: int):
