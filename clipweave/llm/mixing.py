@@ -8,7 +8,13 @@ no more than a cold one, and the factors return to documents by a join whose sma
 broadcasts only under its own size limit.
 
 By default a value's target share is its natural share to the power ``temper``, and ``fraction`` of all tokens
-are to be kept: factors are scaled until the expected tokens, with probabilities cut at 1, meet that.
+are to be kept. Raking works under the bound p <= 1: cells that reach 1 are held there and the others are raked again,
+until every marginal of the expected sample is within ``TOLERANCE`` of all tokens of what it should be. A value that has
+fewer tokens than its target asks for is kept whole, and the other values of its axis share the rest in proportion to
+their targets; ``report`` lists natural, target and reached shares, and the fraction up to which a target could be met.
+
+``op5_mixing`` takes ``bounded=False``, the form its SQL states: free raking, then one scale and a cut at 1, which restores
+the total alone and not the marginals. ``sample``, and so the pipeline, is bounded.
 
 Defined cases: a null source or language counts as the value "(none)"; a null or empty text has 0 tokens
 and takes its cell's probability; rows that repeat an id share its fate; targets for values that do not occur
@@ -28,6 +34,8 @@ ROUNDS = 5
 TEMPER = 0.7
 FRACTION = 0.75
 SCALES = 8
+TOLERANCE = 1e-4
+MOST_ROUNDS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 
 # What marks the form of a text, first match wins; it stands in for a topic.
@@ -73,13 +81,61 @@ def shares(cells: DataFrame, axis: str, total: float, temper: float, targets: di
     return sized.select(axis, (F.col("part") / F.lit(whole or 1.0) * F.lit(total)).alias("want"))
 
 
-def rake(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, fraction: float = FRACTION) -> DataFrame:
-    """(source, lang, topic, weight, p): each cell's factor and the probability its documents stay with."""
+def reachable(cells: DataFrame, axis: str, want: DataFrame, fraction: float) -> DataFrame:
+    """(axis, want): ``want`` times ``fraction``, but no more than a value has; others of the axis take over what is missing."""
+    mass = cells.groupBy(axis).agg(F.sum("tokens").cast("double").alias("mass"))
+    both = kept(want.join(mass, axis))
+    goal = fraction * (both.agg(F.sum("want")).first()[0] or 0.0)
+    scale, before = fraction, -1
+    while True:
+        full = F.col("want") * F.lit(scale) >= F.col("mass")
+        s = both.agg(F.count(F.when(full, 1)).alias("n"), F.sum(F.when(full, F.col("mass"))).alias("full"), F.sum(F.when(~full, F.col("want"))).alias("rest")).first()
+        if s.n == before or not s.rest:
+            break
+        before, scale = s.n, max(scale, (goal - (s.full or 0.0)) / s.rest)  # held values only become more
+    return both.select(axis, F.least("mass", F.col("want") * F.lit(scale)).alias("want"))
+
+
+def bounded_rake(cells: DataFrame, wants: dict[str, DataFrame], total: float, fraction: float) -> DataFrame:
+    """(source, lang, topic, tokens, weight, p): raked so that expected tokens meet ``wants`` with no p above 1."""
+    cells = kept(cells.select(*AXES, "tokens", F.lit(float(fraction)).alias("u")))
+    free = F.col("u") < 1
+    has = F.sum(F.col("tokens") * F.least("u", F.lit(1.0))).alias("has")
+    for _ in range(MOST_ROUNDS):
+        for a in AXES:
+            held = F.sum(F.when(~free, F.col("tokens")).otherwise(0)).alias("held")
+            open_ = F.sum(F.when(free, F.col("tokens") * F.col("u")).otherwise(0.0)).alias("open")
+            # upwards only open cells give more; downwards all are lowered, and those that stay above 1 are lowered again
+            up = F.when(F.col("open") > 0, (F.col("want") - F.col("held")) / F.col("open"))
+            down = F.try_divide("want", "has")
+            step = cells.groupBy(a).agg(has, held, open_).join(wants[a], a).select(a, F.when(F.col("want") >= F.col("has"), up).otherwise(down).alias("step"))
+            moved = F.least(F.col("u") * F.coalesce("step", F.lit(1.0)), F.lit(1e9))
+            cells = kept(cells.join(step, a, "left").select(*AXES, "tokens", moved.alias("u")))
+        off = [cells.groupBy(a).agg(has).join(wants[a], a).select(F.abs(F.col("has") - F.col("want")).alias("off")) for a in AXES]
+        if off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("off")).first()[0] <= TOLERANCE * total:
+            break
+    p = F.least("u", F.lit(1.0))
+    return cells.select(*AXES, "tokens", F.coalesce(F.try_divide(p, F.lit(float(fraction))), F.lit(0.0)).alias("weight"), p.alias("p"))
+
+
+def rake(
+    rows: DataFrame,
+    targets: dict[str, dict[str, float]] | None = None,
+    rounds: int = ROUNDS,
+    temper: float = TEMPER,
+    fraction: float = FRACTION,
+    bounded: bool = True,
+) -> DataFrame:
+    """(source, lang, topic, weight, p): each cell's factor and the probability its documents stay with. ``rounds`` counts
+    for free raking; bounded raking ends by its tolerance, and its ``weight`` is p over ``fraction``."""
     cells = kept(rows.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")))
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
         return cells.select(*AXES, F.lit(1.0).alias("weight"), F.lit(1.0).alias("p"))
     wants = {a: kept(shares(cells, a, total, temper, (targets or {}).get(a))) for a in AXES}
+    if bounded:
+        reach = {a: kept(reachable(cells, a, wants[a], fraction)) for a in AXES}
+        return bounded_rake(cells, reach, total, fraction).drop("tokens")
     cells = cells.withColumn("weight", F.lit(1.0))
     for _ in range(rounds):
         for a in AXES:
@@ -96,6 +152,29 @@ def rake(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, ro
     return cells.select(*AXES, "weight", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)).alias("p"))
 
 
+def report(rows: DataFrame, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, fraction: float = FRACTION) -> DataFrame:
+    """(axis, value, natural, target, share, most, met): for every value its shares of all tokens, of the target and of the
+    expected sample of ``cells``; the largest fraction at which its own tokens suffice; whether its tokens meet the target
+    at ``fraction`` within the tolerance."""
+    each = kept(rows.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")).join(cells, list(AXES)))
+    s = each.agg(F.sum("tokens").alias("all"), F.sum(F.col("tokens") * F.col("p")).alias("left")).first()
+    total, left = float(s["all"] or 0), float(s["left"] or 0)
+    out = None
+    for a in AXES:
+        now = each.groupBy(a).agg(F.sum("tokens").alias("mass"), F.sum(F.col("tokens") * F.col("p")).alias("has"))
+        one = now.join(shares(each, a, total, temper, (targets or {}).get(a)), a).select(
+            F.lit(a).alias("axis"),
+            F.col(a).alias("value"),
+            (F.col("mass") / F.lit(total)).alias("natural"),
+            (F.col("want") / F.lit(total)).alias("target"),
+            F.try_divide("has", F.lit(left)).alias("share"),
+            F.least(F.lit(1.0), F.coalesce(F.try_divide("mass", "want"), F.lit(1.0))).alias("most"),
+            (F.abs(F.col("has") - F.col("want") * F.lit(fraction)) <= F.lit(2 * TOLERANCE * total)).alias("met"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def mix(docs: DataFrame, targets=None, topic=None, **options) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, weight, p, kept) of every document."""
     rows = kept(measured(docs, topic))
@@ -156,4 +235,4 @@ FROM d JOIN c{n} USING (source, lang, topic), s{SCALES}"""
 
 @query("op5_mixing", sql())
 def op5(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), bounded=False)

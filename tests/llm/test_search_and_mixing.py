@@ -60,3 +60,35 @@ def test_mixing_of_odd_documents(spark):
     assert mixing.mix(empty(spark)).count() == mixing.sample(empty(spark)).count() == 0
     blank = docs.withColumn("text", F.lit(" "))
     assert mixing.mix(blank).filter("kept").count() == docs.count()
+
+
+def test_registered_mixing_defaults_meet_targets_under_the_bound(spark):
+    """Every value holds what its target asks, or all it has; the others of its axis keep the targets' proportions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.kept(mixing.measured(docs))
+    cells = mixing.kept(mixing.rake(rows))
+    assert cells.filter("p > 1 or p < 0").count() == 0
+    got = mixing.report(rows, cells).toPandas()
+    for _, axis in got.groupby("axis"):
+        whole = axis.most <= mixing.FRACTION
+        kept_share = axis.share * mixing.FRACTION
+        assert abs(axis.share.sum() - 1) < 1e-9
+        ratio = kept_share / axis.target
+        # a value short of its target stays whole; so do those that the redistribution fills up
+        full = (kept_share - axis.natural).abs() < 5e-4
+        assert full[whole].all()
+        assert ((kept_share - axis.target * ratio[~full].median()).abs() < 5e-4)[~full].all()
+        assert axis.met[~whole].all() or whole.any()
+    assert {"prose"} < set(got[got.axis == "topic"].value) and not got[got.axis == "topic"].met.all()
+    total, left = rows.groupBy().sum("tokens").first()[0], rows.join(cells, list(mixing.AXES)).selectExpr("sum(tokens * p)").first()[0]
+    assert abs(left / total - mixing.FRACTION) < 1e-3
+
+
+def test_bounded_mixing_keeps_other_marginals_when_one_cell_is_cut(spark):
+    """A rare language that is kept whole must not shift the shares of the sources it lies in."""
+    rows = [(i, "word " * 10, "xx" if i % 50 == 0 else "en", "a" if i % 50 == 0 or i % 2 else "b") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix(docs, {"source": {"a": 0.5, "b": 0.5}, "lang": {"xx": 0.1, "en": 0.9}}, fraction=0.75).toPandas()
+    left = (out.p * out.tokens).groupby(out.source).sum() / out.tokens.sum()
+    assert abs(left["a"] - 0.375) < 1e-3 and abs(left["b"] - 0.375) < 1e-3
+    assert (out.p[out.lang == "xx"] > 0.999).all()
