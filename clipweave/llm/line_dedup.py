@@ -75,26 +75,50 @@ def near(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     return both.filter(F.levenshtein("la", "lb", edits) >= 0).select("a", "b")
 
 
-def judged(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Per distinct line: its first place (doc_id, line_no), n_rows, n_links to other lines within
-    ``edits`` edits, ``kept`` (none of those comes first), chars and line_sha256."""
-    lines = classes(docs)
-    links = kept(near(lines, edits, min_chars))
+def marked(lines: DataFrame, links: DataFrame) -> DataFrame:
+    """``lines`` with n_links of each class and ``kept``: none of the classes it links with comes first."""
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = lines.select(F.col("id").alias("b"), F.col("first").alias("other"))
     linked = ends.join(first, "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
     out = lines.join(linked.withColumnRenamed("a", "id"), "id", "left")
     return out.select(
-        F.col("first.doc_id").alias("doc_id"),
-        F.col("first.line_no").alias("line_no"),
-        F.col("n").alias("n_rows"),
+        "id",
+        "line",
+        "chars",
+        "first",
+        "n",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce(F.col("first") <= F.col("other"), F.lit(True)).alias("kept"),
-        "chars",
-        F.sha2("line", 256).alias("line_sha256"),
     )
 
 
+def judged(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Per distinct line: its first place (doc_id, line_no), n_rows, n_links to other lines within
+    ``edits`` edits, ``kept`` (none of those comes first), chars and line_sha256."""
+    lines = classes(docs)
+    out = marked(lines, kept(near(lines, edits, min_chars)))
+    place = F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")
+    return out.select(*place, F.col("n").alias("n_rows"), "n_links", "kept", "chars", F.sha2("line", 256).alias("line_sha256"))
+
+
+def members_and_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Two kinds of rows. ``line``: every occurrence (doc_id, line_no) with its class_id (the line's SHA-256), the class's
+    n_rows, n_links and chars, and ``kept`` (the first place of a class that links with no earlier one; rows that repeat
+    an id share its places). ``link``: the pairs class_id < other_id of classes within ``edits`` edits, once each."""
+    digest = F.unhex(F.sha2("line", 256)).alias("key")
+    lines = classes(docs)
+    links = kept(near(lines, edits, min_chars))
+    each = kept(marked(lines, links).select("id", digest, "chars", "first", "n", "n_links", "kept"))
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
+    name = lambda c: F.lower(F.hex(c))
+    rows = lines_of(docs).select("doc_id", "line_no", digest).join(each.drop("id"), "key")
+    rows = rows.select(F.lit("line").alias("kind"), "doc_id", "line_no", name("key").alias("class_id"), F.col("n").alias("n_rows"), "n_links", (F.col("kept") & here).alias("kept"), "chars")
+    end = lambda c: each.select(F.col("id").alias(c), F.col("key").alias(f"key_{c}"))
+    ends = links.join(end("a"), "a").join(end("b"), "b")
+    pairs = ends.select(F.lit("link").alias("kind"), name(F.least("key_a", "key_b")).alias("class_id"), name(F.greatest("key_a", "key_b")).alias("other_id"))
+    return rows.unionByName(pairs, allowMissingColumns=True)
+
+
 def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without lines that repeat an earlier one, or are within ``edits`` edits of one. Of a
     line's occurrences the first stays; an empty line stays wherever it is, as layout."""
@@ -117,4 +141,4 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 @query("op7_line_dedup")
 def op7(spark, sf_dir):
-    return judged(table(spark, sf_dir, "documents"))
+    return members_and_links(table(spark, sf_dir, "documents"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -139,6 +140,31 @@ def test_line_links_match_all_pairs(spark, edits):
         assert (r.n_rows, r.n_links, r.kept) == (len(at), len(link), all(min(at) < min(places[b]) for b in link))
 
 
+def registered_lines(spark, docs, monkeypatch):
+    """op7's rows over ``docs``: {(doc_id, line_no): [row]} and the set of links."""
+    monkeypatch.setattr(line_dedup, "table", lambda *_: spark.createDataFrame(docs, "doc_id long, text string"))
+    out = line_dedup.op7(spark, "").collect()
+    at = {}
+    for r in out:
+        if r.kind == "line":
+            at.setdefault((r.doc_id, r.line_no), []).append(r)
+    links = [(r.class_id, r.other_id) for r in out if r.kind == "link"]
+    assert len(links) == len(set(links))
+    return at, set(links)
+
+
+def test_registered_line_dedup_returns_members_and_links(spark, monkeypatch):
+    line, close = "a line that three documents hold", "a line that three documents held"
+    docs = [(1, line), (7, f"{line}\nown line of seven here"), (9, line), (9, line), (12, close), (None, close), (13, None)]
+    at, links = registered_lines(spark, docs, monkeypatch)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert {k: len(v) for k, v in at.items()} == {(1, 0): 1, (7, 0): 1, (7, 1): 1, (9, 0): 2, (12, 0): 1, (None, 0): 1}
+    assert {at[k][0].class_id for k in [(1, 0), (7, 0), (9, 0)]} == {sha(line)}
+    assert links == {tuple(sorted([sha(line), sha(close)]))}
+    assert [k for k, v in at.items() if v[0].kept] == [k for k in at if k in {(1, 0), (7, 1)}]
+    assert {(r.n_rows, r.n_links) for r in at[(9, 0)]} == {(4, 1)} and (at[(12, 0)][0].n_rows, at[(12, 0)][0].n_links) == (2, 1)
+
+
 def test_line_dedup_text(spark):
     line, close = "a line that is long enough", "a line that is long enoughs"
     docs = spark.createDataFrame([(1, f"{line}\nfirst\n\nshort"), (2, f"{close}\nshort\n\nnew"), (3, None), (4, line)], "doc_id long, text string")
