@@ -8,7 +8,9 @@ of and right of it (at most twelve for two edits). Meeting pairs are verified by
 fills only the band around the diagonal. It is not bit-parallel: bit-vector arithmetic over a string of
 any length has no counterpart among the built-in functions.
 
-Lines of fewer than ``min_chars`` code points are compared for equality only; so short lines are seldom variants.
+No length is left out: lines of at most ``edits`` code points have empty segments, which occur in every line, so they meet
+all lines whose length allows a link. With ``min_chars``, lines of fewer code points are compared for equality only.
+``deduplicate`` takes ``edits + 1`` for it: below that any two lines link, and an empty line would remove them all.
 
 Defined cases: a null text has no lines; an empty text is one empty line; rows that repeat an id give
 further occurrences; a null id sorts last; an empty table gives an empty result; other columns are ignored,
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import fresh, kept, named, query, table
 
 EDITS = 2
-MIN_CHARS = 16
+MIN_CHARS = 0
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def keys(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
 
 def near(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b), a < b: the classes of ``lines`` within ``edits`` edits of each other."""
-    fit = lines.filter(F.col("chars") >= max(min_chars, edits + 1))
+    fit = lines.filter(F.col("chars") >= min_chars)
     index, probes = keys(fit, edits)
     pairs = index.withColumnRenamed("id", "a").join(probes.withColumnRenamed("id", "b"), "key").filter("a <> b")
     pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -119,10 +121,10 @@ def members_and_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_
     return rows.unionByName(pairs, allowMissingColumns=True)
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int | None = None) -> DataFrame:
     """The documents without lines that repeat an earlier one, or are within ``edits`` edits of one. Of a
     line's occurrences the first stays; an empty line stays wherever it is, as layout."""
-    stay = judged(docs, edits, min_chars).filter("kept").select("doc_id", "line_no", "line_sha256")
+    stay = judged(docs, edits, edits + 1 if min_chars is None else min_chars).filter("kept").select("doc_id", "line_no", "line_sha256")
     row, new = fresh(docs, "_row", "_new")
     whole = kept(docs.select(*named(docs), F.monotonically_increasing_id().alias(row)))
     line = F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line")

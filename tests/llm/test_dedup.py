@@ -165,6 +165,18 @@ def test_registered_line_dedup_returns_members_and_links(spark, monkeypatch):
     assert {(r.n_rows, r.n_links) for r in at[(9, 0)]} == {(4, 1)} and (at[(12, 0)][0].n_rows, at[(12, 0)][0].n_links) == (2, 1)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_registered_line_links_match_all_pairs_of_any_length(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    docs = [(i, "\n".join("".join(rng.choice("abcdé ") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 8, 12, 15, 16, 20]))) for _ in range(4))) for i in range(40)]
+    docs += [(90, "Del que.\nWith to to."), (91, "Del, que.\nWith, to to."), (92, "a line of twenty signs\na line of twenty sign")]
+    at, links = registered_lines(spark, docs, monkeypatch)
+    lines = {line for _, t in docs for line in t.split("\n")}
+    sha = {line: hashlib.sha256(line.encode()).hexdigest() for line in lines}
+    assert links == {tuple(sorted((sha[a], sha[b]))) for a in lines for b in lines if a < b and distance(a, b) <= line_dedup.EDITS}
+    assert {k: v[0].class_id for k, v in at.items()} == {(i, n): sha[line] for i, t in docs for n, line in enumerate(t.split("\n"))}
+
+
 def test_line_dedup_text(spark):
     line, close = "a line that is long enough", "a line that is long enoughs"
     docs = spark.createDataFrame([(1, f"{line}\nfirst\n\nshort"), (2, f"{close}\nshort\n\nnew"), (3, None), (4, line)], "doc_id long, text string")
