@@ -7,7 +7,7 @@ import pytest
 from clipweave.operators import signal as S
 from clipweave.operators import timeline as T
 from clipweave.operators import tracks as K
-from clipweave.plans.ordered import Blocks
+from clipweave.plans.ordered import Blocks, Ordered
 
 LABELS = ["N/A", "hold the bolt", "hold the long bolt", "place the nut", "pick up the plate"]
 
@@ -185,3 +185,15 @@ def test_possession_track(spark, rows, blocks):
 def test_snap_gaps_edge(spark, rows):
     t = spark.createDataFrame([(1, "left", 0, 10, "a"), (1, "left", 40, 50, "b"), (1, "left", 81, 90, "c")], "clip_id long, hand string, start_us long, end_us long, object string")
     assert rows(K.snap_gaps(t, 30), "start_us", "end_us") == [(0, 25), (25, 50), (81, 90)]
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "int", "long", "decimal(12,2)"])
+def test_smooth_takes_the_same_types_in_both_plans(spark, kind):
+    values = [(c, i * 10, None if i % 7 == 3 or c == 2 else (i * i % 23) * (0.25 if kind in ("double", "float") else 1)) for c in range(3) for i in range(40)]
+    df = spark.createDataFrame([(c, t, None if v is None else float(v)) for c, t, v in values], "clip_id long, t_us long, x double")
+    df = df.withColumn("x", df.x.cast(kind))
+    plain, split = (
+        sorted(tuple(r) for r in S.smooth(df, ["x"], 2, Ordered(["clip_id"], ["t_us"], b)).select("clip_id", "t_us", "x_smooth").collect())
+        for b in (None, Blocks(70))
+    )
+    assert plain == split and any(r[2] for r in plain)
