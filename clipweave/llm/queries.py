@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     byte_bpe,
     exact_dedup,
+    fill_in_middle,
     jaccard_join,
     language_id,
     line_dedup,
