@@ -12,6 +12,7 @@ from . import (  # noqa: F401
     token_counts,
     toxicity,
     url_filter,
+    warc,
 )
 from .common import ORACLES, QUERIES
 
