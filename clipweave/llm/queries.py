@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     byte_bpe,
+    collocations,
     exact_dedup,
     fill_in_middle,
     jaccard_join,
