@@ -39,17 +39,16 @@ def contact_stats(frames: DataFrame, segs: DataFrame, slack: int = 50_000, width
     s = segs.select("clip_id", "seg", "start_us", "end_us")
     j = touching_rows(frames_in_segments(frames.select("clip_id", "t_us", "left_touching", "right_touching"), s, slack, width))
     g = ["clip_id", "seg", "hand"]
-    j = j.withColumn("_e", X.is_empty("touching", "analysis"))
-    n = j.groupBy(*g).agg(F.count("*").alias("n"), F.count_if("_e").alias("n_empty"))
-    words = j.where(~F.col("_e")).select(*g, F.explode(X.label_words("touching")).alias("w")).distinct()
-    words = words.groupBy(*g).agg(F.array_sort(F.collect_list("w")).alias("touched"))
+    empty = X.is_empty("touching", "analysis")
+    names = F.collect_set(F.when(~empty, F.col("touching")))  # the different names a hand touches in one segment
+    n = j.groupBy(*g).agg(F.count("*").alias("n"), F.count_if(empty).alias("n_empty"), names.alias("_names"))
     base = unpivot_hands(s.withColumn("l", F.lit(0)).withColumn("r", F.lit(0)), "l", "r", "_x").select(*g)
-    out = base.join(n, g, "left").join(words, g, "left")
-    return out.select(
+    none = F.array().cast("array<string>")
+    return base.join(n, g, "left").select(
         *g,
         F.coalesce("n", F.lit(0)).alias("n"),
         F.coalesce("n_empty", F.lit(0)).alias("n_empty"),
-        F.coalesce("touched", F.array().cast("array<string>")).alias("touched"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce("_names", none), X.label_words)))).alias("touched"),
     )
 
 

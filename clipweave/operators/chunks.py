@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.asof import around
 from ..plans.ordered import Blocks, Ordered
-from ..plans.ranges import points_in
+from ..plans.ranges import picked
 from .joins import KEY
 
 
@@ -77,7 +77,8 @@ def splice_seams(segs: DataFrame, jobs: DataFrame, new: DataFrame, blocks: Block
     """Replace each job's segments by its new rows (``clip_id, job, start_us, …``, times local to the
     job) and number the timeline again.  Jobs without new rows leave their segments alone."""
     done = jobs.join(new.select("clip_id", "job").distinct(), ["clip_id", "job"], "left_semi")
-    rest = points_in(segs, done.select("clip_id", "li", "ri"), KEY, F.col("seg"), F.col("li"), F.col("ri"), 64, "left_anti")
+    rest = picked(segs, done.select("clip_id", "li", "ri"), KEY, F.col("seg"), F.col("li"), F.col("ri"), 64, {"_jobs": F.count("li")})
+    rest = rest.where(F.col("_jobs") == 0)
     cols = [c for c in segs.columns if c != "seg"]
     add = new.join(jobs.select("clip_id", "job", "a_us"), ["clip_id", "job"])
     add = add.withColumn("start_us", F.col("start_us") + F.col("a_us")).withColumn("end_us", F.col("end_us") + F.col("a_us"))

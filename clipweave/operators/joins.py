@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import SEC
 from ..functions import text as X
 from ..plans.asof import nearest
 from ..plans.ordered import Blocks, Ordered
-from ..plans.ranges import overlapping, points_in
+from ..plans.ranges import overlapping, picked, points_in
 
 KEY = ["clip_id"]
 WIDTH = 10 * SEC
@@ -59,35 +59,27 @@ def _bounds(bounds: DataFrame) -> DataFrame:
 
 def unmatched_events(events: DataFrame, bounds: DataFrame, tol: int = 600_000, width: int = WIDTH) -> DataFrame:
     """Events without any boundary within ``tol``."""
-    return points_in(events, _bounds(bounds), KEY, F.col("t_us"), F.col("b_us") - tol, F.col("b_us") + tol, width, "left_anti")
-
-
-def _first_or_last(points: DataFrame, segs: DataFrame, lo: Column, hi: Column, width: int, pick: Column) -> DataFrame:
-    """``pick`` over the segments around each point; equal points are joined once and come back each."""
-    once = points.groupBy(*points.columns).agg(F.count("*").alias("_copies"))
-    j = points_in(once, segs, KEY, F.col("t_us"), lo, hi, width, "left")
-    out = j.groupBy(*once.columns).agg(pick.alias("seg"))
-    return out.select(*points.columns, "seg", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("col")
+    return points_in(events, _bounds(bounds), KEY, F.col("t_us"), F.col("b_us") - tol, F.col("b_us") + tol, width, "left_anti", 2 * tol)
 
 
 def owner_segment(events: DataFrame, segs: DataFrame, slack: int = 50_000, width: int = WIDTH) -> DataFrame:
     """First segment holding the event; segment 0 when there is none."""
     s = segs.select("clip_id", "seg", "start_us", "end_us")
-    pick = F.coalesce(F.min("seg"), F.lit(0))
-    return _first_or_last(events, s, F.col("start_us") - slack, F.col("end_us") + slack, width, pick)
+    pick = {"seg": F.coalesce(F.min("seg"), F.lit(0))}
+    return picked(events, s, KEY, F.col("t_us"), F.col("start_us") - slack, F.col("end_us") + slack, width, pick)
 
 
 def edge_segment(events: DataFrame, segs: DataFrame, side: str, tol: int = 400_000, width: int = WIDTH) -> DataFrame:
     """Last segment whose end (``before``) or start (``after``) is within ``tol`` of the event."""
     edge = F.col("end_us" if side == "before" else "start_us")
     s = segs.select("clip_id", "seg", edge.alias("edge_us"))
-    return _first_or_last(events, s, F.col("edge_us") - tol, F.col("edge_us") + tol, width, F.max("seg"))
+    return picked(events, s, KEY, F.col("t_us"), F.col("edge_us") - tol, F.col("edge_us") + tol, width, {"seg": F.max("seg")}, 2 * tol)
 
 
 def protected(bounds: DataFrame, events: DataFrame, tol: int = 500_000, width: int = WIDTH) -> DataFrame:
     """Boundary rows with a flag: an event lies within ``tol``."""
     ev = events.select("clip_id", F.col("t_us").alias("e_us")).distinct()
-    hit = points_in(bounds, ev, KEY, F.col("t_us"), F.col("e_us") - tol, F.col("e_us") + tol, width, "left_semi")
+    hit = points_in(bounds, ev, KEY, F.col("t_us"), F.col("e_us") - tol, F.col("e_us") + tol, width, "left_semi", 2 * tol)
     hit = hit.select(*bounds.columns).withColumn("_hit", F.lit(1))
     return bounds.join(hit.select("clip_id", "t_us", "_hit").distinct(), ["clip_id", "t_us"], "left").select(
         *bounds.columns, F.coalesce("_hit", F.lit(0)).alias("protected")
@@ -101,8 +93,7 @@ def contain_or_nearest(
     nearest midpoint.  ``points`` has ``clip_id, p_id, t_us``; ``spans`` has ``clip_id, seg, start_us, end_us``.
     Midpoints are compared at half-microsecond precision."""
     s = spans.select("clip_id", "seg", "start_us", "end_us")
-    j = points_in(points, s, KEY, F.col("t_us"), F.col("start_us") - slack, F.col("end_us") + slack, width, "left")
-    inside = j.groupBy(*points.columns).agg(F.min("seg").alias("seg"))
+    inside = picked(points, s, KEY, F.col("t_us"), F.col("start_us") - slack, F.col("end_us") + slack, width, {"seg": F.min("seg")})
     rest = inside.where(F.col("seg").isNull()).drop("seg").withColumn("_t2", F.col("t_us") * 2)
     mids = s.withColumn("_m2", F.col("start_us") + F.col("end_us"))
     wide = Blocks(blocks.width * 2) if blocks else None
@@ -138,7 +129,7 @@ def label_at(points: DataFrame, segs: DataFrame, mode: str, width: int = WIDTH)
         "closed": (F.col("start_us"), F.col("end_us")),
         "half_open": (F.col("start_us"), F.col("end_us") + 999),
     }[mode]
-    return _first_or_last(points, s, lo, hi, width, F.min("seg"))
+    return picked(points, s, KEY, F.col("t_us"), lo, hi, width, {"seg": F.min("seg")})
 
 
 def contact_pairs(entities: DataFrame) -> DataFrame:

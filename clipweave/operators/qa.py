@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import SEC
 from ..functions import text as X
-from .joins import WIDTH, near_edge, overlap_join
+from ..plans.ranges import overlapping
+from .joins import WIDTH
 
 HAND_KEY = ["clip_id", "hand"]
 ROW = ["clip_id", "seg", "hand", "code", "detail"]
@@ -17,39 +18,66 @@ def _segs(hands: DataFrame) -> DataFrame:
     return hands.select("clip_id", "hand", "seg", "start_us", "end_us", "label")
 
 
-def contact_qa(track: DataFrame, hands: DataFrame, unit: int = SEC, width: int = WIDTH) -> DataFrame:
-    """Idle label while the track holds something, or an action while it holds nothing."""
-    held = track.where(~X.is_empty("object", "contact")).select(*HAND_KEY, "start_us", "end_us", "object")
-    j = overlap_join(_segs(hands), held, HAND_KEY, unit // 10, width)
-    c = j.groupBy("clip_id", "hand", "seg").agg(
-        F.sum("cover_us").alias("cover_us"), F.min_by("object", F.struct("iv_start", "iv_end")).alias("object")
-    )
-    s = _segs(hands).join(c, ["clip_id", "hand", "seg"], "left")
+def _evidence(track: DataFrame, hands: DataFrame, unit: int, width: int) -> DataFrame:
+    """Every labelled row with what the track says about it: from one overlap join, wide enough for all rules,
+    the time covered and first name inside, and around its start and end the first name and whether any agrees."""
+    s = _segs(hands).withColumn("_obj", X.object_tokens("label"))
+    iv = track.select(
+        *HAND_KEY, F.col("start_us").alias("iv_start"), F.col("end_us").alias("iv_end"), "object",
+        (~X.is_empty("object", "contact")).alias("_held"), (~X.is_empty("object", "consistency")).alias("_named"),
+        X.object_tokens("object").alias("_tokens"),
+    ).where(F.col("_held") | F.col("_named"))
+    before, after, inset = 8 * unit // 10, unit // 2, unit // 10
+    j = overlapping(s, iv, HAND_KEY, (F.col("start_us") - before, F.col("end_us") + before), (F.col("iv_start"), F.col("iv_end")), width)
+    inside = F.col("_held") & (F.col("iv_end") > F.col("start_us") + inset) & (F.col("iv_start") < F.col("end_us") - inset)
+    near = lambda edge, tol: F.col("_named") & F.col(edge).between(F.col("iv_start") - tol, F.col("iv_end") + tol)
+    order, agree = F.struct("iv_start", "iv_end"), F.arrays_overlap("_tokens", "_obj").cast("int")
+    first = lambda cond: F.min_by(F.when(cond, F.col("object")), F.when(cond, order))
+    cover = F.least("iv_end", "end_us") - F.greatest("iv_start", "start_us")
+    at_start, at_end = near("start_us", before), near("end_us", after)
+    found = j.groupBy("clip_id", "hand", "seg").agg(
+        F.sum(F.when(inside, cover)).alias("cover_us"), first(inside).alias("inside"),
+        F.max(F.when(at_start, agree)).alias("ok_start"), first(at_start).alias("at_start"),
+        F.max(F.when(at_end, agree)).alias("ok_end"), first(at_end).alias("at_end"),
+    )
+    return s.join(found, ["clip_id", "hand", "seg"], "left")
+
+
+def _contact(unit: int) -> Column:
+    """(code, detail) of a row whose label and contact disagree, else NULL."""
     dur, lab = F.col("end_us") - F.col("start_us"), F.upper(F.trim("label"))
     na = (lab == "N/A") & (F.coalesce("cover_us", F.lit(0)) * 10 > dur * 6) & (dur * 10 > unit * 6)
     act = ~lab.isin("N/A", "") & F.col("cover_us").isNull() & (dur > unit)
-    code = F.when(na, "NA-WHILE-TRACKED").when(act, "ACTION-WHILE-UNTRACKED")
-    detail = F.when(na, F.col("object")).otherwise(F.col("label"))
-    return s.select("clip_id", "seg", "hand", code.alias("code"), detail.alias("detail")).where(F.col("code").isNotNull())
+    return F.when(na, _finding("NA-WHILE-TRACKED", "inside")).when(act, _finding("ACTION-WHILE-UNTRACKED", "label"))
+
+
+def _mismatch() -> Column:
+    """(code, detail) where a releasing hand did not hold the object, or a picking hand does not, else NULL."""
+    low = F.lower(F.coalesce("label", F.lit("")))
+    named = ~low.isin("", "n/a") & (F.size("_obj") > 0)
+    rel, pick = X.has_verb("label", X.RELEASE_VERBS), X.has_verb("label", X.PICK_VERBS)
+    return F.when(named & rel & (F.col("ok_start") == 0), _finding("TRACK-MISMATCH", "at_start")).when(
+        named & ~rel & pick & (F.col("ok_end") == 0), _finding("TRACK-MISMATCH", "at_end")
+    )
+
+
+def _finding(code: str, detail: str) -> Column:
+    return F.struct(F.lit(code).alias("code"), F.col(detail).alias("detail"))
+
+
+def _findings(evidence: DataFrame, *rules: Column) -> DataFrame:
+    got = evidence.select("clip_id", "seg", "hand", F.explode(F.array(*rules)).alias("f"))
+    return got.where(F.col("f").isNotNull()).select("clip_id", "seg", "hand", "f.code", "f.detail")
+
+
+def contact_qa(track: DataFrame, hands: DataFrame, unit: int = SEC, width: int = WIDTH) -> DataFrame:
+    """Idle label while the track holds something, or an action while it holds nothing."""
+    return _findings(_evidence(track, hands, unit, width), _contact(unit))
 
 
 def track_consistency(track: DataFrame, hands: DataFrame, unit: int = SEC, width: int = WIDTH) -> DataFrame:
     """A releasing hand must have held the object, a picking hand must hold it right after."""
-    low = F.lower(F.coalesce("label", F.lit("")))
-    s = _segs(hands).withColumn("_obj", X.object_tokens("label"))
-    s = s.where(~low.isin("", "n/a") & (F.size("_obj") > 0))
-    held = track.where(~X.is_empty("object", "consistency")).select(*HAND_KEY, "start_us", "end_us", "object")
-    rel = X.has_verb("label", X.RELEASE_VERBS)
-    out = None
-    for rows, edge, tol in ((s.where(rel), "start", 8 * unit // 10), (s.where(~rel & X.has_verb("label", X.PICK_VERBS)), "end", unit // 2)):
-        j = near_edge(rows, held, HAND_KEY, edge, tol, width)
-        agree = F.arrays_overlap(X.object_tokens("object"), F.col("_obj"))
-        g = j.groupBy("clip_id", "seg", "hand").agg(
-            F.max(agree.cast("int")).alias("_ok"), F.min_by("object", F.struct("iv_start", "iv_end")).alias("object")
-        )
-        g = g.where(F.col("_ok") == 0).select("clip_id", "seg", "hand", F.lit("TRACK-MISMATCH").alias("code"), F.col("object").alias("detail"))
-        out = g if out is None else out.union(g)
-    return out
+    return _findings(_evidence(track, hands, unit, width), _mismatch())
 
 
 def pair_exclusivity(segs: DataFrame) -> DataFrame:
@@ -83,8 +111,7 @@ def direction_conflict(hands: DataFrame, directions: DataFrame) -> DataFrame:
 def run_qa(track: DataFrame, segs: DataFrame, hands: DataFrame, directions: DataFrame, unit: int = SEC, width: int = WIDTH) -> DataFrame:
     """All findings; ``seg`` counts from 0 and -1 means the whole clip (documents add 1)."""
     return (
-        contact_qa(track, hands, unit, width)
-        .unionByName(track_consistency(track, hands, unit, width))
+        _findings(_evidence(track, hands, unit, width), _contact(unit), _mismatch())
         .unionByName(pair_exclusivity(segs))
         .unionByName(direction_conflict(hands, directions))
     )

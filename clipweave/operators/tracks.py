@@ -134,7 +134,7 @@ def add_missing_events(events: DataFrame, gaps: DataFrame, clips: DataFrame, tol
     """Add reported gaps as events, in input order (``ord``), unless one already lies within ``tol``."""
     g = gaps.join(clips, KEY).where((F.col("t_us") > margin) & (F.col("t_us") < F.col("dur_us") - margin)).drop("dur_us")
     have = events.select("clip_id", F.col("t_us").alias("h_us"))
-    g = points_in(g, have, KEY, F.col("t_us"), F.col("h_us") - tol, F.col("h_us") + tol, width, "left_anti")
+    g = points_in(g, have, KEY, F.col("t_us"), F.col("h_us") - tol, F.col("h_us") + tol, width, "left_anti", 2 * tol)
     o = Ordered(KEY, ["t_us", "ord"], blocks)
     g = o.neighbours(g, prev={"_pt": "t_us"})
     g = o.running(g, {"_near": ("sum", (F.col("_pt").isNull() | (F.col("t_us") - F.col("_pt") > tol)).cast("long"))})
@@ -228,7 +228,7 @@ def _delete_boundaries(segs: DataFrame, asks: DataFrame, tol: int, seam: bool, e
     if blocks is not None:
         near = points_in(
             segs.select("clip_id", "end_us").distinct(), asks.select("clip_id", F.col("t_us").alias("a_us")).distinct(), KEY,
-            F.col("end_us"), F.col("a_us") - tol, F.col("a_us") + tol, width, "left_semi",
+            F.col("end_us"), F.col("a_us") - tol, F.col("a_us") + tol, width, "left_semi", 2 * tol,
         ).select("clip_id", F.col("end_us").alias("e"), F.lit(1).alias("_near"))
         both = both.join(near, ["clip_id", "e"], "left")
         reset = (F.col("kind") == 1) & F.col("_near").isNull()
@@ -243,7 +243,7 @@ def apply_merges(segs: DataFrame, merges: DataFrame, events: DataFrame, tol: int
 
 def _unguarded(asks: DataFrame, events: DataFrame, guard: int, width: int) -> DataFrame:
     ev = events.select("clip_id", F.col("t_us").alias("e_us"))
-    return points_in(asks, ev, KEY, F.col("t_us"), F.col("e_us") - guard, F.col("e_us") + guard, width, "left_anti")
+    return points_in(asks, ev, KEY, F.col("t_us"), F.col("e_us") - guard, F.col("e_us") + guard, width, "left_anti", 2 * guard)
 
 
 def apply_seam_merges(segs: DataFrame, asks: DataFrame, events: DataFrame, track: DataFrame, tol: int = 250_000, guard: int = 500_000, pad: int = 150_000, width: int = WIDTH, blocks: Blocks | None = None) -> DataFrame:
