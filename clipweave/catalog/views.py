@@ -43,10 +43,12 @@ class Views:
     @property
     def blocks(self) -> Blocks | None:
         """How to split long clips: measured once per session and table, or set by the conf
-        ``spark.clipweave.blockWidth`` (tests force the split plan with it)."""
-        forced = self.spark.conf.get("spark.clipweave.blockWidth", None)
+        ``spark.clipweave.blockWidth`` (tests force the split plan with it, on all clips or on those
+        with an id divisible by ``spark.clipweave.hotEvery``)."""
+        forced, every = (self.spark.conf.get(f"spark.clipweave.{n}", None) for n in ("blockWidth", "hotEvery"))
         if forced is not None:
-            return Blocks(int(forced))
+            ids = self.table("events").select(F.col("user_id").alias("clip_id")).where(F.col("clip_id") % int(every or 1) == 0)
+            return Blocks(int(forced), ids.distinct() if every else None)
         if self._given != "measure":
             return self._given
         k = (self.spark.sparkContext.applicationId, self.dir)

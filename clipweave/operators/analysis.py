@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import SEC
 from ..functions import text as X
-from ..plans.ordered import Blocks, Ordered
+from ..plans.ordered import Blocks, Ordered, by_size
 from ..plans.quantiles import quantiles
 from .hands import unpivot_hands
 from .joins import KEY, WIDTH, edge_segment, frames_in_segments, owner_segment, protected, touching_rows, unmatched_events
@@ -16,7 +16,7 @@ from .timeline import monotone_run
 
 def seq_blocks(blocks: Blocks | None) -> Blocks | None:
     """Block width for keys numbered 0, 1, 2, … instead of timed."""
-    return Blocks(1_000_000) if blocks else None
+    return blocks and blocks.wide(1_000_000)
 
 
 def word_freq(segs: DataFrame, n: int = 8) -> DataFrame:
@@ -78,6 +78,7 @@ def contact_crosscheck(segs: DataFrame, stats: DataFrame, catalogue: DataFrame |
     return h.select("clip_id", "seg", "hand", kind.alias("type")).where(F.col("type").isNotNull())
 
 
+@by_size
 def duration_outliers(segs: DataFrame, floor_us: int = 8 * SEC, blocks: Blocks | None = None) -> DataFrame:
     """Segments at least ``floor_us`` long and six times the clip's median, in clips of three or more."""
     d = segs.select("clip_id", "seg", (F.col("end_us") - F.col("start_us")).alias("dur_us"))
@@ -129,6 +130,7 @@ def frozen_across(segs: DataFrame, events: DataFrame, tol: int = 400_000, width:
     return j.select("clip_id", F.col("seg_a").alias("seg"), "hand", "kind", "t_us", F.col("la").alias("label"))
 
 
+@by_size
 def dup_across(segs: DataFrame, events: DataFrame, tol: int = 400_000, width: int = WIDTH, blocks: Blocks | None = None) -> DataFrame:
     """Neighbours with the same label pair and an event on their boundary."""
     low = lambda c: F.lower(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("n/a")))
@@ -138,6 +140,7 @@ def dup_across(segs: DataFrame, events: DataFrame, tol: int = 400_000, width: in
     return protected(s, events, tol, width).where(F.col("protected") == 1).select("clip_id", (F.col("seg") + 1).alias("seg"))
 
 
+@by_size
 def timeline_analysis(segs: DataFrame, events: DataFrame, unit: int = SEC, width: int = WIDTH, blocks: Blocks | None = None) -> DataFrame:
     """All structural flags: monotone run, duration outlier, missed boundary, frozen and duplicate
     labels across an event.  ``unit`` is the length of one second in the data's time scale."""
@@ -176,6 +179,7 @@ def text_pages(lines: DataFrame, page: int = 1000, sep: str = "\n") -> DataFrame
     return g.agg(F.array_join(F.transform(ordered, lambda x: x["line"]), sep).alias("text"))
 
 
+@by_size
 def sequence_review(segs: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Advisory: adjacent duplicates, runs of four or more on a hand, a deposit with nothing acquired."""
     o = Ordered(KEY, ["start_us"], blocks)
@@ -196,6 +200,7 @@ def sequence_review(segs: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     )
 
 
+@by_size
 def pick_place_balance(events: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Places without an earlier open pick of the object, and picks never placed."""
     key = ["clip_id", "object"]

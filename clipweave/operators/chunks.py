@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.asof import around
-from ..plans.ordered import Blocks, Ordered
+from ..plans.ordered import Blocks, Ordered, by_size
 from ..plans.ranges import picked
 from .joins import KEY
 
 
+@by_size
 def part_offsets(parts: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Segments and frames in the parts before this one (``part``, ``n_segs``, ``n_frames``)."""
-    o = Ordered(KEY, ["part"], None if blocks is None else Blocks(100_000))
+    o = Ordered(KEY, ["part"], blocks and blocks.wide(100_000))
     p = o.running(parts, {"seg_off": ("sum", "n_segs"), "frame_off": ("sum", "n_frames")}, exclusive=True)
     return p.na.fill(0, ["seg_off", "frame_off"])
 
 
+@by_size
 def merge_parts(segs: DataFrame, parts: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Part-local segments to one timeline: times moved by the part's offset, numbers by the running
     count.  ``segs`` has ``part, seg, start_us, end_us``; ``parts`` has ``part, off_us``."""
@@ -55,6 +57,7 @@ def merge_objects(objects: DataFrame) -> DataFrame:
     return o.groupBy("clip_id", F.lower("name").alias("key")).agg(F.min_by("name", F.struct("part", "ord")).alias("name"))
 
 
+@by_size
 def seam_jobs(segs: DataFrame, seams: DataFrame, tol: int = 250_000, min_us: int = 500_000, blocks: Blocks | None = None) -> DataFrame:
     """Span to annotate again at each seam: from the last segment before it through the first one
     after it.  Jobs sharing a segment (a part of one segment) become one job."""
@@ -65,7 +68,7 @@ def seam_jobs(segs: DataFrame, seams: DataFrame, tol: int = 250_000, min_us: int
     both = around(left, s, KEY, "_lo", "start_us", {"seg": "seg", "at": "end_us"}, "seg", blocks)
     j = both.select("clip_id", "t_us", "li", "a_us", F.col("_after.seg").alias("ri"), F.col("_after.at").alias("b_us"))
     j = j.where((F.col("ri") > F.col("li")) & (F.col("b_us") - F.col("a_us") >= min_us))
-    o = Ordered(KEY, ["li", "t_us"], None if blocks is None else Blocks(1_000_000))
+    o = Ordered(KEY, ["li", "t_us"], blocks and blocks.wide(1_000_000))
     j = o.running(j, {"_far": ("max", "ri")}, exclusive=True)
     j = o.running(j, {"job": ("sum", (F.col("_far").isNull() | (F.col("li") > F.col("_far"))).cast("long"))})
     return j.groupBy("clip_id", "job").agg(
@@ -73,6 +76,7 @@ def seam_jobs(segs: DataFrame, seams: DataFrame, tol: int = 250_000, min_us: int
     )
 
 
+@by_size
 def splice_seams(segs: DataFrame, jobs: DataFrame, new: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Replace each job's segments by its new rows (``clip_id, job, start_us, …``, times local to the
     job) and number the timeline again.  Jobs without new rows leave their segments alone."""

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .. import SEC
 from ..functions import text as X
 from ..plans.folds import ordered_fold
-from ..plans.ordered import Blocks, Ordered
+from ..plans.ordered import Blocks, Ordered, by_size
 from .joins import KEY, WIDTH, label_at
 
 
+@by_size
 def greedy_match(truth: DataFrame, det: DataFrame, tol: int, blocks: Blocks | None = None) -> DataFrame:
     """One-to-one matching: each truth time, in order, takes the first unused detection within ``tol``.
 
@@ -53,6 +54,7 @@ def _counts(truth: DataFrame, det: DataFrame, tol: int, blocks: Blocks | None) -
     return m.join(d, KEY, "full").na.fill(0, ["m", "n_truth", "n_det"])
 
 
+@by_size
 def boundary_scores(truth: DataFrame, det: DataFrame, tol: int = SEC, margin: int = 300_000, blocks: Blocks | None = None) -> DataFrame:
     """Recall, precision and F1 of the boundaries inside the part the truth covers."""
     cover = truth.groupBy("clip_id").agg((F.min("t_us") + margin).alias("_lo"), (F.max("t_us") - margin).alias("_hi"))
@@ -65,6 +67,7 @@ def macro_mean(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count("*").alias("clips"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), F.avg("f1").alias("f1"))
 
 
+@by_size
 def score_boundaries(truth: DataFrame, det: DataFrame, tol: int = 800_000, margin: int = 300_000, blocks: Blocks | None = None) -> DataFrame:
     """Recall over all truth boundaries; precision over detections up to the last detection's margin."""
     c = _counts(truth, det, tol, blocks)
@@ -76,6 +79,7 @@ def score_boundaries(truth: DataFrame, det: DataFrame, tol: int = 800_000, margi
     return j.select("clip_id", "m", z("n_truth").alias("recall"), z("n_inner").alias("precision"))
 
 
+@by_size
 def determinism(run1: DataFrame, run2: DataFrame, tol: int = 60_000, blocks: Blocks | None = None, strict: bool = False) -> DataFrame:
     """1 where two runs have equally many boundaries, pairwise within ``tol`` (``strict``: closer than it)."""
     o = Ordered(KEY, ["t_us"], blocks)

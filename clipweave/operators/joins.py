@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import SEC
 from ..functions import text as X
 from ..plans.asof import nearest
-from ..plans.ordered import Blocks, Ordered
+from ..plans.ordered import Blocks, Ordered, by_size
 from ..plans.ranges import overlapping, picked, points_in
 
 KEY = ["clip_id"]
@@ -27,6 +27,7 @@ def frames_in_segments(frames: DataFrame, segs: DataFrame, slack: int = 50_000,
     return points_in(frames, segs, KEY, F.col("t_us"), F.col("start_us") - slack, F.col("end_us") + slack, width)
 
 
+@by_size
 def span_frames(frames: DataFrame, spans: DataFrame, width: int = WIDTH, blocks: Blocks | None = None) -> DataFrame:
     """Frames from the first at or after the start through the first at or after the end, inclusive."""
     f = Ordered(KEY, ["t_us"], blocks).neighbours(frames, prev={"_pt": "t_us"})
@@ -86,6 +87,7 @@ def protected(bounds: DataFrame, events: DataFrame, tol: int = 500_000, width: i
     )
 
 
+@by_size
 def contain_or_nearest(
     points: DataFrame, spans: DataFrame, slack: int, width: int = WIDTH, blocks: Blocks | None = None
 ) -> DataFrame:
@@ -96,12 +98,13 @@ def contain_or_nearest(
     inside = picked(points, s, KEY, F.col("t_us"), F.col("start_us") - slack, F.col("end_us") + slack, width, {"seg": F.min("seg")})
     rest = inside.where(F.col("seg").isNull()).drop("seg").withColumn("_t2", F.col("t_us") * 2)
     mids = s.withColumn("_m2", F.col("start_us") + F.col("end_us"))
-    wide = Blocks(blocks.width * 2) if blocks else None
+    wide = blocks.scaled(2) if blocks else None
     near = nearest(rest, mids, KEY, "_t2", "_m2", {"seg": "seg"}, "seg", wide).drop("_t2", "distance")
     found = inside.where(F.col("seg").isNotNull()).withColumn("how", F.lit("contains"))
     return found.unionByName(near.withColumn("how", F.lit("nearest")))
 
 
+@by_size
 def align_by_midpoint(truth: DataFrame, pred: DataFrame, slack: int = 10_000, width: int = WIDTH, blocks: Blocks | None = None) -> DataFrame:
     """For each truth span the predicted span covering its midpoint, else the nearest one."""
     pts = truth.select("clip_id", F.col("seg").alias("p_id"), F.floor((F.col("start_us") + F.col("end_us")) / 2).alias("t_us"))
@@ -109,11 +112,13 @@ def align_by_midpoint(truth: DataFrame, pred: DataFrame, slack: int = 10_000, wi
     return got.select("clip_id", F.col("p_id").alias("seg"), F.col("seg").alias("pred_seg"), "how")
 
 
+@by_size
 def nearest_frame(events: DataFrame, frames: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Nearest frame number for each event time (earlier frame on ties)."""
     return nearest(events, frames, KEY, "t_us", "t_us", {"frame": "frame"}, None, blocks)
 
 
+@by_size
 def nearest_within(events: DataFrame, frames: DataFrame, tol: int, blocks: Blocks | None = None) -> DataFrame:
     """Nearest frame if no further than ``tol``, else NULL."""
     n = nearest_frame(events, frames, blocks)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import SEC
 from ..functions import text as X
 from ..plans.folds import ordered_fold
-from ..plans.ordered import Blocks, Ordered
+from ..plans.ordered import Blocks, Ordered, by_size
 
 KEY = ["clip_id"]
 SEG = ["start_us", "end_us", "left_label", "right_label"]
@@ -22,6 +22,7 @@ def fold_case(label: Column | str) -> Column:
     return F.lower(F.trim(F.coalesce(c, F.lit("N/A"))))
 
 
+@by_size
 def run_length_merge(
     df: DataFrame, labels: list[str], key: list[str] = KEY, blocks: Blocks | None = None
 ) -> DataFrame:
@@ -40,6 +41,7 @@ def run_length_merge(
     )
 
 
+@by_size
 def derive_track(hands: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Per-hand intervals of one unchanged label; an idle row ends the interval."""
     o = Ordered(["clip_id", "hand"], ["start_us"], blocks)
@@ -58,6 +60,7 @@ def derive_track(hands: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     )
 
 
+@by_size
 def direction_runs(points: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Same-verdict runs over time, with the time each later run switches in."""
     o = Ordered(KEY, ["t_us"], blocks)
@@ -69,6 +72,7 @@ def direction_runs(points: DataFrame, blocks: Blocks | None = None) -> DataFrame
     )
 
 
+@by_size
 def recheck_times(runs: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Times of runs of one where the clip has more than one run."""
     o = Ordered(KEY, ["start_us"], blocks)
@@ -130,6 +134,7 @@ def coerce_segments(raw: DataFrame, clips: DataFrame, eps: int = 50_000) -> Data
     return out.where(F.col("end_us") - F.col("start_us") > eps)
 
 
+@by_size
 def deoverlap(segs: DataFrame, eps: int = 50_000, blocks: Blocks | None = None) -> DataFrame:
     """Push each start up to the previous kept end; drop rows left with ``eps`` or less."""
 
@@ -153,6 +158,7 @@ def deoverlap(segs: DataFrame, eps: int = 50_000, blocks: Blocks | None = None)
     )
 
 
+@by_size
 def bridge_gaps(segs: DataFrame, clips: DataFrame, eps: int = 50_000, blocks: Blocks | None = None) -> DataFrame:
     """Cover [0, duration]: idle rows before, between and after the segments where more than
     ``eps`` is open; clips without segments become one idle row."""
@@ -173,6 +179,7 @@ def bridge_gaps(segs: DataFrame, clips: DataFrame, eps: int = 50_000, blocks: Bl
     )
 
 
+@by_size
 def absorb_slivers(segs: DataFrame, min_us: int = 500_000, blocks: Blocks | None = None) -> DataFrame:
     """A segment shorter than ``min_us`` goes into the previous one, leading ones into the next.
 
@@ -197,12 +204,14 @@ def absorb_slivers(segs: DataFrame, min_us: int = 500_000, blocks: Blocks | None
     )
 
 
+@by_size
 def snap_contiguous(segs: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Start := end of the previous segment."""
     df = Ordered(KEY, ["start_us"], blocks).neighbours(segs, prev={"_pe": "end_us"})
     return df.withColumn("start_us", F.coalesce("_pe", "start_us")).drop("_pe")
 
 
+@by_size
 def clean_timeline(
     raw: DataFrame,
     clips: DataFrame,
@@ -224,6 +233,7 @@ def clean_timeline(
     return snap_contiguous(df, blocks)
 
 
+@by_size
 def neighbour_context(segs: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Previous and next labels, with edge markers."""
     o = Ordered(KEY, ["start_us"], blocks)
@@ -238,10 +248,11 @@ def neighbour_context(segs: DataFrame, blocks: Blocks | None = None) -> DataFram
     return df
 
 
+@by_size
 def monotone_run(segs: DataFrame, min_run: int = 3, blocks: Blocks | None = None) -> DataFrame:
     """Longest stretch of segments with the same label pair, if at least ``min_run``; earliest on ties."""
     low = lambda c: F.lower(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("n/a")))
-    o = Ordered(KEY, ["seg"], Blocks(1_000_000) if blocks else None)
+    o = Ordered(KEY, ["seg"], blocks and blocks.wide(1_000_000))
     df = o.islands(segs.select("clip_id", "seg", "left_label", "right_label"), {"l": low("left_label"), "r": low("right_label")})
     runs = df.groupBy("clip_id", "run").agg(F.min("seg").alias("seg"), F.count("*").alias("run_len"))
     best = runs.groupBy("clip_id").agg(
@@ -250,6 +261,7 @@ def monotone_run(segs: DataFrame, min_run: int = 3, blocks: Blocks | None = None
     return best.where(F.col("b.run_len") >= min_run).select("clip_id", "b.seg", "b.run_len")
 
 
+@by_size
 def spans_from_bounds(bounds: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Consecutive boundaries -> spans."""
     df = Ordered(KEY, ["t_us"], blocks).neighbours(bounds.select("clip_id", "t_us").distinct(), next={"end_us": "t_us"})
@@ -261,12 +273,14 @@ def boundary_set(segs: DataFrame) -> DataFrame:
     return segs.select("clip_id", F.explode(F.array("start_us", "end_us")).alias("t_us")).distinct()
 
 
+@by_size
 def interior(bounds: DataFrame, margin: int = 300_000, blocks: Blocks | None = None) -> DataFrame:
     """Boundaries strictly inside the clip's first and last by more than ``margin``."""
     df = Ordered(KEY, ["t_us"], blocks).totals(bounds, {"_lo": ("min", "t_us"), "_hi": ("max", "t_us")})
     return df.where((F.col("t_us") > F.col("_lo") + margin) & (F.col("t_us") < F.col("_hi") - margin)).drop("_lo", "_hi")
 
 
+@by_size
 def thin(points: DataFrame, gap: int, key: list[str] = KEY, anchor: str | None = None, blocks: Blocks | None = None) -> DataFrame:
     """Greedy minimum spacing: keep a time if it is at least ``gap`` after the last kept one.
     ``anchor`` names a column holding the value that counts as already kept."""
@@ -291,6 +305,7 @@ def thin(points: DataFrame, gap: int, key: list[str] = KEY, anchor: str | None =
     return ordered_fold(cols, key, ["t_us"], ["t_us", "_a"], "t_us long", fold, reset, blocks)
 
 
+@by_size
 def segments_from_cuts(cuts: DataFrame, clips: DataFrame, margin: int = 200_000, min_us: int = 500_000, blocks: Blocks | None = None) -> DataFrame:
     """Cut times -> contiguous segments of at least ``min_us``; a cut too near the end is dropped."""
     inside = cuts.join(clips, KEY).where((F.col("t_us") > margin) & (F.col("t_us") < F.col("dur_us") - margin))

@@ -11,7 +11,7 @@ from .. import SEC
 from ..functions import text as X
 from ..plans.asof import around
 from ..plans.folds import ordered_fold
-from ..plans.ordered import Blocks, Ordered
+from ..plans.ordered import Blocks, Ordered, by_size
 from ..plans.ranges import points_in
 from .joins import KEY, WIDTH, protected
 from .timeline import thin
@@ -21,6 +21,7 @@ SEG_OUT = "start_us long, end_us long, left_label string, right_label string"
 
 
 # ---- possession track ------------------------------------------------------------------------------
+@by_size
 def build_track(
     contact: DataFrame, min_us: int = 250_000, empty_split: int = 3, gap: int = 300_000, blocks: Blocks | None = None
 ) -> DataFrame:
@@ -71,6 +72,7 @@ def build_track(
     return snap_gaps(t, gap, blocks)
 
 
+@by_size
 def snap_gaps(track: DataFrame, gap: int = 300_000, blocks: Blocks | None = None) -> DataFrame:
     """Close gaps of at most ``gap`` at their midpoint."""
     t = Ordered(HAND_KEY, ["start_us"], blocks).neighbours(track, prev={"_pe": "end_us"}, next={"_ns": "start_us"})
@@ -85,6 +87,7 @@ def snap_gaps(track: DataFrame, gap: int = 300_000, blocks: Blocks | None = None
     )
 
 
+@by_size
 def track_cuts(track: DataFrame, events: DataFrame, clips: DataFrame, long_gap: int = SEC, merge_gap: int = 600_000, margin: int = 200_000, blocks: Blocks | None = None) -> DataFrame:
     """Cut times: hand events, long gaps in a hand's track, and changes of the held object."""
     t = Ordered(HAND_KEY, ["start_us"], blocks).neighbours(track, next={"_ns": "start_us", "_no": "object"})
@@ -130,6 +133,7 @@ def required_cuts(events: DataFrame, clips: DataFrame, margin: int = 300_000) ->
     return j.select("clip_id", "t_us", F.concat(tag, F.lit(" at "), X.seconds_text("t_us"), F.lit("s")).alias("hint"))
 
 
+@by_size
 def add_missing_events(events: DataFrame, gaps: DataFrame, clips: DataFrame, tol: int = 600_000, margin: int = 500_000, width: int = WIDTH, blocks: Blocks | None = None) -> DataFrame:
     """Add reported gaps as events, in input order (``ord``), unless one already lies within ``tol``."""
     g = gaps.join(clips, KEY).where((F.col("t_us") > margin) & (F.col("t_us") < F.col("dur_us") - margin)).drop("dur_us")
@@ -151,6 +155,7 @@ def add_missing_events(events: DataFrame, gaps: DataFrame, clips: DataFrame, tol
 
 
 # ---- boundary edits ------------------------------------------------------------------------------------
+@by_size
 def enforce_cuts(segs: DataFrame, cuts: DataFrame, margin: int = 250_000, width: int = WIDTH, blocks: Blocks | None = None) -> DataFrame:
     """Split segments at cut times lying more than ``margin`` inside; both parts keep the label."""
     k = ["clip_id", "seg"]
@@ -171,6 +176,7 @@ def _split_at(segs: DataFrame, cuts: DataFrame, blocks: Blocks | None) -> DataFr
     return p.join(segs.select(*k, *keep), k).select(*k, "piece", F.col("t_us").alias("start_us"), F.col("_e").alias("end_us"), *keep)
 
 
+@by_size
 def split_unlabelled(segs: DataFrame, cuts: DataFrame, eps: int = 50_000, width: int = WIDTH, blocks: Blocks | None = None) -> DataFrame:
     """Split at cuts inside a segment: the first part keeps the labels, the others have none."""
     k = ["clip_id", "seg"]
@@ -236,6 +242,7 @@ def _delete_boundaries(segs: DataFrame, asks: DataFrame, tol: int, seam: bool, e
     return ordered_fold(both, KEY, ["back", "kind"], cols, SEG_OUT + ", n long", fold, reset, blocks)
 
 
+@by_size
 def apply_merges(segs: DataFrame, merges: DataFrame, events: DataFrame, tol: int = 400_000, guard: int = 500_000, width: int = WIDTH, blocks: Blocks | None = None) -> DataFrame:
     """Delete boundaries a critic named (``t_us``, ``keep`` = before/after), except near an event."""
     return _delete_boundaries(segs, _unguarded(merges, events, guard, width), tol, False, None, width, blocks)
@@ -246,6 +253,7 @@ def _unguarded(asks: DataFrame, events: DataFrame, guard: int, width: int) -> Da
     return points_in(asks, ev, KEY, F.col("t_us"), F.col("e_us") - guard, F.col("e_us") + guard, width, "left_anti", 2 * guard)
 
 
+@by_size
 def apply_seam_merges(segs: DataFrame, asks: DataFrame, events: DataFrame, track: DataFrame, tol: int = 250_000, guard: int = 500_000, pad: int = 150_000, width: int = WIDTH, blocks: Blocks | None = None) -> DataFrame:
     """Merge across window seams unless an event is near or possession changes inside; the fuller
     label stays (the left one on ties)."""
@@ -269,6 +277,7 @@ def apply_corrections(segs: DataFrame, fixes: DataFrame) -> DataFrame:
     return j.drop("_left", "_right", "_oleft", "_oright")
 
 
+@by_size
 def fuzzy_merge(segs: DataFrame, thr: float = 0.6, guard: str | None = None, blocks: Blocks | None = None) -> DataFrame:
     """Merge neighbours whose labels read alike on both hands, compared with the run's first labels,
     which stay.  ``guard`` names a 0/1 column: 1 means the boundary before the row must stay."""

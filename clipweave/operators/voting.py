@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import SEC
 from ..functions import text as X
-from ..plans.ordered import Blocks, Ordered
+from ..plans.ordered import Blocks, Ordered, by_size
 from .hands import unpivot_hands
 
 KEY = ["clip_id"]
@@ -19,6 +19,7 @@ def vote_gate(votes: DataFrame, key: list[str]) -> DataFrame:
     return votes.groupBy(*key).agg(((a * 2 > n) | (b * 2 > n)).cast("int").alias("gate"), a.alias("q1"), b.alias("q2"))
 
 
+@by_size
 def consensus(runs: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Majority over repeated runs, frame by frame (``clip_id, hand, run, t_us, name``).
 
@@ -140,6 +141,7 @@ def _numbered(df: DataFrame, order: str, blocks: Blocks | None) -> DataFrame:
     return o.totals(o.number(df, "_i"), {"_n": ("count", F.lit(1))})
 
 
+@by_size
 def decimate(df: DataFrame, order: str, cap: int, blocks: Blocks | None = None) -> DataFrame:
     """At most ``cap`` rows per clip, at index floor(j·n/cap)."""
     d = _numbered(df, order, blocks)
@@ -148,6 +150,7 @@ def decimate(df: DataFrame, order: str, cap: int, blocks: Blocks | None = None)
     return d.where(hit).drop("_i", "_n")
 
 
+@by_size
 def linspace_pick(df: DataFrame, order: str, k: int, blocks: Blocks | None = None) -> DataFrame:
     """``k`` evenly spaced rows with both ends, index rounded half to even."""
     d = _numbered(df, order, blocks)
@@ -158,12 +161,14 @@ def linspace_pick(df: DataFrame, order: str, k: int, blocks: Blocks | None = Non
     return few.drop("_i").unionByName(d.drop("_n").join(picks, ["clip_id", "_i"], "left_semi").drop("_i"))
 
 
+@by_size
 def stride_sample(df: DataFrame, order: str, m: int, blocks: Blocks | None = None) -> DataFrame:
     """Every max(1, n // m)-th row, the first ``m`` of them."""
     d = _numbered(df, order, blocks).withColumn("_s", F.greatest(F.lit(1).cast("long"), F.expr(f"_n div {m}")))
     return d.where((F.col("_i") % F.col("_s") == 0) & (F.expr("_i div _s") < m)).drop("_i", "_n", "_s")
 
 
+@by_size
 def every_kth(df: DataFrame, order: str, src_fps: float, target_fps: float, blocks: Blocks | None = None) -> DataFrame:
     """Every k-th row of a clip, k = src / target rounded half to even and at least one."""
     k = max(1, round(src_fps / target_fps))

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Blocks, Ordered
+from .ordered import Blocks, Ordered, by_size
 
 
+@by_size
 def around(
     left: DataFrame,
     right: DataFrame,
@@ -40,6 +41,7 @@ def around(
     return both.where(F.col("_side") == 1).select("_l.*", "_t", "_before", "_after")
 
 
+@by_size
 def nearest(
     left: DataFrame,
     right: DataFrame,

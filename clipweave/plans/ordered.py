@@ -1,14 +1,16 @@
 """Ordered (per-timeline) window work that survives one timeline holding most rows.
 
-A plain ``Window.partitionBy(clip)`` puts one clip in one task.  `Ordered` keeps that cheap
-plan while every clip is known to be small, and otherwise cuts each clip into time blocks:
-the window runs inside (clip, block), and what crosses a block edge (previous row, running
-total, halo values) travels through a table with one row per block.  Both plans return the
-same rows.
+A plain ``Window.partitionBy(clip)`` puts one clip in one task, which is right for all clips but the few that are
+too long for it. `Blocks` names those few in a small table; `by_size` runs an operator on them in time blocks and on
+all the others plainly, so how one clip is planned never depends on another. In blocks, the window runs inside
+(clip, block), and what crosses a block edge (previous row, running total, halo values) travels through a table with
+one row per block. Both plans return the same rows.
 """
 
 from __future__ import annotations
 
+import functools
+import inspect
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -22,27 +24,83 @@ BLK = "_blk"
 
 @dataclass(frozen=True)
 class Blocks:
-    """Width of a time block, in units of the first order column."""
+    """Width of a time block, in units of the first order column, and the keys that are cut into blocks (a table
+    with one row per long key; None: all of them)."""
 
     width: int
+    hot: DataFrame | None = None
 
     @staticmethod
     def measure(df: DataFrame, key: Sequence[str], t: str, limit: int = 2_000_000) -> "Blocks | None":
-        """None when no key holds more than ``limit`` rows, else a width that keeps the densest
-        block under it.  Only a few scalars reach the driver."""
+        """The keys of more than ``limit`` rows, with a width that keeps their densest block under it; None
+        when there are none. Only a few scalars reach the driver."""
         per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), (F.max(t) - F.min(t)).alias("span"))
-        n, span = per_key.agg(F.max("n"), F.max_by("span", "n")).first()
-        if n is None or n <= limit:
+        hot = cut(per_key.where(F.col("n") > limit))  # as many rows as there are long keys
+        n, span = hot.agg(F.max("n"), F.max_by("span", "n")).first()
+        if n is None:
             return None
+        hot = hot.select(*key)
+        long = df.join(hot, list(key), "left_semi")
         width = max(1, int(span * limit / n))
         while width > 1:
             densest = (
-                df.groupBy(*key, F.floor(F.col(t) / width).alias(BLK)).count().agg(F.max("count")).first()[0]
+                long.groupBy(*key, F.floor(F.col(t) / width).alias(BLK)).count().agg(F.max("count")).first()[0]
             )
             if densest <= limit:
                 break
             width = max(1, width // (2 * -(-densest // limit)))
-        return Blocks(width)
+        return Blocks(width, hot)
+
+    def scaled(self, factor: int) -> "Blocks":
+        """The same keys where times are ``factor`` times as large."""
+        return Blocks(self.width * factor, self.hot)
+
+    def wide(self, width: int) -> "Blocks":
+        """The same keys, ordered by something else that needs blocks of ``width``."""
+        return Blocks(width, self.hot)
+
+    def apart(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of the ordinary keys and of the long ones (``df`` twice if it has no such key)."""
+        if not set(self.hot.columns) <= set(df.columns):
+            return df, df
+        return df.join(self.hot, self.hot.columns, "left_anti"), df.join(self.hot, self.hot.columns, "left_semi")
+
+
+def by_size(fn):
+    """An operator with ``blocks`` whose rows depend on rows of their own key only: run plainly on the ordinary
+    keys and in blocks on the long ones."""
+    names = inspect.signature(fn)
+
+    @functools.wraps(fn)
+    def run(*args, **kw):
+        given = names.bind(*args, **kw)
+        given.apply_defaults()
+        blocks = given.arguments["blocks"]
+        if blocks is None or blocks.hot is None:
+            return fn(*args, **kw)
+        small, long = dict(given.arguments), dict(given.arguments)
+        for name, value in given.arguments.items():
+            if isinstance(value, DataFrame):
+                small[name], long[name] = blocks.apart(value)
+        small["blocks"], long["blocks"] = None, Blocks(blocks.width)
+        return fn(**small).unionByName(fn(**long))
+
+    return run
+
+
+def _own_size(method):
+    """The same for the methods of `Ordered` whose first argument is the rows."""
+
+    @functools.wraps(method)
+    def run(self, df, *args, **kw):
+        blocks = self.blocks
+        if blocks is None or blocks.hot is None:
+            return method(self, df, *args, **kw)
+        small, long = blocks.apart(df)
+        plain, cut_up = Ordered(self.key, self.order), Ordered(self.key, self.order, Blocks(blocks.width))
+        return method(plain, small, *args, **kw).unionByName(method(cut_up, long, *args, **kw))
+
+    return run
 
 
 class Ordered:
@@ -73,6 +131,7 @@ class Ordered:
         return df.join(summary, self.part, "left")
 
     # -- previous / next row ----------------------------------------------------------------
+    @_own_size
     def neighbours(
         self, df: DataFrame, prev: Mapping[str, Column | str] = {}, next: Mapping[str, Column | str] = {}
     ) -> DataFrame:
@@ -115,6 +174,7 @@ class Ordered:
             return F.max_by(c, F.when(c.isNotNull(), self._ord()))
         return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind](c)
 
+    @_own_size
     def running(
         self, df: DataFrame, spec: Mapping[str, tuple[str, Column | str]], exclusive: bool = False
     ) -> DataFrame:
@@ -155,6 +215,7 @@ class Ordered:
             out = [F.col(f"_l_{n}").alias(n) for n in spec]
         return work.select(*keep, *out)
 
+    @_own_size
     def totals(self, df: DataFrame, spec: Mapping[str, tuple[str, Column | str]]) -> DataFrame:
         """Whole-key sum / count / max / min beside every row."""
         keep = df.columns
@@ -168,6 +229,7 @@ class Ordered:
         tot = tot.select(*self.part, *[self._MERGE[k](n).over(wk).alias(n) for n, (k, _) in spec.items()])
         return self._join_blocks(df, tot).select(*keep, *spec)
 
+    @_own_size
     def number(self, df: DataFrame, name: str, start: int = 0) -> DataFrame:
         """Row number in order, from ``start``."""
         if self.blocks is None:
@@ -175,6 +237,7 @@ class Ordered:
         return self.running(df, {name: ("count", F.lit(1))}).withColumn(name, F.col(name) + (start - 1))
 
     # -- sliding frames ---------------------------------------------------------------------
+    @_own_size
     def rolling(self, df: DataFrame, out: str, value: Column | str, before: int, after: int) -> DataFrame:
         """Array of ``struct(v)`` for the rows from ``before`` back to ``after`` ahead."""
         keep = df.columns
@@ -214,14 +277,23 @@ class Ordered:
         return work.select(*keep, F.col("_w").alias(out))
 
     # -- gaps and islands -------------------------------------------------------------------
+    @_own_size
     def islands(self, df: DataFrame, same: Mapping[str, Column], name: str = "run") -> DataFrame:
         """Number maximal stretches of rows whose ``same`` expressions are all equal (NULL-safe)."""
-        tmp = {f"_k_{n}": c for n, c in same.items()}
-        df = df.select("*", *[c.alias(n) for n, c in tmp.items()])
-        df = self.neighbours(df, prev={f"_q{n}": n for n in tmp} | {"_has": F.lit(True)})
-        brk = F.col("_has").isNull()
-        for n in tmp:
-            brk = brk | ~F.col(n).eqNullSafe(F.col(f"_q{n}"))
-        df = df.withColumn("_brk", brk.cast("long"))
-        df = self.running(df, {name: ("sum", "_brk")})
-        return df.drop("_brk", "_has", *tmp, *[f"_q{n}" for n in tmp])
+        keep = df.columns
+        df = self._with_block(df.select("*", F.struct(*[c.alias(n) for n, c in same.items()]).alias("_k")))
+        w = self._local()
+        first = F.lag(F.lit(True)).over(w).isNull()
+        work = df.withColumn("_brk", first | ~F.col("_k").eqNullSafe(F.lag("_k").over(w)))
+        count = F.sum(F.col("_brk").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        work = work.withColumn(name, count)
+        if self.blocks is None:
+            return work.select(*keep, name)
+        # a block's first row always counts as a break inside it; it is none where the block before ends alike
+        edge = work.groupBy(*self.part).agg(F.max(name).alias("_n"), F.min_by("_k", self._ord()).alias("_head"), F.max_by("_k", self._ord()).alias("_tail"))
+        wb = Window.partitionBy(*self.key).orderBy(BLK)
+        joined = F.coalesce(F.lag(F.lit(True)).over(wb) & F.col("_head").eqNullSafe(F.lag("_tail").over(wb)), F.lit(False))
+        edge = edge.select(*self.part, "_n", joined.cast("long").alias("_same"))
+        before = F.coalesce(F.sum(F.col("_n") - F.col("_same")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        edge = edge.select(*self.part, (before - F.col("_same")).alias("_off"))
+        return self._join_blocks(work, edge).select(*keep, (F.col(name) + F.col("_off")).alias(name))

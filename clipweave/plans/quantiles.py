@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Blocks, Ordered
+from .ordered import Blocks, Ordered, by_size
 
 
+@by_size
 def quantiles(
     df: DataFrame, key: Sequence[str], value: str, qs: dict[str, float], blocks: Blocks | None = None
 ) -> DataFrame:

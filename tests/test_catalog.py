@@ -39,6 +39,19 @@ def test_query(spark, con, name, width):
     assert ok, msg
 
 
+@pytest.mark.parametrize("name", ["clean_timeline", "build_track", "duration_outliers", "nearest_frame"])
+def test_some_clips_in_blocks(spark, con, name):
+    """Every second clip in time blocks, the others plainly."""
+    spark.conf.set("spark.clipweave.blockWidth", "432000000000")
+    spark.conf.set("spark.clipweave.hotEvery", "2")
+    try:
+        ok, msg, _ = check.compare(spark, con, SF, entry.queries()[name], entry.oracle_sql()[name])
+    finally:
+        spark.conf.unset("spark.clipweave.blockWidth")
+        spark.conf.unset("spark.clipweave.hotEvery")
+    assert ok, msg
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

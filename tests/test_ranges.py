@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipweave.operators.joins import edge_segment, label_at, owner_segment
 from clipweave.plans import ranges
+from clipweave.plans.ordered import Blocks, Ordered
 
 S = 1_000_000
 WIDTH = 10 * S
@@ -78,6 +79,18 @@ def test_a_span_is_stored_a_bounded_number_of_times(spark):
     assert max(r[1] for r in once.groupBy("i").count().collect()) <= ranges.COPIES + 1
 
 
+def test_only_long_clips_are_cut_into_blocks(spark, rows):
+    df = spark.range(1000).selectExpr("if(id < 900, 'long', concat('c', id % 10)) as clip_id", "id * 1000 as t_us", "id % 7 = 0 as same")
+    blocks = Blocks.measure(df, ["clip_id"], "t_us", limit=100)
+    assert [r.clip_id for r in blocks.hot.collect()] == ["long"]
+    assert df.where("clip_id = 'long'").groupBy(F.floor(F.col("t_us") / blocks.width)).count().agg(F.max("count")).first()[0] <= 100
+    assert Blocks.measure(df, ["clip_id"], "t_us", limit=900) is None
+    for b in (blocks, Blocks(blocks.width), Blocks(37_000)):
+        plain, cut_up = Ordered(["clip_id"], ["t_us"]), Ordered(["clip_id"], ["t_us"], b)
+        for of in (lambda o: o.islands(df, {"s": F.col("same")}), lambda o: o.islands(df, {"s": F.floor(F.col("t_us") / 150_000)}), lambda o: o.number(df, "run")):
+            assert rows(of(plain), "clip_id", "t_us", "run") == rows(of(cut_up), "clip_id", "t_us", "run")
+
+
 def test_a_column_named_col_stays(spark, rows):
     segs = spark.createDataFrame([("a", 0, 0, 10), ("a", 1, 10, 20)], "clip_id string, seg long, start_us long, end_us long")
     ev = spark.createDataFrame([("a", 5, "x"), ("a", 5, "x"), ("a", 15, "y")], "clip_id string, t_us long, col string")
