@@ -15,7 +15,7 @@ from ..sources import readers as R
 from ..streaming import streams as S
 from .registry import query
 from .text_queries import HANDS, hands
-from .track_queries import MIN1, contact
+from .track_queries import CONTACT, MIN1, NAMES, TRACK, contact
 from .views import DAY, U
 
 
@@ -221,11 +221,15 @@ def _(v):
     return S.run_available(S.deduplicate(twice, "ts", ["clip_id", "event_id"], "1 hour").select("clip_id", "event_id"))
 
 
-@query("stream_track", None)
-def _(v):
-    from .track_queries import NAMES
+# rows that the watermark has passed, folded as in a batch; what is still open then is not given out yet
+_PASSED = "v_contact AS (SELECT * FROM v_contact_all WHERE t_us <= (SELECT max(t_us) // 1000 - 3600000 FROM v_obs) * 1000)"
+_STREAMED = """SELECT t.clip_id, t.hand, t.start_us, t.end_us, t.object FROM bt t JOIN (SELECT clip_id, hand, arg_max(key IS NULL, i) AS closed, max(t_us) FILTER (NOT emp) AS last_us FROM bf GROUP BY 1, 2) e USING (clip_id, hand)
+ WHERE e.closed OR t.end_us < e.last_us"""
+
 
+@query("stream_track", _STREAMED, CONTACT.replace("v_contact AS", "v_contact_all AS"), _PASSED, TRACK)
+def _(v):
     names = F.array(*[F.lit(n) for n in NAMES])
     row = lambda h, i: F.struct(F.lit(h).alias("hand"), F.element_at(names, i.cast("int") + 1).alias("object"))
     c = event_stream(v).select("clip_id", "ts", "t_us", F.inline(F.array(row("left", F.col("k") % 10), row("right", F.floor(F.col("k") / 10)))))
-    return S.run_available(S.track_stream(c, MIN1, 3, 48 * 3600 * 1000, "1 hour"))
+    return S.run_available(S.track_stream(c, MIN1, 3, "1 hour"))

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from .. import SEC
 from ..functions import text as X
 from ..plans.asof import around
+from ..plans.codes import coded
 from ..plans.folds import ordered_fold
 from ..plans.ordered import Blocks, Ordered, by_size
 from ..plans.ranges import points_in
 from .joins import KEY, WIDTH, protected
+from .possession import Possession, frame_columns, tie_words
+from .runs import alike_runs
 from .timeline import thin
 
 HAND_KEY = ["clip_id", "hand"]
@@ -30,45 +33,28 @@ def build_track(
     An interval ends after ``empty_split`` empty frames in a row or when the name no longer matches
     the interval's first name (a shared word of more than three letters counts as a match).  Short
     intervals are dropped, the most frequent name is kept, and small gaps snap to their midpoint."""
-    empty = set(X.EMPTY_TRACK)
-
-    def words(s):
-        return {w for w in s.split() if len(w) > 3}
+    says = frame_columns()
+    contact = coded(contact.select("*", says["shown"].alias("_shown"), says["empty"].alias("_empty")), KEY, {"name": says["same"]}, tie_words)
 
     def fold(rows):
-        cur, n_empty = None, 0
-        for t, name in rows:
-            name = (name or "").strip()
-            key = name.lower()
-            if key in empty:
-                n_empty += 1
-                if cur and n_empty >= empty_split:
-                    yield from close(cur)
-                    cur = None
-                continue
-            n_empty = 0
-            if cur and (cur[2] == key or words(cur[2]) & words(key)):
-                cur[1] = t
-                cur[3][name] = cur[3].get(name, 0) + 1
-            else:
-                if cur:
-                    yield from close(cur)
-                cur = [t, t, key, {name: 1}]
-        if cur:
-            yield from close(cur)
-
-    def close(cur):
-        if cur[1] - cur[0] >= min_us:
-            yield cur[0], cur[1], max(cur[3], key=cur[3].get)
+        hand = Possession(min_us, empty_split)
+        for frame in rows:
+            done = hand.feed(*frame)
+            if done:
+                yield done
+        done = hand.close()
+        if done:
+            yield done
 
     reset = None
     if blocks is not None:
         # after this many empty frames nothing is open any more
-        contact = contact.withColumn("_e", X.is_empty("object", "track").cast("long"))
+        contact = contact.withColumn("_e", F.col("_empty").cast("long"))
         contact = Ordered(HAND_KEY, ["t_us"], blocks).rolling(contact, "_w", "_e", empty_split, 0)
         n = F.aggregate(F.slice("_w", 1, empty_split), F.lit(0).cast("long"), lambda a, r: a + r["v"])
         reset = (F.col("_e") == 0) & (F.size("_w") == empty_split + 1) & (n == empty_split)
-    t = ordered_fold(contact, HAND_KEY, ["t_us"], ["t_us", "object"], "start_us long, end_us long, object string", fold, reset, blocks)
+    cols = ["t_us", "_shown", "name_code", "name_words", "_empty"]
+    t = ordered_fold(contact, HAND_KEY, ["t_us", "_shown"], cols, "start_us long, end_us long, object string", fold, reset, blocks)
     return snap_gaps(t, gap, blocks)
 
 
@@ -198,21 +184,17 @@ def _delete_boundaries(segs: DataFrame, asks: DataFrame, tol: int, seam: bool, e
         segs = segs.withColumn("edge", F.lit(None).cast("long")).withColumn("_pad", F.lit(0).cast("long"))
 
     def fold(rows):
-        held: deque = deque()  # blocks from late to early; [start, end, left, right, edge, n, pad]
-
-        def full(b):
-            return sum(1 for x in (b[2], b[3]) if x and x.upper() != "N/A")
-
-        for pos, kind, s, e, l, r, edge, pad, keep in rows:
+        held: deque = deque()  # blocks from late to early; [start, end, left, right, edge, n, pad, hands with a label]
+        for pos, kind, s, e, l, r, edge, pad, keep, hands in rows:
             if kind == 1:
-                held.append([s, e, l, r, edge, 1, pad])
+                held.append([s, e, l, r, edge, 1, pad, hands])
             elif len(held) > 1 and abs(held[-1][1] - s) < tol:
                 a, b = held[-1], held[-2]
                 if seam and a[4] is not None and a[4] < b[1] - a[6]:
                     continue  # possession changes inside
-                src = (a if full(a) >= full(b) else b) if seam else (b if keep == "after" else a)
+                src = (a if a[7] >= b[7] else b) if seam else (b if keep == "after" else a)
                 held.pop()
-                held[-1] = [a[0], b[1], src[2], src[3], a[4], a[5] + b[5], a[6]]
+                held[-1] = [a[0], b[1], src[2], src[3], a[4], a[5] + b[5], a[6], src[7]]
             while len(held) > 1 and held[1][1] >= pos + 2 * tol:
                 yield out(held.popleft())
         while held:
@@ -221,13 +203,13 @@ def _delete_boundaries(segs: DataFrame, asks: DataFrame, tol: int, seam: bool, e
     def out(b):
         return b[0], b[1], b[2], b[3], b[5]
 
-    num = lambda c: F.col(c).cast("long")
+    num = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
     nul = lambda t: F.lit(None).cast(t)
     rows = segs.select(
-        "clip_id", (-num("end_us")).alias("back"), F.lit(1).alias("kind"), num("start_us").alias("s"), num("end_us").alias("e"), "left_label", "right_label", "edge", num("_pad").alias("pad"), nul("string").alias("keep")
+        "clip_id", (-num("end_us")).alias("back"), F.lit(1).alias("kind"), num("start_us").alias("s"), num("end_us").alias("e"), "left_label", "right_label", "edge", num("_pad").alias("pad"), nul("string").alias("keep"), num(X.fullness("left_label", "right_label")).alias("hands")
     )
     reqs = asks.select(
-        "clip_id", (-(num("t_us") - tol)).alias("back"), F.lit(0).alias("kind"), num("t_us").alias("s"), nul("long").alias("e"), nul("string").alias("left_label"), nul("string").alias("right_label"), nul("long").alias("edge"), nul("long").alias("pad"), F.col("keep")
+        "clip_id", (-(num("t_us") - tol)).alias("back"), F.lit(0).alias("kind"), num("t_us").alias("s"), nul("long").alias("e"), nul("string").alias("left_label"), nul("string").alias("right_label"), nul("long").alias("edge"), nul("long").alias("pad"), F.col("keep"), nul("long").alias("hands")
     )
     both = rows.unionByName(reqs).withColumn("pos", -F.col("back"))
     reset = None
@@ -238,7 +220,7 @@ def _delete_boundaries(segs: DataFrame, asks: DataFrame, tol: int, seam: bool, e
         ).select("clip_id", F.col("end_us").alias("e"), F.lit(1).alias("_near"))
         both = both.join(near, ["clip_id", "e"], "left")
         reset = (F.col("kind") == 1) & F.col("_near").isNull()
-    cols = ["pos", "kind", "s", "e", "left_label", "right_label", "edge", "pad", "keep"]
+    cols = ["pos", "kind", "s", "e", "left_label", "right_label", "edge", "pad", "keep", "hands"]
     return ordered_fold(both, KEY, ["back", "kind"], cols, SEG_OUT + ", n long", fold, reset, blocks)
 
 
@@ -282,39 +264,14 @@ def fuzzy_merge(segs: DataFrame, thr: float = 0.6, guard: str | None = None, blo
     """Merge neighbours whose labels read alike on both hands, compared with the run's first labels,
     which stay.  ``guard`` names a 0/1 column: 1 means the boundary before the row must stay."""
 
-    def norm(x):
-        return " ".join((x or "N/A").lower().split())
-
-    def alike(a, b):
-        if a == b:
-            return True
-        if "n/a" in (a, b):
-            return False
-        wa, wb = set(a.split()), set(b.split())
-        return len(wa & wb) >= thr * len(wa | wb) if wa and wb else wa == wb
-
-    def fold(rows):
-        cur = None
-        for s, e, l, r, g in rows:
-            nl, nr = norm(l), norm(r)
-            if cur is not None and not g and alike(cur[5], nl) and alike(cur[6], nr):
-                cur[1] = e
-                cur[4] += 1
-            else:
-                if cur is not None:
-                    yield tuple(cur[:5])
-                cur = [s, e, l, r, 1, nl, nr]
-        if cur is not None:
-            yield tuple(cur[:5])
-
-    d = segs.withColumn("_g", (F.col(guard) if guard else F.lit(0)).cast("long"))
     reset = None
+    apart = (F.col(guard) == 1) if guard else None
     if blocks is not None:
         # an idle hand only matches an idle hand, so a change of pattern always breaks
         pat = F.concat((X.normalise_label("left_label") == "n/a").cast("string"), (X.normalise_label("right_label") == "n/a").cast("string"))
-        d = Ordered(KEY, ["start_us"], blocks).neighbours(d.withColumn("_pat", pat), prev={"_pp": "_pat"})
-        reset = (F.col("_g") == 1) | (F.col("_pat") != F.col("_pp"))
-    return ordered_fold(d, KEY, ["start_us"], ["start_us", "end_us", "left_label", "right_label", "_g"], SEG_OUT + ", n long", fold, reset, blocks)
+        segs = Ordered(KEY, ["start_us"], blocks).neighbours(segs.withColumn("_pat", pat), prev={"_pp": "_pat"})
+        reset = (F.coalesce(apart, F.lit(False)) if guard else F.lit(False)) | (F.col("_pat") != F.col("_pp"))
+    return alike_runs(segs, thr, apart=apart, reset=reset, blocks=blocks)
 
 
 def guarded_boundaries(segs: DataFrame, events: DataFrame, tol: int = 500_000, width: int = WIDTH) -> DataFrame:

@@ -1,0 +1,36 @@
+"""Labels as numbers, so that ordered folds compare integers and never take text apart.
+
+The dictionary of a key holds its different labels and their words, not its rows: one aggregate finds the labels,
+two rankings inside the key number labels and words, and a join (which Spark broadcasts where the dictionary is
+small) brings the numbers to the rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def coded(df: DataFrame, key: Sequence[str], labels: Mapping[str, Column], words: Callable[[str], Column]) -> DataFrame:
+    """``df`` with ``<name>_code`` (a number of the label within its key, NULL for NULL) and ``<name>_words`` (the
+    numbers of its words in order) for each of ``labels``; equal labels of different names have one code."""
+    key = list(key)
+    df = df.select("*", *[c.alias(f"_n_{n}") for n, c in labels.items()])
+    used = df.select(*key, F.explode(F.array(*[f"_n_{n}" for n in labels])).alias("_label")).where(F.col("_label").isNotNull()).distinct()
+    spread = used.select("*", F.explode_outer(words("_label")).alias("_word"))
+    within = Window.partitionBy(*key)
+    ranked = spread.select(
+        *key, "_label", "_word",
+        F.dense_rank().over(within.orderBy("_label")).alias("_code"), F.dense_rank().over(within.orderBy("_word")).alias("_number"),
+    )
+    numbers = F.sort_array(F.collect_set(F.when(F.col("_word").isNotNull(), F.col("_number"))))
+    book = ranked.groupBy(*key, "_label", "_code").agg(numbers.alias("_words"))
+    for n in labels:
+        own = book.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_label").alias("_l"), F.col("_code").alias(f"{n}_code"), F.col("_words").alias(f"{n}_words"))
+        cond = F.col(f"_n_{n}") == F.col("_l")
+        for k in key:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        df = df.join(own, cond, "left").drop("_l", *[f"_k_{k}" for k in key])
+    return df.drop(*[f"_n_{n}" for n in labels])

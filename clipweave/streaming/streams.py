@@ -10,10 +10,10 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..operators.possession import Possession, frame_columns
 
 
 def sliding_counts(df: DataFrame, ts: str, keys: list[str], width: str, step: str, delay: str | None = None) -> DataFrame:
@@ -37,68 +37,69 @@ def deduplicate(df: DataFrame, ts: str, keys: list[str], delay: str) -> DataFram
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def track_stream(contact: DataFrame, min_us: int, empty_split: int, idle_ms: int, delay: str) -> DataFrame:
-    """Possession intervals from a stream of contact rows (``clip_id, hand, ts, t_us, object``).
+def track_stream(contact: DataFrame, min_us: int, empty_split: int, delay: str, idle_us: int | None = None) -> DataFrame:
+    """Possession intervals from a stream of contact rows (``clip_id, hand, ts, t_us, object``), the same as
+    `build_track` gives before it snaps gaps, in whatever micro-batches the rows come.
 
-    State per clip and hand is the open interval; it closes after ``empty_split`` empty frames, on a
-    change of object, or when nothing arrives for ``idle_ms`` of event time."""
+    Rows wait in the state of their clip and hand until the watermark (``delay`` behind the latest row of all) has
+    passed them; an event-time timer releases them in order of time, so rows late by less than the delay take their
+    place. The state holds the open interval and the rows of one delay. With ``idle_us`` an interval also ends
+    where that long nothing came, which lets a hand that went silent be forgotten."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    empty = set(X.EMPTY_TRACK)
     out = "clip_id bigint, hand string, start_us bigint, end_us bigint, object string"
-    state = "open boolean, start_us bigint, end_us bigint, name_key string, names map<string,bigint>, empties bigint"
-
-    def words(s):
-        return {w for w in s.split() if len(w) > 3}
+    waiting = "struct<ts:bigint,t:bigint,shown:string,same:string,ties:array<string>,empty:boolean>"
+    state = f"start_us bigint, end_us bigint, same string, ties array<string>, votes map<string,bigint>, empties bigint, last bigint, rows array<{waiting}>"
 
     def step(key, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        is_open, start, end, nkey, names, empties = st.get if st.exists else (False, 0, 0, "", {}, 0)
-        names, done = dict(names), []
-
-        def close():
-            if end - start >= min_us:
-                done.append((key[0], key[1], start, end, max(names, key=names.get)))
-
-        if st.hasTimedOut:
-            if is_open:
-                close()
-            st.remove()
+        *interval, last, rows = st.get if st.exists else (None, None, None, [], {}, 0, None, [])
+        hand = Possession(min_us, empty_split, tuple(interval))
+        rows, done = [tuple(r) for r in rows], []
+        if not st.hasTimedOut:
+            for b in batches:
+                ts = [x.value // 1000 for x in b["ts"]]
+                rows += zip(ts, b["t_us"].tolist(), b["_shown"].tolist(), b["_same"].tolist(), map(list, b["_ties"]), b["_empty"].tolist(), strict=True)
+        passed = st.getCurrentWatermarkMs() * 1000
+        for ts, *frame in sorted(r for r in rows if r[0] <= passed):
+            if idle_us is not None and last is not None and ts - last >= idle_us:
+                done.append(hand.close())
+            done.append(hand.feed(*frame))
+            last = ts
+        rows = [r for r in rows if r[0] > passed]
+        if idle_us is not None and last is not None and passed - last >= idle_us:
+            done.append(hand.close())
+        ring = min(r[0] for r in rows) if rows else last + idle_us if hand.is_open and idle_us is not None else None
+        if ring is None and not hand.is_open:
+            if st.exists:
+                st.remove()
         else:
-            last_ms = 0
-            rows = pd.concat(list(batches)).sort_values("t_us")
-            stamps = [int(x.timestamp() * 1000) for x in rows["ts"]]
-            for t, name, ms in zip(rows["t_us"].tolist(), rows["object"].tolist(), stamps):
-                last_ms = max(last_ms, ms)
-                name = (name or "").strip()
-                low = name.lower()
-                if low in empty:
-                    empties += 1
-                    if is_open and empties >= empty_split:
-                        close()
-                        is_open = False
-                    continue
-                empties = 0
-                if is_open and (nkey == low or words(nkey) & words(low)):
-                    end = t
-                    names[name] = names.get(name, 0) + 1
-                else:
-                    if is_open:
-                        close()
-                    is_open, start, end, nkey, names = True, t, t, low, {name: 1}
-            st.update((is_open, start, end, nkey, names, empties))
-            st.setTimeoutTimestamp(max(st.getCurrentWatermarkMs() + 1, last_ms + idle_ms))
-        yield pd.DataFrame(done, columns=["clip_id", "hand", "start_us", "end_us", "object"])
-
-    g = contact.withWatermark("ts", delay).groupBy("clip_id", "hand")
+            st.update((*hand.state(), last, rows))
+            if ring is not None:
+                st.setTimeoutTimestamp(max(st.getCurrentWatermarkMs(), ring // 1000) + 1)
+        found = [(key[0], key[1], *d) for d in done if d]
+        yield pd.DataFrame(found, columns=["clip_id", "hand", "start_us", "end_us", "object"])
+
+    says = frame_columns()
+    rows = contact.select(
+        "clip_id", "hand", "ts", "t_us", says["shown"].alias("_shown"), says["same"].alias("_same"), says["ties"].alias("_ties"), says["empty"].alias("_empty")
+    )
+    g = rows.withWatermark("ts", delay).groupBy("clip_id", "hand")
     return g.applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a local one only in local mode where the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming frame over what is available now, through a file sink in the shared folder, and
     read the result back."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = (
         stream.writeStream.outputMode(mode)
         .format("parquet")
@@ -111,7 +112,16 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def append_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"):
-    """Append each micro-batch to a table (ledger, snapshots)."""
-    write = lambda batch, _epoch: batch.write.mode("append").format(fmt).save(path)
+def replace_epoch(batch: DataFrame, epoch: int, path: str, run: str = "stream") -> None:
+    """Write one micro-batch as the partition (``run``, ``epoch``) of a table. A batch that comes again after a
+    failure, with the same number, replaces what its first try left, so nothing is there twice."""
+    tagged = batch.withColumn("run", F.lit(run)).withColumn("epoch", F.lit(epoch).cast("long"))
+    writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run", "epoch").parquet(path)
+
+
+def append_stream(df: DataFrame, path: str, checkpoint: str, run: str = "stream"):
+    """Append each micro-batch to a table (ledger, snapshots), once however often it is tried; streams that write to
+    one table have a ``run`` of their own."""
+    write = lambda batch, epoch: replace_epoch(batch, epoch, path, run)
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
