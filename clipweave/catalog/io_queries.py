@@ -10,6 +10,7 @@ from ..operators import qa as Q
 from ..operators import timeline as T
 from ..operators import voting as V
 from ..schemas import ANSWERS, Answer
+from ..sinks import episodes as E
 from ..sinks import writers as K
 from ..sources import readers as R
 from ..streaming import streams as S
@@ -97,6 +98,50 @@ def _(v):
     return K.assemble_episodes(needs_review(s, fl, qa), lanes, fl, qa, v.clips(), page_us=15 * DAY)
 
 
+_EP_SEG = "struct<start_sec: double, end_sec: double, `left`: string, `right`: string, needs_review: boolean>"
+_EP = f"""clip string, duration_sec double, goal string, instruction string, direction string, subtasks array<{_EP_SEG}>, left_timeline array<struct<start_sec: double, end_sec: double, action: string>>,
+ right_timeline array<struct<start_sec: double, end_sec: double, action: string>>, _track struct<`left`: array<struct<start_sec: double, interacting_with: string>>, `right`: array<struct<start_sec: double, interacting_with: string>>>,
+ _transitions array<struct<t: double, kind: string>>, _flags array<struct<seg: bigint, type: string, detail: string>>, _qa struct<violations: array<struct<seg: bigint, code: string>>>, override_applied boolean"""
+_R2 = "(({c} + 5000) // 10000) / 100.0"
+_LANE = """lane AS (SELECT clip_id, hand, min(start_us) AS start_us, arg_max(end_us, start_us) AS end_us, arg_min(label, start_us) AS label FROM (SELECT *, sum(b) OVER (PARTITION BY clip_id, hand ORDER BY start_us) AS run FROM
+ (SELECT *, CASE WHEN lower(trim(label)) IS NOT DISTINCT FROM lag(lower(trim(label))) OVER (PARTITION BY clip_id, hand ORDER BY start_us) THEN 0 ELSE 1 END AS b FROM v_hands)) GROUP BY clip_id, hand, run)"""
+_EPQ = f"""SELECT kind, clip, a, b, x, y FROM (
+ SELECT 'doc' AS kind, CAST(clip_id AS VARCHAR) AS clip, {_R2.format(c='dur_us')} AS a, NULL AS b, 'goal "' || clip_id || '"' AS x, 'goal "' || clip_id || '"' AS y FROM v_clips
+ UNION ALL SELECT 'segment', CAST(clip_id AS VARCHAR), {_R2.format(c='start_us')}, {_R2.format(c='end_us')}, left_label, right_label FROM v_segments
+ UNION ALL SELECT hand, CAST(clip_id AS VARCHAR), {_R2.format(c='start_us')}, {_R2.format(c='end_us')}, label, NULL FROM lane
+ UNION ALL SELECT 'track ' || hand, CAST(clip_id AS VARCHAR), {_R2.format(c='start_us')}, NULL, object, NULL FROM v_track
+ UNION ALL SELECT 'event', CAST(clip_id AS VARCHAR), {_R2.format(c='t_us')}, NULL, kind, NULL FROM v_transitions
+ UNION ALL SELECT 'flag', CAST(clip_id AS VARCHAR), seg + 1, NULL, 'long', NULL FROM v_segments WHERE end_us - start_us > {12 * U})"""
+
+
+@query("episode_files", _EPQ, HANDS, _LANE)
+def _(v):
+    """Documents written line by line, read back and taken apart."""
+    import uuid
+
+    s, h = v.segments(), hands(v)
+    lanes = T.run_length_merge(h, ["label"], ["clip_id", "hand"], v.blocks)
+    flags = s.where(F.col("end_us") - F.col("start_us") > 12 * U).select("clip_id", "seg", F.lit("long").alias("type"), F.lit('a "quoted"\nline').alias("detail"))
+    qa = s.where(F.lit(False)).select("clip_id", "seg", F.lit("both").alias("hand"), F.lit("").alias("code"))
+    marked = s.join(flags.select("clip_id", "seg", F.lit(1).alias("needs_review")), ["clip_id", "seg"], "left")
+    heads = v.clips().withColumn("goal", F.concat(F.lit('goal "'), F.col("clip_id").cast("string"), F.lit('"')))
+    moment = F.struct(E.seconds("t_us").alias("t"), "hand", "kind", "object")
+    events = E.records(v.transitions(), "_transitions", ["t_us", "hand", "kind"], moment)
+    sections = [*E.timeline_sections(marked, lanes, flags, qa), E.hand_lists(v.track(), "_track"), events]
+    path = f"{S.shared_folder(v.spark).rstrip('/')}/episodes-{uuid.uuid4().hex}"
+    E.write_episode_files(E.episode_lines(heads, sections), path)
+    d = E.read_episode_files(v.spark, path, _EP)
+    num, none = F.lit(None).cast("double"), F.lit(None).cast("string")
+    row = lambda kind, rows, a, b, x, y: d.select("clip", F.explode(rows).alias("r")).select(F.lit(kind).alias("kind"), "clip", a.cast("double").alias("a"), b.alias("b"), x.alias("x"), y.alias("y"))
+    r = lambda c: F.col(f"r.{c}")
+    out = d.select(F.lit("doc").alias("kind"), "clip", F.col("duration_sec").alias("a"), num.alias("b"), F.col("goal").alias("x"), F.col("instruction").alias("y"))
+    out = out.union(row("segment", "subtasks", r("start_sec"), r("end_sec"), r("left"), r("right")))
+    for hand in ("left", "right"):
+        out = out.union(row(hand, f"{hand}_timeline", r("start_sec"), r("end_sec"), r("action"), none))
+        out = out.union(row(f"track {hand}", f"_track.{hand}", r("start_sec"), num, r("interacting_with"), none))
+    return out.union(row("event", "_transitions", r("t"), num, r("kind"), none)).union(row("flag", "_flags", r("seg"), num, r("type"), none))
+
+
 # an answer per event; purchases carry a value that is not allowed, errors miss a key, views one too many
 _SHAPE = Answer("kind string, n int, note string", ("kind", "n"), {}, {"kind": ("click", "view", "signup", "error")})
 

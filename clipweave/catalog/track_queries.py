@@ -235,6 +235,42 @@ def _(v):
     return C.merge_parts(s.drop("event_type"), parts, v.blocks)
 
 
+_PT = f"""pt_t AS (SELECT clip_id, t_us // (50 * {DAY // 10}) AS part, t_us % (50 * {DAY // 10}) AS t_us, kind FROM v_transitions),
+pn AS (SELECT clip_id, part, count(*) AS n FROM v_part GROUP BY 1, 2),
+pa AS (SELECT clip_id, part FROM pn UNION SELECT clip_id, part FROM pt_t),
+po AS (SELECT clip_id, part, part * 5 * {DAY} AS off_us, coalesce(CAST(sum(n) OVER (PARTITION BY clip_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS segs FROM pa LEFT JOIN pn USING (clip_id, part))"""
+
+
+@query(
+    "merge_part_tables",
+    """SELECT 'segments' AS kind, clip_id, seg + segs AS seg, start_us + off_us AS t_us, event_type AS tag FROM v_part JOIN po USING (clip_id, part)
+ UNION ALL SELECT 'flags', clip_id, seg + segs, NULL, left_label FROM v_part JOIN po USING (clip_id, part) WHERE event_type = 'error'
+ UNION ALL SELECT 'qa', clip_id, seg + segs, NULL, 'one' FROM v_part JOIN po USING (clip_id, part) WHERE event_type = 'purchase'
+ UNION ALL SELECT 'qa', clip_id, -1, NULL, 'all' FROM pn
+ UNION ALL SELECT 'transitions', clip_id, NULL, t_us + off_us, kind FROM pt_t JOIN po USING (clip_id, part)""",
+    PARTS,
+    _PT,
+)
+def _(v):
+    s = part_segments(v)
+    t, width = v.transitions(), 50 * (DAY // 10)
+    t = t.select("clip_id", F.expr(f"t_us div {width}").alias("part"), (F.col("t_us") % width).alias("t_us"), "kind")
+    whole = s.select("clip_id", "part").distinct()
+    parts = whole.union(t.select("clip_id", "part")).distinct().withColumn("off_us", F.col("part") * F.lit(5 * DAY))
+    one = lambda name: s.where(F.col("event_type") == name).select("clip_id", "part", "seg", "left_label")
+    qa = one("purchase").withColumn("left_label", F.lit("one")).union(whole.select("clip_id", "part", F.lit(-1).cast("long"), F.lit("all")))
+    got = C.merge_part_tables({"segments": s, "transitions": t, "flags": one("error"), "qa": qa}, parts, v.blocks)
+    none = F.lit(None).cast("long")
+    tall = lambda name, seg, at, tag: got[name].select(F.lit(name).alias("kind"), "clip_id", seg.alias("seg"), at.alias("t_us"), F.col(tag).alias("tag"))
+    seg = F.col("seg")
+    return (
+        tall("segments", seg, F.col("start_us"), "event_type")
+        .union(tall("flags", seg, none, "left_label"))
+        .union(tall("qa", seg, none, "left_label"))
+        .union(tall("transitions", none, F.col("t_us"), "kind"))
+    )
+
+
 @query("merge_direction", "SELECT clip_id, CASE WHEN min(d) IS NOT DISTINCT FROM max(d) THEN min(d) ELSE 'mixed_or_alternating' END AS direction FROM (SELECT clip_id, part, CASE WHEN clip_id % 3 = 0 THEN 'assembly' ELSE nullif(left_label[1:1], 'N') END AS d FROM v_part) GROUP BY 1", PARTS)
 def _(v):
     p = part_segments(v)

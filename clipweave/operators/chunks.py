@@ -36,6 +36,38 @@ def merge_parts(segs: DataFrame, parts: DataFrame, blocks: Blocks | None = None)
     )
 
 
+# times and segment numbers of the tables of a part; other columns stay as they are
+MOVES = {
+    "segments": (("start_us", "end_us"), ("seg",)),
+    "lanes": (("start_us", "end_us"), ()),
+    "track": (("start_us", "end_us"), ()),
+    "contact": (("t_us",), ()),
+    "transitions": (("t_us", "start_us", "end_us"), ()),
+    "phases": (("t_us",), ()),
+    "flags": ((), ("seg",)),
+    "qa": ((), ("seg",)),
+}
+
+
+def merge_part_tables(tables: dict[str, DataFrame], parts: DataFrame, blocks: Blocks | None = None) -> dict[str, DataFrame]:
+    """All tables of separately annotated parts on one timeline: each time moved by its part's offset, each segment
+    number by the segments before its part (a finding on the whole part, seg -1, keeps its number).
+
+    ``tables`` are named as in ``MOVES`` and have ``clip_id, part``; ``parts`` has ``clip_id, part, off_us``. The offsets
+    are one small table, numbered once; every table meets it in one join and keeps all its other columns."""
+    n = tables["segments"].groupBy("clip_id", "part").agg(F.count("*").alias("n_segs"))
+    p = parts.join(n, ["clip_id", "part"], "left").na.fill(0, ["n_segs"]).withColumn("n_frames", F.lit(0))
+    p = part_offsets(p, blocks).select("clip_id", "part", F.col("off_us").alias("_off"), F.col("seg_off").alias("_segs"))
+    out = {}
+    for name, df in tables.items():
+        times, segs = MOVES[name]
+        j = df.join(p, ["clip_id", "part"])
+        moved = {c: F.col(c) + F.col("_off") for c in times if c in df.columns}
+        moved |= {c: F.when(F.col(c) >= 0, F.col(c) + F.col("_segs")).otherwise(F.col(c)) for c in segs}
+        out[name] = j.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in df.columns if c != "part"])
+    return out
+
+
 def merge_direction(parts: DataFrame) -> DataFrame:
     """One distinct direction over the parts, else ``mixed_or_alternating``."""
     d = F.nullif(F.col("direction"), F.lit(""))
