@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..plans.cut import cut
 from ..schemas import Answer
 
 
@@ -55,45 +57,110 @@ def split_answers(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("problem").isNull()).drop("problem"), checked.where(F.col("problem").isNotNull())
 
 
+class RowsFailed(Exception):
+    """Raised by an annotator that failed on some rows only: ``errors`` maps their places in the batch to messages,
+    ``answers`` holds the added columns of all rows (whatever it likes at the failed places)."""
+
+    def __init__(self, errors: dict[int, str], answers: pd.DataFrame):
+        super().__init__(f"{len(errors)} rows failed")
+        self.errors, self.answers = errors, answers
+
+
 def annotate(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], key: list[str], schema: str) -> DataFrame:
     """Run a user's ``fn(batch) -> batch`` over rows in Arrow batches.  ``schema`` (DDL) describes the
-    columns ``fn`` adds.  A failing batch is halved until only the failing rows are left; those come back
-    with NULLs and the message in ``error``.  Results keep ``key`` so order never matters."""
+    columns ``fn`` adds.  Rows that fail come back with NULLs and the message in ``error``, the others with their
+    answers. ``fn`` says which rows failed by an ``error`` column of its own or by `RowsFailed`; then nothing is asked
+    again but, after `RowsFailed`, those rows, once and alone. After any other exception no answer of the batch is
+    known, and its rows are asked once more, one by one. Results keep ``key`` so order never matters."""
     added = T._parse_datatype_string(schema)
     out = T.StructType([df.schema[k] for k in key] + added.fields + [T.StructField("error", T.StringType())])
     names = [f.name for f in added.fields]
 
-    def one(batch: pd.DataFrame) -> pd.DataFrame:
-        got = fn(batch)
+    def table(batch: pd.DataFrame, answers: dict[str, list], errors: list) -> pd.DataFrame:
         res = batch[key].copy()
         for n in names:
-            res[n] = got[n].to_numpy()
-        res["error"] = None
+            clear = [None if e is not None else v for v, e in zip(answers[n], errors, strict=True)] if any(e is not None for e in errors) else answers[n]
+            res[n] = pd.Series(clear, index=res.index, dtype=object)
+        res["error"] = pd.Series(errors, index=res.index, dtype=object)
         return res
 
-    def attempt(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """The batch, or on failure its halves, down to the rows that fail alone."""
+    def asked(batch: pd.DataFrame) -> tuple[dict[str, list], list]:
+        got = fn(batch)
+        own = got["error"] if "error" in got.columns and "error" not in names else [None] * len(batch)
+        return {n: list(got[n]) for n in names}, [None if pd.isna(e) else str(e) for e in own]
+
+    def alone(batch: pd.DataFrame, i: int) -> tuple[dict[str, list], list]:
         try:
-            yield one(batch)
+            return asked(batch.iloc[i : i + 1].reset_index(drop=True))
         except Exception as e:  # noqa: BLE001 - the annotator is foreign code
-            if len(batch) > 1:
-                half = len(batch) // 2
-                yield from attempt(batch.iloc[:half].reset_index(drop=True))
-                yield from attempt(batch.iloc[half:].reset_index(drop=True))
-            else:
-                res = batch[key].copy()
-                for n in names:
-                    res[n] = None
-                res["error"] = f"{type(e).__name__}: {e}"
-                yield res
+            message = e.errors.get(0, str(e)) if isinstance(e, RowsFailed) else f"{type(e).__name__}: {e}"
+            return {n: [None] for n in names}, [message]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield from attempt(b.reset_index(drop=True))
+            b = b.reset_index(drop=True)
+            try:
+                answers, errors = asked(b)
+            except Exception as e:  # noqa: BLE001
+                known = isinstance(e, RowsFailed)
+                answers = {n: list(e.answers[n]) if known else [None] * len(b) for n in names}
+                errors = [None] * len(b)
+                for i in sorted(e.errors) if known else range(len(b)):
+                    one, (errors[i],) = alone(b, i) if known or len(b) > 1 else ({n: [None] for n in names}, [f"{type(e).__name__}: {e}"])
+                    for n in names:
+                        answers[n][i] = one[n][0]
+            yield table(b, answers, errors)
 
     return df.mapInPandas(run, out)
 
 
+def question(df: DataFrame, inputs: list[str], version: str) -> Column:
+    """What an annotator is asked: a hash of the input columns and of the annotator's version."""
+    return F.sha2(F.concat_ws("\n", F.lit(version), F.to_json(F.struct(*[F.col(c) for c in inputs]), {"ignoreNullFields": "false"})), 256)
+
+
+def stored_answers(spark: SparkSession, store: str, schema: str) -> DataFrame:
+    """All answers kept under ``store`` (none where nothing is there yet)."""
+    ddl = f"question string, {schema}, run string"
+    try:
+        return spark.read.schema(ddl).parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)
+
+
+def ask_once(
+    df: DataFrame, fn, key: list[str], inputs: list[str], schema: str, store: str, run: str, version: str = "1", shape: Answer | None = None, raw: str = "answer"
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with answers, rejects): the annotator is asked only what ``store`` has no answer to, and each different
+    question once, however many rows put it.
+
+    New answers without error are kept as partition ``run`` of the store, which a repeated run replaces; ``shape`` keeps
+    only those whose column ``raw`` conforms (F32). The rows carry ``key``, the added columns and ``error``; rejects are
+    the new questions that failed or did not conform, with ``problem``; they are asked again by the next run."""
+    spark = df.sparkSession
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    asks = df.select(*key, *[c for c in inputs if c not in key], question(df, inputs, version).alias("question"))
+    known = stored_answers(spark, store, schema).where(F.col("run") != run).select("question", *names).dropDuplicates(["question"])
+    new = asks.select("question", *inputs).dropDuplicates(["question"]).join(known.select("question"), "question", "left_anti")
+    got = annotate(new, fn, ["question"], schema)
+    if shape:  # under names that the check does not use itself
+        cols = ["question", *names, "error"]
+        mine = got.select(*[F.col(c).alias(f"_in_{c}") for c in cols])
+        checked = check_answer(mine, f"_in_{raw}", shape).select(*[F.col(f"_in_{c}").alias(c) for c in cols], "problem")
+    else:
+        checked = got.withColumn("problem", F.lit(None).cast("string"))
+    checked = cut(checked.withColumn("problem", F.coalesce("error", "problem")))  # the model is not run twice
+    good, bad = checked.where(F.col("problem").isNull()), checked.where(F.col("problem").isNotNull())
+    kept = good.select("question", *names, F.lit(run).alias("run"))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(store)
+    every = known.unionByName(good.select("question", *names)).withColumn("error", F.lit(None).cast("string"))
+    failed = bad.select("question", *[F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(schema).fields], F.col("problem").alias("error"))
+    answered = asks.select(*key, "question").join(every.unionByName(failed), "question", "left").select(*key, *names, "error")
+    return answered, bad.select("question", "problem", *names)
+
+
 def annotate_active(df: DataFrame, idle: DataFrame, fn, key: list[str], schema: str) -> DataFrame:
     """Skip idle segments before the annotator is called; they come back with NULL answers."""
     busy = annotate(df.join(idle, key, "left_anti"), fn, key, schema)
