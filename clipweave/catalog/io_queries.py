@@ -216,6 +216,43 @@ def _(v):
     return N.second_pass(first, s, bad, fix, ["clip_id", "seg"], "answer string")
 
 
+_LOGLINE = "'[' || lpad(CAST(n % 24 AS VARCHAR), 2, '0') || ':00:00] ' || CASE WHEN event_type = 'signup' THEN 'TRACE [1A seed ' || n || '] of ' ELSE '' END || clip_id || ' ' || event_type"
+_LOGS = f"""lg AS (SELECT clip_id, n AS pos, CASE WHEN event_type = 'view' THEN '   #' || n || ' of ' || clip_id ELSE {_LOGLINE} END AS line, event_type FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY t_us) - 1 AS n FROM v_obs))"""
+
+
+def written_logs(v):
+    """A log a clip, written as text and read back by `read_logs`."""
+    import uuid
+
+    f = v.frames()
+    n, c = F.col("frame").cast("string"), F.col("clip_id").cast("string")
+    seed = F.when(F.col("event_type") == "signup", F.concat(F.lit("TRACE [1A seed "), n, F.lit("] of "))).otherwise("")
+    stamp = F.concat(F.lit("["), F.lpad((F.col("frame") % 24).cast("string"), 2, "0"), F.lit(":00:00] "), seed, c, F.lit(" "), "event_type")
+    line = F.when(F.col("event_type") == "view", F.concat(F.lit("   #"), n, F.lit(" of "), c)).otherwise(stamp)
+    lines = f.select("clip_id", "t_us", line.alias("line")).repartition("clip_id").sortWithinPartitions("clip_id", "t_us")
+    path = f"{S.shared_folder(v.spark).rstrip('/')}/logs-{uuid.uuid4().hex}"
+    lines.select("clip_id", "line").write.partitionBy("clip_id").text(path)
+    own = F.regexp_extract("line", r"of (\d+)$|(\d+) \w+$", 0)  # the clip: written files of one task share their name
+    return R.read_logs(v.spark, f"{path}/clip_id=*/*.txt").withColumn("file", F.regexp_extract(own, r"(\d+)", 1))
+
+
+@query("read_logs", "SELECT clip_id, pos, line FROM lg", _LOGS)
+def _(v):
+    return written_logs(v).select(F.col("file").cast("long").alias("clip_id"), "pos", "line")
+
+
+@query("log_blocks", "SELECT pos, line FROM (SELECT *, sum(CASE WHEN starts_with(line, '[') AND NOT contains(line, 'TRACE [1A seed') THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY pos) AS stop FROM (SELECT *, max(CASE WHEN event_type = 'signup' THEN pos END) OVER (PARTITION BY clip_id) AS last FROM lg) WHERE pos >= last) WHERE stop = 0", _LOGS)
+def _(v):
+    return R.extract_blocks(written_logs(v)).select("pos", "line")
+
+
+@query("log_index", "SELECT n - 1 AS rows, count(*) AS logs FROM (SELECT clip_id, count(*) AS n FROM lg GROUP BY 1) GROUP BY 1", _LOGS)
+def _(v):
+    lines = K.log_index(written_logs(v)).where("ord like '2 %'")
+    rows = F.regexp_extract("line", r"\| (\d+) \|$", 1).cast("long")
+    return lines.groupBy(rows.alias("rows")).agg(F.count("*").alias("logs"))
+
+
 # ---- streams -----------------------------------------------------------------------------------------------
 def event_stream(v):
     """The events table read as a stream, in UTC timestamps."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import SEC
 from ..functions import text as X
 from ..plans.asof import nearest
+from ..plans.containment import containment
 from ..plans.ordered import Blocks, Ordered, by_size
 from ..plans.ranges import overlapping, picked, points_in
 
@@ -159,16 +160,9 @@ def needs_review(segs: DataFrame, flags: DataFrame, qa: DataFrame) -> DataFrame:
 
 
 def pair_by_tag(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Pair each prediction tag with the first (by name) truth file whose name contains it.
-
-    Names are cut into all their substrings (a file name is short), so the containment test becomes
-    an equi-join."""
-    tags = pred.select("tag").distinct()
-    names = truth.select("name").where(F.length("name") > 0).distinct()
-    pieces = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("_l"))
-    pieces = pieces.select("name", "_l", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("_l") + 1)).alias("_p"))
-    pieces = pieces.select("name", F.substring("name", F.col("_p"), F.col("_l")).alias("tag")).distinct()
-    return tags.join(pieces, "tag").groupBy("tag").agg(F.min("name").alias("name"))
+    """Pair each prediction tag with the first (by name) truth file whose name contains it."""
+    pairs = containment(pred.select(F.col("tag").alias("needle")), truth.select(F.col("name").alias("hay")))
+    return pairs.groupBy(F.col("needle").alias("tag")).agg(F.min("hay").alias("name"))
 
 
 def apply_overrides(segs: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -193,22 +187,27 @@ def oov_words(hands: DataFrame, catalogue: DataFrame) -> DataFrame:
 def snap_vocab(pred: DataFrame, vocab: DataFrame) -> DataFrame:
     """Snap a free name to the clip's vocabulary: exact (any case), keep a composite that contains
     a known name, else the first known name containing it, else N/A.  Vocabulary order is ``ord``."""
-    v = vocab.groupBy("clip_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("_v")
-    )
-    low = F.lower("name")
-    exact = F.filter("_v", lambda x: F.lower(x) == low)
-    inner = F.filter("_v", lambda x: F.contains(low, F.lower(x)))
-    outer = F.filter("_v", lambda x: F.contains(F.lower(x), low))
+    low = pred.select("clip_id", F.lower("name").alias("_low")).where(F.col("_low").isNotNull()).distinct()
+    known = vocab.select("clip_id", "ord", "name", F.lower("name").alias("known"))
+    exact = known.groupBy("clip_id", F.col("known").alias("_low")).agg(F.max_by("name", F.struct("ord", "name")).alias("_exact"))
+    # names that contain a known name, and the first known name that contains them
+    inner = containment(known.withColumnRenamed("known", "needle"), low.withColumnRenamed("_low", "hay"), KEY)
+    inner = inner.select("clip_id", F.col("hay").alias("_low"), F.lit(True).alias("_inner")).distinct()
+    outer = containment(low.withColumnRenamed("_low", "needle"), known.withColumnRenamed("known", "hay"), KEY)
+    outer = outer.join(known.withColumnRenamed("known", "hay"), ["clip_id", "hay"]).groupBy("clip_id", F.col("needle").alias("_low"))
+    outer = outer.agg(F.min_by("name", F.struct("ord", "name")).alias("_outer"))
+    some = known.groupBy("clip_id").agg(F.lit(True).alias("_some"), F.max(F.col("known") == "").alias("_blank"))
+    found = low.join(exact, ["clip_id", "_low"], "left").join(inner, ["clip_id", "_low"], "left").join(outer, ["clip_id", "_low"], "left")
+    j = pred.withColumn("_low", F.lower("name")).join(found, ["clip_id", "_low"], "left").join(some, KEY, "left")
     bad = F.upper(F.coalesce("name", F.lit(""))).isin("N/A", "NA", "")
     snapped = (
         F.when(bad, "N/A")
-        .when(F.col("_v").isNull(), F.col("name"))
-        .when(F.size(exact) > 0, F.try_element_at(exact, F.lit(-1)))
-        .when(F.size(inner) > 0, F.col("name"))
-        .otherwise(F.coalesce(F.get(outer, F.lit(0)), F.lit("N/A")))
+        .when(F.col("_some").isNull(), F.col("name"))
+        .when(F.col("_exact").isNotNull(), F.col("_exact"))
+        .when(F.coalesce("_inner", "_blank"), F.col("name"))
+        .otherwise(F.coalesce("_outer", F.lit("N/A")))
     )
-    return pred.join(v, KEY, "left").withColumn("snapped", snapped).drop("_v")
+    return j.select(*pred.columns, snapped.alias("snapped"))
 
 
 def other_hand(prompts: DataFrame) -> DataFrame:

@@ -130,13 +130,15 @@ def coerce_segments(raw: DataFrame, clips: DataFrame, eps: int = 50_000) -> Data
         clamp("end_us").alias("end_us"),
         lab("left_label").alias("left_label"),
         lab("right_label").alias("right_label"),
+        *([F.col("ord")] if "ord" in raw.columns else []),
     )
     return out.where(F.col("end_us") - F.col("start_us") > eps)
 
 
 @by_size
 def deoverlap(segs: DataFrame, eps: int = 50_000, blocks: Blocks | None = None) -> DataFrame:
-    """Push each start up to the previous kept end; drop rows left with ``eps`` or less."""
+    """Push each start up to the previous kept end; drop rows left with ``eps`` or less. Rows that start together
+    come in input order where a column ``ord`` gives it, else by their end."""
 
     def fold(rows):
         prev = None
@@ -147,13 +149,14 @@ def deoverlap(segs: DataFrame, eps: int = 50_000, blocks: Blocks | None = None)
                 prev = e
                 yield s, e, l, r
 
+    tie = "ord" if "ord" in segs.columns else "end_us"
     reset = None
     if blocks is not None:
         # nothing before can reach this row: every earlier end is at or before its start
-        segs = Ordered(KEY, ["start_us", "end_us"], blocks).running(segs, {"_reach": ("max", "end_us")}, exclusive=True)
+        segs = Ordered(KEY, ["start_us", tie], blocks).running(segs, {"_reach": ("max", "end_us")}, exclusive=True)
         reset = F.col("_reach") <= F.col("start_us")
     return ordered_fold(
-        segs, KEY, ["start_us", "end_us"], SEG,
+        segs, KEY, ["start_us", tie], SEG,
         "start_us long, end_us long, left_label string, right_label string", fold, reset, blocks,
     )
 

@@ -39,6 +39,9 @@ def consensus(runs: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     return win.select(*f, F.when(F.col("w.key") == "N/A", "empty").otherwise(F.col("w.name")).alias("object"), "n_runs")
 
 
+STEP = 1000  # frames in which names that are ranked side by side are first seen
+
+
 def inventory_votes(proposals: DataFrame) -> DataFrame:
     """One vote per frame and lower-cased name; first-seen spelling; ``rank`` by votes, then first seen.
     ``ord`` is the position of the proposal in its frame."""
@@ -48,8 +51,16 @@ def inventory_votes(proposals: DataFrame) -> DataFrame:
         F.min(F.struct("frame", "ord")).alias("_f"),
         F.min_by("name", F.struct("frame", "ord")).alias("name"),
     )
-    r = F.row_number().over(Window.partitionBy("clip_id").orderBy(F.desc("votes"), "_f"))
-    return v.withColumn("rank", r).drop("_f")
+    # ranked in steps of equal votes and near first frames: a step's rows rank inside it, after all rows of the steps
+    # before it, and only the steps of a clip are lined up
+    v = v.withColumn("_b", F.floor(F.col("_f.frame") / STEP))
+    step = ["clip_id", "votes", "_b"]
+    before = Window.partitionBy("clip_id").orderBy(F.desc("votes"), "_b").rowsBetween(Window.unboundedPreceding, -1)
+    steps = v.groupBy(*step).agg(F.count("*").alias("_n"))
+    steps = steps.select(*step, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy(*step).orderBy("_f"))
+    v = v.withColumn("_in", inside).join(steps, step)
+    return v.withColumn("rank", (F.col("_off") + F.col("_in")).cast("int")).drop("_f", "_b", "_in", "_off")
 
 
 def dominant_name(rows: DataFrame, key: list[str], name: str, order: str) -> DataFrame:

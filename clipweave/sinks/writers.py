@@ -100,6 +100,15 @@ def log_report(blocks: DataFrame) -> DataFrame:
     return b.select("file", (F.size("b") - 1).alias("rows"), F.concat(F.lit("## "), "file", F.lit("\n\n```\n"), text, F.lit("\n```")).alias("section"))
 
 
+def log_index(blocks: DataFrame) -> DataFrame:
+    """The report's index as Markdown lines in order (``ord``): a head, then one line per log with its rows."""
+    n = blocks.groupBy("file").agg(F.count("*").alias("n"))
+    line = F.concat(F.lit("| "), "file", F.lit(" | "), (F.col("n") - 1).cast("string"), F.lit(" |"))
+    rows = n.select(F.concat(F.lit("2 "), "file").alias("ord"), line.alias("line"))
+    head = n.sparkSession.createDataFrame([("0", "| log | rows |"), ("1", "| --- | --- |")], "ord string, line string")
+    return head.unionByName(rows)
+
+
 def append_ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("sep", "\t").csv(path)
 

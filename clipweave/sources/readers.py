@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
+from ..plans.ordered import Blocks, Ordered, by_size
 
 
 def _us(sec: Column) -> Column:
@@ -69,11 +70,24 @@ def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, glob: str) -> DataFrame:
-    """Console log lines with their file; batch logs are left out.  ``pos`` is the line's number in the
-    file: a whole file is read as one record, since line order is its meaning."""
-    df = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    """Console log lines with their file; batch logs are left out. ``pos`` is the line's number in the file.
+
+    Files are read in byte ranges, so a long log is read by many tasks: lines are numbered inside their range, and
+    a table with one row a range says how many lines come before it."""
+    df = spark.read.option("lineSep", "\n").text(glob).select(
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("_from"),
+        F.monotonically_increasing_id().alias("_at"),  # in the order of the range
+        F.regexp_replace("value", "\r$", "").alias("line"),
+    )
     df = df.where(~F.contains("file", F.lit("_batch")))
-    return df.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    ranges = df.groupBy("_path", "_from").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_path", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_path", "_from").orderBy("_at")) - 1
+    numbered = df.withColumn("_in", inside).join(ranges, ["_path", "_from"])
+    return numbered.select("file", (F.col("_off") + F.col("_in")).alias("pos"), "line")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -131,11 +145,11 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return episode_segments(read_episodes(spark, path))
 
 
-def extract_blocks(lines: DataFrame, marker: str = "TRACE [1A seed") -> DataFrame:
-    """Lines of the last marked block of each log: from the marker up to the next timestamp line."""
-    from ..plans.ordered import Ordered
-
-    o = Ordered(["file"], ["pos"])
+@by_size
+def extract_blocks(lines: DataFrame, marker: str = "TRACE [1A seed", blocks: Blocks | None = None) -> DataFrame:
+    """Lines of the last marked block of each log: from the marker up to the next timestamp line. ``blocks``
+    (measured on ``file`` and ``pos``) cuts long logs into stretches of lines."""
+    o = Ordered(["file"], ["pos"], blocks)
     mark = F.contains("line", F.lit(marker))
     d = o.running(lines, {"_block": ("sum", mark.cast("long"))})
     d = o.totals(d, {"_last": ("max", "_block")}).where((F.col("_block") == F.col("_last")) & (F.col("_block") > 0))

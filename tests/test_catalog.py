@@ -39,7 +39,7 @@ def test_query(spark, con, name, width):
     assert ok, msg
 
 
-@pytest.mark.parametrize("name", ["clean_timeline", "build_track", "duration_outliers", "nearest_frame"])
+@pytest.mark.parametrize("name", ["clean_timeline", "duration_outliers"])
 def test_some_clips_in_blocks(spark, con, name):
     """Every second clip in time blocks, the others plainly."""
     spark.conf.set("spark.clipweave.blockWidth", "432000000000")
