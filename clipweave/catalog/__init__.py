@@ -5,7 +5,7 @@ from . import (  # noqa: F401
     ground_queries,
     io_queries,
     join_queries,
-    qa_queries,
+    qa_queries, reader_queries,
     signal_queries,
     text_queries,
     timeline_queries,

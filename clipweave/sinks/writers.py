@@ -109,17 +109,30 @@ def log_index(blocks: DataFrame) -> DataFrame:
     return head.unionByName(rows)
 
 
-def append_ledger(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("sep", "\t").csv(path)
+def append_ledger(df: DataFrame, path: str, run: str | None = None) -> None:
+    """Append rows to the ledger; those of a named ``run`` replace what an earlier try of that run left."""
+    if run is None:
+        df.write.mode("append").option("sep", "\t").csv(path)
+    else:
+        _replace(df.withColumn("run", F.lit(run)), "run").option("sep", "\t").csv(path)
+
+
+def _replace(df: DataFrame, *parts: str):
+    """A writer that replaces just the partitions it writes to."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
 
 
 def usage_summary(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("family").agg(*[F.sum(c).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens")])
 
 
-def snapshot(df: DataFrame, stage: str, path: str) -> None:
-    """Append a stage's timeline, partitioned by stage."""
-    df.withColumn("stage", F.lit(stage)).write.mode("append").partitionBy("stage").parquet(path)
+def snapshot(df: DataFrame, stage: str, path: str, run: str | None = None) -> None:
+    """Append a stage's timeline, partitioned by stage; of a named ``run``, replacing that run's earlier try."""
+    df = df.withColumn("stage", F.lit(stage))
+    if run is None:
+        df.write.mode("append").partitionBy("stage").parquet(path)
+    else:
+        _replace(df.withColumn("run", F.lit(run)), "stage", "run").parquet(path)
 
 
 def upsert_fields(base: DataFrame, new: DataFrame, key: list[str], fields: list[str]) -> DataFrame:

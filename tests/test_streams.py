@@ -7,6 +7,8 @@ import tempfile
 import pytest
 
 from clipweave.operators import tracks
+from clipweave.sinks import writers
+from clipweave.sources import readers
 from clipweave.streaming import streams
 
 BASE = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -77,3 +79,15 @@ def test_append_stream_can_be_restarted(spark):
     for _ in range(2):  # the second run finds nothing new
         streams.append_stream(stream, f"{folder}/out", f"{folder}/check").awaitTermination()
         assert spark.read.parquet(f"{folder}/out").count() == len(rows)
+
+
+def test_a_repeated_run_replaces_its_ledger_and_snapshot(spark):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    row = spark.createDataFrame([("f", 1, 10, 2)], "family string, calls long, prompt_tokens long, completion_tokens long")
+    for run in ("a", "b", "a"):
+        writers.append_ledger(row, f"{base}/ledger", run)
+        writers.snapshot(spark.range(3), "first", f"{base}/stages", run)
+    writers.snapshot(spark.range(2), "second", f"{base}/stages", "a")
+    assert writers.usage_summary(readers.read_ledger(spark, f"{base}/ledger")).first().calls == 2
+    got = spark.read.parquet(f"{base}/stages").groupBy("stage").count().collect()
+    assert {r.stage: r["count"] for r in got} == {"first": 6, "second": 2}
