@@ -21,9 +21,7 @@ def tie_words(same: Column | str) -> Column:
 
 
 class Possession:
-    """Feed frames in order; each call gives back the interval that the frame ended, if any.
-
-    ``same`` and ``ties`` may be numbers or text, they are only compared."""
+    """Feed frames (`frame_columns`) in order; each call gives back the interval that the frame ended, if any."""
 
     __slots__ = ("least", "patience", "start", "end", "same", "ties", "votes", "empties")
 

@@ -1,4 +1,8 @@
-"""Runs of segments that read alike: one fold over coded labels for all merging operators."""
+"""Runs of segments that read alike: one fold for all merging operators.
+
+Spark takes the labels apart (normal form, different words, idle or not, hands with a label); the fold only
+compares what it is given.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.codes import coded
 from ..plans.folds import ordered_fold
 from ..plans.ordered import Blocks
 
@@ -15,15 +18,15 @@ RUN = "start_us long, end_us long, left_label string, right_label string, n long
 
 
 class Mark:
-    """A label as the fold sees it: its code and the numbers of its words (none for an idle hand)."""
+    """A label as the fold sees it: its normal form and its words (none for an idle hand)."""
 
-    __slots__ = ("code", "words")
+    __slots__ = ("form", "words")
 
-    def __init__(self, code, words):
-        self.code, self.words = code, frozenset(words)
+    def __init__(self, form, words):
+        self.form, self.words = form, frozenset(words)
 
-    def reads_like(self, code, words, share: float) -> bool:
-        if code == self.code:
+    def reads_like(self, form, words, share: float) -> bool:
+        if form == self.form:
             return True
         both = sum(w in self.words for w in words)
         return both > 0 and both >= share * (len(self.words) + len(words) - both)
@@ -42,10 +45,11 @@ def alike_runs(
     or the same ``process`` (not NULL) goes on; not where ``apart`` is true. The run's labels are its first row's
     or, with ``fullest``, those of the row that has labels on more hands. ``reset`` marks rows that start a run anyhow."""
     idle = lambda c: X.normalise_label(c) == "n/a"
-    d = coded(segs, KEY, {"left": X.normalise_label("left_label"), "right": X.normalise_label("right_label")}, X.label_token_set)
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<string>")
+    d = segs
     for side in ("left", "right"):
-        d = d.withColumn(f"{side}_words", F.when(idle(f"{side}_label"), none).otherwise(F.col(f"{side}_words")))
+        label = f"{side}_label"
+        d = d.withColumn(f"_{side}", X.normalise_label(label)).withColumn(f"_{side}_words", F.when(idle(label), none).otherwise(X.label_token_set(label)))
     d = d.withColumn("_apart", F.coalesce(apart, F.lit(False)) if apart is not None else F.lit(False))
     d = d.withColumn("_full", X.fullness("left_label", "right_label").cast("long"))
     d = d.withColumn("_process", process if process is not None else F.lit(None).cast("string"))
@@ -67,5 +71,5 @@ def alike_runs(
         if run is not None:
             yield tuple(run)
 
-    cols = ["start_us", "end_us", "left_label", "right_label", "left_code", "left_words", "right_code", "right_words", "_apart", "_process", "_full"]
+    cols = ["start_us", "end_us", "left_label", "right_label", "_left", "_left_words", "_right", "_right_words", "_apart", "_process", "_full"]
     return ordered_fold(d, KEY, ["start_us", "end_us"], cols, RUN, fold, reset, blocks)

@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from .. import SEC
 from ..functions import text as X
 from ..plans.asof import around
-from ..plans.codes import coded
 from ..plans.folds import ordered_fold
 from ..plans.ordered import Blocks, Ordered, by_size
 from ..plans.ranges import points_in
 from .joins import KEY, WIDTH, protected
-from .possession import Possession, frame_columns, tie_words
+from .possession import Possession, frame_columns
 from .runs import alike_runs
 from .timeline import thin
 
@@ -34,7 +33,7 @@ def build_track(
     the interval's first name (a shared word of more than three letters counts as a match).  Short
     intervals are dropped, the most frequent name is kept, and small gaps snap to their midpoint."""
     says = frame_columns()
-    contact = coded(contact.select("*", says["shown"].alias("_shown"), says["empty"].alias("_empty")), KEY, {"name": says["same"]}, tie_words)
+    contact = contact.select("*", *[c.alias(f"_{n}") for n, c in says.items()])
 
     def fold(rows):
         hand = Possession(min_us, empty_split)
@@ -53,7 +52,7 @@ def build_track(
         contact = Ordered(HAND_KEY, ["t_us"], blocks).rolling(contact, "_w", "_e", empty_split, 0)
         n = F.aggregate(F.slice("_w", 1, empty_split), F.lit(0).cast("long"), lambda a, r: a + r["v"])
         reset = (F.col("_e") == 0) & (F.size("_w") == empty_split + 1) & (n == empty_split)
-    cols = ["t_us", "_shown", "name_code", "name_words", "_empty"]
+    cols = ["t_us", "_shown", "_same", "_ties", "_empty"]
     t = ordered_fold(contact, HAND_KEY, ["t_us", "_shown"], cols, "start_us long, end_us long, object string", fold, reset, blocks)
     return snap_gaps(t, gap, blocks)
 
