@@ -259,6 +259,21 @@ def _(v):
     return A.report_lines(v.segments(), v.transitions())
 
 
+@query(
+    "catalogue_lines",
+    f"""SELECT clip_id, 2 AS line_no, 'catalogue (1A) objects: ' || string_agg(name, ', ' ORDER BY ord, name) AS line FROM cato GROUP BY 1
+ UNION ALL SELECT clip_id, 2, '{A.OOV_INTRO}' || string_agg(word, ', ' ORDER BY word) FROM
+ (SELECT DISTINCT clip_id, word FROM (SELECT clip_id, unnest({LABEL_WORDS.format(c='label')}) AS word FROM v_hands) w WHERE length(word) > 2 AND NOT regexp_full_match(word, '[0-9]+')
+ AND clip_id IN (SELECT clip_id FROM cato) AND NOT EXISTS (SELECT 1 FROM cato c WHERE c.clip_id = w.clip_id AND (c.name = w.word OR c.colour = w.word))) GROUP BY 1""",
+    HANDS,
+    "cato AS (SELECT clip_id, event_type AS name, 'hold' AS colour, min(event_id) AS ord FROM v_obs WHERE event_type IN ('click', 'view') AND clip_id % 3 > 0 GROUP BY 1, 2)",
+)
+def _(v):
+    o = v.obs().where(F.col("event_type").isin("click", "view") & (F.col("clip_id") % 3 > 0))
+    o = o.groupBy("clip_id", F.col("event_type").alias("name")).agg(F.lit("hold").alias("colour"), F.min("event_id").alias("ord"))
+    return A.catalogue_lines(v.segments(), o)
+
+
 # ---- QA ------------------------------------------------------------------------------------------
 _QA1 = f"""qc AS (SELECT h.clip_id, h.seg, h.hand, h.label, h.end_us - h.start_us AS dur, CAST(sum(least(t.end_us, h.end_us) - greatest(t.start_us, h.start_us)) FILTER (t.clip_id IS NOT NULL) AS BIGINT) AS cover,
  arg_min(t.object, {{'a': t.start_us, 'b': t.end_us}}) AS object FROM v_hands h LEFT JOIN v_track t ON t.clip_id = h.clip_id AND t.hand = h.hand AND t.end_us > h.start_us + {S01} AND t.start_us < h.end_us - {S01}

@@ -419,3 +419,12 @@ def _(v):
 @query("absorb_tiny", None)
 def _(v):
     return S.absorb_tiny(v.segments(), 6 * U, v.blocks)
+
+
+@query(
+    "spans_or_even",
+    """SELECT clip_id, seg, start_us, end_us FROM v_segments WHERE clip_id % 2 = 0
+ UNION ALL SELECT clip_id, i AS seg, a + (b - a) * i // 6, a + (b - a) * i // 6 FROM (SELECT clip_id, min(t_us) AS a, max(t_us) AS b FROM v_obs GROUP BY 1), range(0, 7) r(i) WHERE clip_id % 2 = 1 OR clip_id NOT IN (SELECT clip_id FROM v_segments)""",
+)
+def _(v):
+    return S.spans_or_even(v.segments().where(F.col("clip_id") % 2 == 0), v.obs(), 7)

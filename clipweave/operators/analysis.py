@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..plans.ordered import Blocks, Ordered, by_size
 from ..plans.quantiles import quantiles
 from .hands import unpivot_hands
-from .joins import KEY, WIDTH, edge_segment, frames_in_segments, owner_segment, protected, touching_rows, unmatched_events
+from .joins import KEY, WIDTH, edge_segment, frames_in_segments, oov_words, owner_segment, protected, touching_rows, unmatched_events
 from .timeline import monotone_run
 
 
@@ -270,3 +270,21 @@ def report_lines(segs: DataFrame, events: DataFrame) -> DataFrame:
         words.select("clip_id", F.lit(1).alias("line_no"), F.concat(F.lit("label word frequency (most used): "), "_w").alias("line"))
         .union(kc.select("clip_id", F.lit(3), F.concat(F.lit("detected transitions: "), F.col("pickups").cast("string"), F.lit(" pickup, "), F.col("places").cast("string"), F.lit(" place"))))
     )
+
+
+# fixed values: how the report introduces words that no known object has
+OOV_INTRO = "label words NOT in the 1A catalogue (may include verbs — judge which are objects; an object here is a likely rename/hallucination): "
+
+
+def catalogue_lines(segs: DataFrame, objects: DataFrame) -> DataFrame:
+    """The report's second part, for clips with a catalogue (``clip_id, ord, name, colour``): its names in order, and the
+    label words that it lacks. Both have ``line_no`` 2 and sort by their text."""
+    named = objects.where(F.coalesce("name", F.lit("")) != "")
+    order = F.sort_array(F.collect_list(F.struct("ord", "name")))
+    names = named.groupBy("clip_id").agg(F.array_join(F.transform(order, lambda x: x["name"]), ", ").alias("_names"))
+    hands = unpivot_hands(segs.select("clip_id", "seg", "left_label", "right_label"))
+    words = oov_words(hands.join(names.select("clip_id"), KEY, "left_semi"), objects)
+    lacking = words.groupBy("clip_id").agg(F.array_join(F.array_sort(F.collect_set("word")), ", ").alias("_words"))
+    return names.select("clip_id", F.lit(2).alias("line_no"), F.concat(F.lit("catalogue (1A) objects: "), "_names").alias("line")).union(
+        lacking.select("clip_id", F.lit(2), F.concat(F.lit(OOV_INTRO), "_words"))
+    )
