@@ -89,8 +89,8 @@ def track_stream(contact: DataFrame, min_us: int, empty_split: int, delay: str,
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; a local one only in local mode where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if folder is None and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 

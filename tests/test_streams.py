@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import tempfile
+from types import SimpleNamespace
 
 import pytest
 
@@ -91,3 +92,13 @@ def test_a_repeated_run_replaces_its_ledger_and_snapshot(spark):
     assert writers.usage_summary(readers.read_ledger(spark, f"{base}/ledger")).first().calls == 2
     got = spark.read.parquet(f"{base}/stages").groupBy("stage").count().collect()
     assert {r.stage: r["count"] for r in got} == {"first": 6, "second": 2}
+
+
+@pytest.mark.parametrize("master, local", [("local", True), ("local[4]", True), ("local-cluster[2,1,512]", False), ("yarn", False)])
+def test_scratch_needs_a_shared_folder_on_a_cluster(master, local):
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    if local:
+        assert streams.shared_folder(session).startswith("/tmp/spark-")
+    else:
+        with pytest.raises(ValueError):
+            streams.shared_folder(session)
