@@ -92,3 +92,31 @@ def test_bounded_mixing_keeps_other_marginals_when_one_cell_is_cut(spark):
     left = (out.p * out.tokens).groupby(out.source).sum() / out.tokens.sum()
     assert abs(left["a"] - 0.375) < 1e-3 and abs(left["b"] - 0.375) < 1e-3
     assert (out.p[out.lang == "xx"] > 0.999).all()
+
+
+def test_registered_mixing_with_a_hot_source_meets_what_targets_ask(spark, tmp_path):
+    """A source holds a third of all tokens, and the others are nearly used up: targets bind each other."""
+    rng = random.Random(9)
+    forms = ["", "", "", "", "", "", "", " | ", "!! ", "### "]
+    rows = [(i, "word " * rng.randint(1, 40) + rng.choice(forms), rng.choice(["en"] * 4 + ["de", "fr"]), rng.choice([f"s{k}" for k in range(12)] + ["s0"] * 6)) for i in range(6000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op5_mixing"](spark, str(tmp_path)).toPandas()
+    assert ((got.p >= 0) & (got.p <= 1)).all()
+    total = got.tokens.sum()
+    assert abs((got.p * got.tokens).sum() / total - mixing.FRACTION) < 1e-5
+    for axis in mixing.AXES:
+        mass, share = got.groupby(axis).tokens.sum(), (got.p * got.tokens).groupby(got[axis]).sum()
+        open_ = share < mass * 0.9999  # the others are kept whole
+        ratio = (share / mass**mixing.TEMPER)[open_]
+        assert ratio.max() / ratio.min() < 1 + 1e-4, axis
+        whole = (mass / mass**mixing.TEMPER)[~open_]
+        assert not len(whole) or whole.max() <= ratio.min() * (1 + 1e-4)
+
+
+def test_mixing_says_when_targets_contradict_each_other(spark):
+    """Source b is German alone: half the sample from b and a tenth German cannot both hold."""
+    rows = [(i, "word " * 10, "de" if i % 2 else "en", "b" if i % 2 else "a") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="contradict"):
+        out = mixing.mix(docs, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}}, fraction=0.5).toPandas()
+    assert len(out) == 200 and ((out.p >= 0) & (out.p <= 1)).all()
