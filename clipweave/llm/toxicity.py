@@ -318,9 +318,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, chars: int =
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = there.filter("toxic in (0, 1)").withColumn("r", rank).filter(F.col("r") <= per_class).select("doc_id", "toxic")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, chars).alias("text"))
-    rows = text.join(F.broadcast(chosen), "doc_id").collect()  # broadcast and result: at most 2 * per_class rows
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))[: 4 * per_class]
-    return train([r.text for r in rows], [r.toxic for r in rows], prior=n.get(1, 0) / max(1, sum(n.values())))
+    # one row an id: at most 2 * per_class rows are broadcast, and reach the one task that trains
+    rows = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    prior = n.get(1, 0) / max(1, sum(n.values()))
+
+    def work(batches):
+        known = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)]
+        known.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+        net = train([r[1] for r in known], [r[2] for r in known], prior=prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    made = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(work, "net binary").collect()  # one row of fixed size
+    return pickle.loads(made[0].net) if made else train([], [], prior=prior)
 
 
 @functools.lru_cache(maxsize=2)
