@@ -98,7 +98,7 @@ def test_registered_mixing_with_a_hot_source_meets_what_targets_ask(spark, tmp_p
     """A source holds a third of all tokens, and the others are nearly used up: targets bind each other."""
     rng = random.Random(9)
     forms = ["", "", "", "", "", "", "", " | ", "!! ", "### "]
-    rows = [(i, "word " * rng.randint(1, 40) + rng.choice(forms), rng.choice(["en"] * 4 + ["de", "fr"]), rng.choice([f"s{k}" for k in range(12)] + ["s0"] * 6)) for i in range(6000)]
+    rows = [(i, "word " * rng.randint(1, 40) + rng.choice(forms), rng.choice(["en"] * 4 + ["de", "fr"]), rng.choice([f"s{k}" for k in range(12)] + ["s0"] * 4)) for i in range(6000)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["op5_mixing"](spark, str(tmp_path)).toPandas()
     assert ((got.p >= 0) & (got.p <= 1)).all()
