@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.readers import read_documents
+
 # fixed values: the keys of an episode document in order, and what stands where a clip has nothing to say
 KEYS = [
     "clip", "duration_sec", "goal", "instruction", "direction", "phase_switch_sec", "objects", "environment", "meta",
@@ -132,6 +134,13 @@ def write_episode_files(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").partitionBy("clip_id").text(path)
 
 
-def read_episode_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Documents back as rows (``schema``: DDL of the keys to read)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def write_episode_lines(lines: DataFrame, path: str) -> None:
+    """Documents one a line, many to a file: a folder of many clips costs files by its size, not by its clips. A document's
+    pieces come one after the other with blanks between, so none is held here either."""
+    ends = F.startswith("line", F.lit(f'"{KEYS[-1]}": '))  # records start with a bracket or a comma
+    lines.select(F.concat("line", F.when(ends, "\n").otherwise("")).alias("line")).write.mode("overwrite").option("lineSep", " ").text(path)
+
+
+def read_episode_files(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Documents back as rows (``schema``: DDL of the keys to read); ``lines``: written by `write_episode_lines`."""
+    return read_documents(spark, path, schema, lines)

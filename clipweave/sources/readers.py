@@ -14,9 +14,15 @@ def _us(sec: Column) -> Column:
     return F.round(sec * 1_000_000).cast("long")
 
 
-def read_episodes(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str], schema: str, lines: bool = False) -> DataFrame:
+    """JSON documents, one a file, or with ``lines`` one a line: then many share a file, which is read in byte ranges."""
+    reader = spark.read.schema(schema)
+    return (reader.option("lineSep", "\n") if lines else reader.option("multiLine", True)).json(path)
+
+
+def read_episodes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Episode documents; missing keys read as NULL."""
-    return spark.read.schema(S.EPISODE).option("multiLine", True).json(path)
+    return read_documents(spark, path, S.EPISODE, lines)
 
 
 def episode_segments(episodes: DataFrame) -> DataFrame:

@@ -79,3 +79,21 @@ def test_parts_move_times_and_numbers(spark, rows):
     assert {(r.seg, r.code) for r in got["qa"].collect()} == {(-1, "whole"), (2, "one"), (None, "none")}
     assert rows(got["transitions"], "t_us", "kind") == [(105, "x"), (257, "y")]
     assert rows(got["track"], "start_us", "end_us", "object") == [(251, 252, "cup")] and "part" not in got["track"].columns
+
+
+def test_many_documents_share_a_file(spark, tables):
+    """One document a line: files do not grow in number with the clips, and documents are those of a file a clip."""
+    segs, lanes, flags, qa = tables
+    heads = spark.range(1, 301).selectExpr("id as clip_id", "id * 1000000 as dur_us", "concat('goal\n\"override_applied\": ', id) as goal")
+    lines = E.episode_lines(heads, E.timeline_sections(segs, lanes, flags, qa))
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/d"
+    E.write_episode_lines(lines, path)
+    files = glob.glob(f"{path}/*.txt")
+    assert len(files) <= 8
+    got = {}
+    for f in files:
+        with open(f) as file:
+            got.update({d["clip"]: d for d in map(json.loads, filter(str.strip, file))})
+    assert got == documents(spark, heads, E.timeline_sections(segs, lanes, flags, qa)) and len(got) == 300
+    back = E.read_episode_files(spark, path, "clip string, goal string, segments array<struct<start_sec: double>>", lines=True)
+    assert {(r.clip, r.goal, len(r.segments)) for r in back.collect()} == {(k, d["goal"], len(d["segments"])) for k, d in got.items()}
