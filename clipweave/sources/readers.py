@@ -34,29 +34,42 @@ def episode_segments(episodes: DataFrame) -> DataFrame:
     )
 
 
-def read_index(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_index(spark: SparkSession, paths: list[str], packed: bool = False) -> DataFrame:
     """Grounding index shards (JSON arrays), tagged with their folder.  File sources skip names that start
-    with ``_`` or ``.``, so shards must be published under other names."""
+    with ``_`` or ``.``, so shards must be published under other names. ``packed``: the shards of many folders in one
+    text file, a shard being one line of its folder's name, a tab and the array."""
     schema = "file string, tag string, hand string, t double, seg_id string, `primary` boolean, obj boolean, name string, conf double, low_conf boolean, src string"
-    df = spark.read.schema(schema).option("multiLine", True).json(paths)
-    folder = F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2))
-    return df.withColumn("folder", folder).withColumn("t_us", _us(F.col("t")))
+    if packed:
+        folder, array = _unpacked("value")
+        rows = F.from_json(array, f"array<struct<{schema}>>")
+        bad = F.array(F.lit(None).cast(f"struct<{schema}>"))  # as in a file: a row of NULLs
+        df = spark.read.option("lineSep", "\n").text(paths).select(F.nullif(folder, F.lit("")).alias("folder"), F.inline(F.coalesce(rows, bad)))
+    else:
+        df = read_documents(spark, paths, schema)
+        df = df.withColumn("folder", F.try_element_at(F.split(F.col("_metadata.file_path"), "/"), F.lit(-2)))
+    return df.withColumn("t_us", _us(F.col("t")))
 
 
-def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+def _unpacked(line: str) -> tuple[Column, Column]:
+    """Name and rest of a line of a packed file."""
+    name = F.substring_index(line, "\t", 1)
+    return name, F.substring(line, F.length(name) + 2, F.length(line))
+
+
+def read_prompts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Prompt documents as rows, keyed by time in milliseconds."""
     p = (
         "struct<t: double, hand: string, seg_id: string, `primary`: boolean, x_px: int, y_px: int, box_px: array<int>, hull_px: array<array<int>>, "
         "thumb_px: array<int>, index_px: array<int>, grip: double, seg: array<double>>"
     )
-    df = spark.read.schema(f"video string, W int, H int, fps double, prompts array<{p}>").option("multiLine", True).json(path)
+    df = read_documents(spark, path, f"video string, W int, H int, fps double, prompts array<{p}>", lines)
     df = df.select("video", "W", "H", F.explode("prompts").alias("p")).select("video", "W", "H", "p.*")
     return df.withColumn("t_ms", F.round(F.col("t") * 1000).cast("long"))
 
 
-def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+def read_inventory(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Inventories whose elements are a plain name or an object with name and role."""
-    df = spark.read.schema("tag string, objects array<string>").option("multiLine", True).json(path)
+    df = read_documents(spark, path, "tag string, objects array<string>", lines)
     df = df.select("tag", F.posexplode("objects").alias("ord", "o"))
     o = F.from_json("o", "name string, role string")
     is_obj = F.startswith(F.ltrim("o"), F.lit("{"))
@@ -71,28 +84,31 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.get(parts, F.lit(0)).alias("dataset"), F.get(parts, F.lit(1)).alias("clip"))
 
 
-def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("dataset string, name string, ann string, split string, frames string").option("multiLine", True).json(path)
+def read_manifest_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return read_documents(spark, path, "dataset string, name string, ann string, split string, frames string", lines)
 
 
-def read_logs(spark: SparkSession, glob: str) -> DataFrame:
+def read_logs(spark: SparkSession, glob: str, packed: bool = False) -> DataFrame:
     """Console log lines with their file; batch logs are left out. ``pos`` is the line's number in the file.
 
     Files are read in byte ranges, so a long log is read by many tasks: lines are numbered inside their range, and
-    a table with one row a range says how many lines come before it."""
+    a table with one row a range says how many lines come before it. ``packed``: many logs in one file, every line led by
+    its log's name and a tab, a log's lines in order and in one such file; ranges are then counted log by log."""
+    name, rest = _unpacked("value") if packed else (F.col("_metadata.file_name"), F.col("value"))
     df = spark.read.option("lineSep", "\n").text(glob).select(
         F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_name").alias("file"),
+        name.alias("file"),
         F.col("_metadata.file_block_start").alias("_from"),
         F.monotonically_increasing_id().alias("_at"),  # in the order of the range
-        F.regexp_replace("value", "\r$", "").alias("line"),
+        F.regexp_replace(rest, "\r$", "").alias("line"),
     )
     df = df.where(~F.contains("file", F.lit("_batch")))
-    ranges = df.groupBy("_path", "_from").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("_path", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = F.row_number().over(Window.partitionBy("_path", "_from").orderBy("_at")) - 1
-    numbered = df.withColumn("_in", inside).join(ranges, ["_path", "_from"])
+    log = ["file", "_path"] if packed else ["_path"]
+    ranges = df.groupBy(*log, "_from").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*log).orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*log, "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy(*log, "_from").orderBy("_at")) - 1
+    numbered = df.withColumn("_in", inside).join(ranges, [*log, "_from"])
     return numbered.select("file", (F.col("_off") + F.col("_in")).alias("pos"), "line")
 
 
@@ -126,10 +142,10 @@ def read_keypoints(spark: SparkSession, path: str) -> DataFrame:
     return df.select("file", "hand_id", "h.*")
 
 
-def read_contact_annotations(spark: SparkSession, path: str) -> DataFrame:
+def read_contact_annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Per-frame entities with the entity each one touches."""
     ent = "struct<id: string, name: string, in_contact_object: string>"
-    df = spark.read.schema(f"video_annotations array<struct<image: struct<name: string>, annotations: array<{ent}>>>").option("multiLine", True).json(path)
+    df = read_documents(spark, path, f"video_annotations array<struct<image: struct<name: string>, annotations: array<{ent}>>>", lines)
     f = df.select(F.explode("video_annotations").alias("f")).select(F.col("f.image.name").alias("frame"), F.explode("f.annotations").alias("e"))
     return f.select("frame", F.col("e.id").alias("entity"), F.col("e.name").alias("name"), F.col("e.in_contact_object").alias("in_contact"))
 
