@@ -181,23 +181,28 @@ def text_pages(lines: DataFrame, page: int = 1000, sep: str = "\n") -> DataFrame
 
 @by_size
 def sequence_review(segs: DataFrame, blocks: Blocks | None = None) -> DataFrame:
-    """Advisory: adjacent duplicates, runs of four or more on a hand, a deposit with nothing acquired."""
+    """Advisory: adjacent duplicates, runs of four or more on a hand, a deposit with nothing acquired.
+
+    Both hands have a label in every segment, so they stay beside one another: all three findings come from windows over
+    one order of the segments, which are sorted once."""
     o = Ordered(KEY, ["start_us"], blocks)
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("n/a"))))
-    s = segs.select("clip_id", "seg", "start_us", low("left_label").alias("left_label"), low("right_label").alias("right_label"))
-    d = o.neighbours(s, prev={"pl": "left_label", "pr": "right_label"})
-    dup = d.where((F.col("pl") == F.col("left_label")) & (F.col("pr") == F.col("right_label")))
-    h = unpivot_hands(s)
-    oh = Ordered(["clip_id", "hand"], ["start_us"], blocks)
-    runs = oh.islands(h, {"l": F.col("label")}).groupBy("clip_id", "hand", "run").agg(F.min("seg").alias("seg"), F.count("*").alias("n"))
-    acq, dep = X.has_verb("label", X.PICK_VERBS), X.has_verb("label", X.RELEASE_VERBS)
-    bal = oh.running(h, {"_a": ("sum", acq.cast("long")), "_d": ("sum", dep.cast("long"))}, exclusive=True)
-    lone = bal.where(dep & (F.coalesce("_a", F.lit(0)) <= F.coalesce("_d", F.lit(0))))
-    return (
-        dup.select("clip_id", "seg", F.lit("both").alias("hand"), F.lit("adjacent_duplicate?").alias("type"))
-        .union(runs.where(F.col("n") >= 4).select("clip_id", "seg", "hand", F.lit("long_run?")))
-        .union(lone.select("clip_id", "seg", "hand", F.lit("deposit_without_acquire?")))
-    )
+    s = segs.select("clip_id", "seg", "start_us", low("left_label").alias("left"), low("right_label").alias("right"))
+    hands = ("left", "right")
+    no = F.lit(False)
+    d = o.neighbours(s, prev={f"_p{h}": h for h in hands})
+    d = d.select(*s.columns, *[F.coalesce(F.col(f"_p{h}") == F.col(h), no).alias(f"_{h}0") for h in hands])  # goes on as before
+    for i in (1, 2, 3):  # and so do the segments after it
+        d = o.neighbours(d, next={f"_{h}{i}": f"_{h}{i - 1}" for h in hands})
+    acq, dep = (lambda h: X.has_verb(h, X.PICK_VERBS)), (lambda h: X.has_verb(h, X.RELEASE_VERBS))
+    d = o.running(d, {f"_{n}{h}": ("sum", f(h).cast("long")) for h in hands for n, f in (("a", acq), ("d", dep))}, exclusive=True)
+    found = lambda cond, hand, kind: F.when(cond, F.struct(F.lit(hand).alias("hand"), F.lit(kind).alias("type")))
+    items = [found(F.col("_left0") & F.col("_right0"), "both", "adjacent_duplicate?")]
+    for h in hands:
+        goes_on = [F.coalesce(f"_{h}{i}", no) for i in (1, 2, 3)]
+        items.append(found(~F.col(f"_{h}0") & goes_on[0] & goes_on[1] & goes_on[2], h, "long_run?"))
+        items.append(found(dep(h) & (F.coalesce(f"_a{h}", F.lit(0)) <= F.coalesce(f"_d{h}", F.lit(0))), h, "deposit_without_acquire?"))
+    return d.select("clip_id", "seg", F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
 
 
 @by_size

@@ -225,3 +225,14 @@ def test_clip_findings_reach_the_document(spark):
     clips = spark.createDataFrame([(1, SEC)], "clip_id long, dur_us long")
     doc = K.assemble_episodes(s, lanes, flags, qa, clips).first()
     assert [(q.seg, q.code) for q in doc["_qa"].violations] == [(0, "DIRECTION-CONFLICT")]
+
+
+def test_sequence_review_sorts_once(spark, rows):
+    """One order of the segments serves all findings: a task sorts and groups its rows once, not seven times."""
+    labels = ["hold a"] * 4 + ["put b"] * 3 + [None, "n/a", "N/A ", "n/a"] + ["pick up c", "put c", "put c"]
+    data = [(1, i, i * 10, i * 10 + 10, l, f"hold {i}" if i else None) for i, l in enumerate(labels)]
+    segs = spark.createDataFrame(data, "clip_id long, seg long, start_us long, end_us long, left_label string, right_label string")
+    got = A.sequence_review(segs)
+    assert [r for r in rows(got, "seg", "hand", "type") if r[2] == "long_run?"] == [(0, "left", "long_run?"), (7, "left", "long_run?")]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 1 and "HashAggregate" not in plan
