@@ -45,20 +45,21 @@ def track_stream(contact: DataFrame, min_us: int, empty_split: int, delay: str,
     passed them; an event-time timer releases them in order of time, so rows late by less than the delay take their
     place. The state holds the open interval and the rows of one delay. With ``idle_us`` an interval also ends
     where that long nothing came, which lets a hand that went silent be forgotten."""
+    import pickle
+
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     out = "clip_id bigint, hand string, start_us bigint, end_us bigint, object string"
-    waiting = "struct<ts:bigint,t:bigint,shown:string,same:string,ties:array<string>,empty:boolean>"
-    state = f"start_us bigint, end_us bigint, same string, ties array<string>, votes map<string,bigint>, empties bigint, last bigint, rows array<{waiting}>"
+    # waiting rows (ts, t, shown, same, ties, empty) are kept as one binary value, which Spark need not take apart
+    state = "start_us bigint, end_us bigint, same string, ties array<string>, votes map<string,bigint>, empties bigint, last bigint, rows binary"
 
     def step(key, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        *interval, last, rows = st.get if st.exists else (None, None, None, [], {}, 0, None, [])
+        *interval, last, rows = st.get if st.exists else (None, None, None, [], {}, 0, None, None)
         hand = Possession(min_us, empty_split, tuple(interval))
-        rows, done = [tuple(r) for r in rows], []
+        rows, done = pickle.loads(bytes(rows)) if rows else [], []
         if not st.hasTimedOut:
             for b in batches:
-                ts = [x.value // 1000 for x in b["ts"]]
-                rows += zip(ts, b["t_us"].tolist(), b["_shown"].tolist(), b["_same"].tolist(), map(list, b["_ties"]), b["_empty"].tolist(), strict=True)
+                rows += zip(b["_ts"].tolist(), b["t_us"].tolist(), b["_shown"].tolist(), b["_same"].tolist(), map(list, b["_ties"]), b["_empty"].tolist(), strict=True)
         passed = st.getCurrentWatermarkMs() * 1000
         for ts, *frame in sorted(r for r in rows if r[0] <= passed):
             if idle_us is not None and last is not None and ts - last >= idle_us:
@@ -73,15 +74,16 @@ def track_stream(contact: DataFrame, min_us: int, empty_split: int, delay: str,
             if st.exists:
                 st.remove()
         else:
-            st.update((*hand.state(), last, rows))
+            st.update((*hand.state(), last, pickle.dumps(rows) if rows else None))
             if ring is not None:
                 st.setTimeoutTimestamp(max(st.getCurrentWatermarkMs(), ring // 1000) + 1)
         found = [(key[0], key[1], *d) for d in done if d]
-        yield pd.DataFrame(found, columns=["clip_id", "hand", "start_us", "end_us", "object"])
+        if found:
+            yield pd.DataFrame(found, columns=["clip_id", "hand", "start_us", "end_us", "object"])
 
     says = frame_columns()
     rows = contact.select(
-        "clip_id", "hand", "ts", "t_us", says["shown"].alias("_shown"), says["same"].alias("_same"), says["ties"].alias("_ties"), says["empty"].alias("_empty")
+        "clip_id", "hand", "ts", F.unix_micros("ts").alias("_ts"), "t_us", says["shown"].alias("_shown"), says["same"].alias("_same"), says["ties"].alias("_ties"), says["empty"].alias("_empty")
     )
     g = rows.withWatermark("ts", delay).groupBy("clip_id", "hand")
     return g.applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
