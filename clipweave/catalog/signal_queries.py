@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import joins as J
 from ..operators import signal as S
 from ..plans.cut import cut
+from ..plans.ranges import levels_in_use
 from .registry import query
 from .text_queries import HANDS, UNS, SCR, hands
 from .timeline_queries import DIRECTION_CTES, SUMMARY, runs_sql, summary, thin_sql
@@ -69,6 +71,13 @@ def shared_energy(v):
     return cut(energy(v))
 
 
+def measured(v):
+    """(speed, energy, threshold) that spans and facts read: written once."""
+    sp = cut(speed(v))
+    e = cut(S.motion_energy(sp))
+    return sp, e, cut(S.adaptive_threshold(e, v.blocks))
+
+
 @query("smooth_signal", "SELECT clip_id, hand, t_us, x_smooth, y_smooth FROM s1", *ENERGY[:2])
 def _(v):
     return S.smooth(signals(v), ["x", "y"], 2, v.ordered(("clip_id", "hand"))).select("clip_id", "hand", "t_us", "x_smooth", "y_smooth")
@@ -119,17 +128,17 @@ TILE = (
 SPANS = (*ENERGY, *THR, *HOT, *MERGED, *SPLIT, *TILE)
 
 
-def hot(v, e):
-    return S.hot_runs(e, S.adaptive_threshold(e, v.blocks), v.blocks)
+def hot(v, e, thr=None):
+    return S.hot_runs(e, S.adaptive_threshold(e, v.blocks) if thr is None else thr, v.blocks)
 
 
-def merged(v, e):
-    return S.merge_bursts(hot(v, e), GAP, MINB, v.blocks)
+def merged(v, e, thr=None):
+    return S.merge_bursts(hot(v, e, thr), GAP, MINB, v.blocks)
 
 
-def spans(v, e=None):
+def spans(v, e=None, thr=None):
     e = shared_energy(v) if e is None else e
-    b = cut(S.split_bursts(cut(merged(v, e)), e, _MS, 5 * DAY, v.blocks))
+    b = cut(S.split_bursts(cut(merged(v, e, thr)), e, _MS, 5 * DAY, v.blocks))
     t = S.tile_spans(b, v.clips(), _MA, _TL, v.blocks)
     return cut(v.ordered(order=("start_us",)).number(t, "seg"))
 
@@ -174,12 +183,17 @@ facts AS (SELECT a.clip_id, a.seg, a.hand, a.type, CASE WHEN a.mean_speed > thr
 FACTS = (*SPANS, _INS, _EDGE, _FACT)
 
 
-def facts(v, s=None, times=1):
-    sp = cut(speed(v))
-    e = S.motion_energy(sp)
-    s = spans(v, e) if s is None else s
-    thr = S.adaptive_threshold(e, v.blocks).withColumn("thr", F.col("thr") * times)
-    return S.segment_facts(signals(v), sp, s, thr, _MAXT, 5 * DAY, v.blocks)
+def facts(v, m=None, s=None, times=1):
+    sp, e, thr = measured(v) if m is None else m
+    s = spans(v, e, thr) if s is None else s
+    return S.segment_facts(signals(v), sp, s, thr.withColumn("thr", F.col("thr") * times), _MAXT, 5 * DAY, v.blocks, J.span_levels(s, 5 * DAY))
+
+
+def facts_and_rotation(v):
+    """Both over the same spans, from speeds that are worked out once."""
+    m = measured(v)
+    s = spans(v, *m[1:])
+    return facts(v, m, s), rotation(v, s)
 
 
 @query("edge_median_grip", "SELECT * FROM edg WHERE g0 IS NOT NULL", *SPANS, _INS, _EDGE)
@@ -197,6 +211,11 @@ _ROTS = """rsam AS (SELECT clip_id, t_us, hand, CASE WHEN hand = 'left' THEN k *
 rot0 AS (SELECT s.clip_id, s.seg, r.hand, CAST(sum(curl) AS DOUBLE) / count(curl) AS curl, CAST(sum(abs(curl)) AS DOUBLE) / count(curl) AS mag FROM spans s JOIN rsam r ON r.clip_id = s.clip_id AND r.t_us BETWEEN s.start_us AND s.end_us GROUP BY 1,2,3)"""
 
 
+def rotation_by_span(v, s=None):
+    s = spans(v) if s is None else s
+    return S.segment_rotation(rotation_samples(v), s, 5 * DAY, levels_in_use(s, F.col("start_us"), F.col("end_us"), 5 * DAY))
+
+
 def rotation_samples(v):
     s = signals(v)
     k = F.col("k").cast("long")
@@ -205,7 +224,7 @@ def rotation_samples(v):
 
 @query("segment_rotation", "SELECT * FROM rot0", *SPANS, _ROTS)
 def _(v):
-    return S.segment_rotation(rotation_samples(v), spans(v), 5 * DAY)
+    return rotation_by_span(v)
 
 
 _RW = """rw AS (SELECT clip_id, seg, max(curl) FILTER (hand='left') AS l_curl, max(curl) FILTER (hand='right') AS r_curl, max(mag) FILTER (hand='left') AS l_mag, max(mag) FILTER (hand='right') AS r_mag FROM rot0 GROUP BY 1,2),
@@ -219,7 +238,7 @@ ROT = (*SPANS, _ROTS, *DIRECTION_CTES, SUMMARY, _RW)
 
 
 def rotation(v, s=None):
-    r = S.segment_rotation(rotation_samples(v), spans(v) if s is None else s, 5 * DAY)
+    r = rotation_by_span(v, s)
     one = lambda h, c: F.max(F.when(F.col("hand") == h, F.col(c)))
     w = cut(r.groupBy("clip_id", "seg").agg(one("left", "curl").alias("l_curl"), one("right", "curl").alias("r_curl"), one("left", "mag").alias("l_mag"), one("right", "mag").alias("r_mag")))
     return S.calibrate(w, summary(v).select("clip_id", F.col("majority").alias("direction")), 300.0, v.blocks)
@@ -239,8 +258,7 @@ _CLS = """CASE WHEN type = 'transition' AND (acting = 'both' OR acting = f.hand)
 
 @query("idle_segments", "SELECT * FROM idle", *_FR, _IDLE)
 def _(v):
-    s = spans(v)
-    return S.idle_segments(facts(v, s=s), rotation(v, s))
+    return S.idle_segments(*facts_and_rotation(v))
 
 
 @query("action_classes", f"SELECT f.clip_id, f.seg, f.hand, {_CLS} AS cls FROM facts f", *FACTS)
@@ -261,14 +279,12 @@ def violations(v, f, r):
 
 @query("contract_violations", "SELECT * FROM viol", HANDS, *_FR, _VIOL)
 def _(v):
-    s = spans(v)
-    return violations(v, facts(v, s=s), rotation(v, s))
+    return violations(v, *facts_and_rotation(v))
 
 
 @query("relabel_set", "SELECT DISTINCT clip_id, seg FROM viol v WHERE NOT EXISTS (SELECT 1 FROM idle i WHERE i.clip_id = v.clip_id AND i.seg = v.seg)", HANDS, *_FR, _IDLE, _VIOL)
 def _(v):
-    s = spans(v)
-    f, r = cut(facts(v, s=s)), cut(rotation(v, s))
+    f, r = map(cut, facts_and_rotation(v))
     return S.relabel_set(violations(v, f, r), S.idle_segments(f, r))
 
 

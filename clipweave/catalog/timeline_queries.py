@@ -69,7 +69,7 @@ DIRECTION_CTES = (BURSTS, _POINTS, _DRUNS, _DR)
 
 
 def points(v):
-    return bursts(v).select("clip_id", "t_us", X.direction_class("verdict").alias("direction"))
+    return X.direction_points(bursts(v), "verdict", "clip_id", "t_us")
 
 
 @query(

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..plans.asof import nearest
 from ..plans.containment import containment
 from ..plans.ordered import Blocks, Ordered, by_size
-from ..plans.ranges import overlapping, picked, points_in
+from ..plans.ranges import LEVELS, levels_in_use, overlapping, picked, points_in
 
 KEY = ["clip_id"]
 WIDTH = 10 * SEC
@@ -28,18 +28,25 @@ def frames_in_segments(frames: DataFrame, segs: DataFrame, slack: int = 50_000,
     return points_in(frames, segs, KEY, F.col("t_us"), F.col("start_us") - slack, F.col("end_us") + slack, width)
 
 
+def _span() -> tuple:
+    return F.col("start_us"), F.greatest(F.col("start_us"), F.col("end_us") - 1)
+
+
 @by_size
-def span_frames(frames: DataFrame, spans: DataFrame, width: int = WIDTH, blocks: Blocks | None = None) -> DataFrame:
-    """Frames from the first at or after the start through the first at or after the end, inclusive."""
+def span_frames(frames: DataFrame, spans: DataFrame, width: int = WIDTH, blocks: Blocks | None = None, levels=LEVELS) -> DataFrame:
+    """Frames from the first at or after the start through the first at or after the end, inclusive. ``levels`` are
+    those of ``span_levels``, where known."""
     f = Ordered(KEY, ["t_us"], blocks).neighbours(frames, prev={"_pt": "t_us"})
     f = f.withColumn("_pt", F.coalesce("_pt", F.lit(-1).cast("long")))
-    j = overlapping(
-        f, spans, KEY, (F.col("_pt"), F.col("t_us")),
-        (F.col("start_us"), F.greatest(F.col("start_us"), F.col("end_us") - 1)), width,
-    )
+    j = overlapping(f, spans, KEY, (F.col("_pt"), F.col("t_us")), _span(), width, b_levels=levels)
     return j.where((F.col("t_us") >= F.col("start_us")) & (F.col("_pt") < F.col("end_us"))).drop("_pt")
 
 
+def span_levels(spans: DataFrame, width: int) -> list[int]:
+    """Levels of the spans of `span_frames`; ``spans`` is a written table."""
+    return levels_in_use(spans, *_span(), width)
+
+
 def overlap_join(segs: DataFrame, track: DataFrame, key: list[str], margin: int = 100_000, width: int = WIDTH) -> DataFrame:
     """Track intervals reaching more than ``margin`` into a segment, with the covered length.
     Both sides have ``start_us, end_us``; the track's come back as ``iv_start, iv_end``."""

@@ -121,13 +121,19 @@ def overlapping(
     b_span: tuple[Column, Column],
     width: int,
     levels: Sequence[int] = LEVELS,
+    a_levels: Sequence[int] | None = None,
+    b_levels: Sequence[int] | None = None,
 ) -> DataFrame:
     """Pairs of spans that touch or overlap. Each pair is produced once: at the level of the longer of the two, in the
-    block where the later of the two begins."""
+    block where the later of the two begins. ``a_levels`` and ``b_levels`` are the levels in use on a side, where known:
+    the other side is then sent to its own level and to the longer ones of these only."""
     a, b = _spans(a, *a_span, width), _spans(b, *b_span, width)
 
-    reach = F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("_own"))  # where a longer partner may be stored
-    left, right = _stored(a, reach, width), _apart(_stored(b, reach, width), key, "_lv", "_b", "_lo", "_hi", "_own")
+    def reach(others):  # where a partner that is no shorter may be stored
+        partner = F.array(*map(F.lit, levels if others is None else others)).cast("array<int>")
+        return F.array_union(F.array("_own"), F.filter(partner, lambda x: x > F.col("_own")))
+
+    left, right = _stored(a, reach(b_levels), width), _apart(_stored(b, reach(a_levels), width), key, "_lv", "_b", "_lo", "_hi", "_own")
     cond = (F.col("_lv") == F.col("_lv2")) & (F.col("_b") == F.col("_b2")) & (F.col("_lo") <= F.col("_hi2")) & (F.col("_lo2") <= F.col("_hi"))
     cond = cond & (F.greatest("_own", "_own2") == F.col("_lv")) & (F.col("_b") == _block(F.greatest("_lo", "_lo2"), _width(F.col("_lv"), width)))
     for k in key:

@@ -97,3 +97,17 @@ def test_a_column_named_col_stays(spark, rows):
     assert rows(owner_segment(ev, segs, 0), "t_us", "col", "seg") == [(5, "x", 0), (5, "x", 0), (15, "y", 1)]
     assert rows(label_at(ev, segs, "closed"), "t_us", "col", "seg") == [(5, "x", 0), (5, "x", 0), (15, "y", 1)]
     assert edge_segment(ev, segs, "before", 5).columns == ["clip_id", "t_us", "col", "seg"]
+
+
+def test_overlapping_with_the_levels_in_use(data, rows, spark):
+    _, _, s, _ = data
+    o = spark.createDataFrame(spans_of(random.Random(9), 50), "clip_id string, id long, lo long, hi long")
+    a, b = (F.col("start_us"), F.col("end_us")), (F.col("lo"), F.col("hi"))
+    want = rows(ranges.overlapping(s, o, ["clip_id"], a, b, WIDTH), "seg", "id")
+    short = o.where(F.col("hi") - F.col("lo") < 9 * S)
+    assert ranges.levels_in_use(short, *b, WIDTH) == [0]
+    for right in (o, short):
+        on_a, on_b = ranges.levels_in_use(s, *a, WIDTH), ranges.levels_in_use(right, *b, WIDTH)
+        got = rows(ranges.overlapping(s, right, ["clip_id"], a, b, WIDTH, a_levels=on_a, b_levels=on_b), "seg", "id")
+        assert got == (want if right is o else rows(ranges.overlapping(s, short, ["clip_id"], a, b, WIDTH), "seg", "id"))
+        assert rows(ranges.overlapping(s, right, ["clip_id"], a, b, WIDTH, b_levels=on_b), "seg", "id") == got

@@ -236,3 +236,22 @@ def test_sequence_review_sorts_once(spark, rows):
     assert [r for r in rows(got, "seg", "hand", "type") if r[2] == "long_run?"] == [(0, "left", "long_run?"), (7, "left", "long_run?")]
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 1 and "HashAggregate" not in plan
+
+
+def test_direction_points_search_a_text_once(spark):
+    texts = ["unscrew the cap", "counter clockwise", "anticlockwise", "cannot determine, clockwise", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "t_us long, verdict string")
+    got = X.direction_points(df, "verdict", "t_us").where(F.col("direction").isNotNull())
+    assert sorted(map(tuple, got.collect())) == [(0, "DISASSEMBLY"), (1, "ASSEMBLY")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("assembling") <= df.select(X.direction_class("verdict"))._jdf.queryExecution().optimizedPlan().toString().count("assembling")
+    assert not any("lower(" in line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter"))
+
+
+def test_violations_work_speeds_out_once(spark, monkeypatch):
+    from clipweave import catalog
+
+    calls, speed = [], S.hand_speed
+    monkeypatch.setattr(S, "hand_speed", lambda *a, **kw: calls.append(1) or speed(*a, **kw))
+    catalog.SPARK["contract_violations"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
