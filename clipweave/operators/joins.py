@@ -9,6 +9,7 @@ from .. import SEC
 from ..functions import text as X
 from ..plans.asof import nearest
 from ..plans.containment import containment
+from ..plans.cut import cut
 from ..plans.ordered import Blocks, Ordered, by_size
 from ..plans.ranges import LEVELS, levels_in_use, overlapping, picked, points_in
 
@@ -194,8 +195,8 @@ def oov_words(hands: DataFrame, catalogue: DataFrame) -> DataFrame:
 def snap_vocab(pred: DataFrame, vocab: DataFrame) -> DataFrame:
     """Snap a free name to the clip's vocabulary: exact (any case), keep a composite that contains
     a known name, else the first known name containing it, else N/A.  Vocabulary order is ``ord``."""
-    low = pred.select("clip_id", F.lower("name").alias("_low")).where(F.col("_low").isNotNull()).distinct()
-    known = vocab.select("clip_id", "ord", "name", F.lower("name").alias("known"))
+    low = cut(pred.select("clip_id", F.lower("name").alias("_low")).where(F.col("_low").isNotNull()).distinct())
+    known = cut(vocab.select("clip_id", "ord", "name", F.lower("name").alias("known")))
     exact = known.groupBy("clip_id", F.col("known").alias("_low")).agg(F.max_by("name", F.struct("ord", "name")).alias("_exact"))
     # names that contain a known name, and the first known name that contains them
     inner = containment(known.withColumnRenamed("known", "needle"), low.withColumnRenamed("_low", "hay"), KEY)

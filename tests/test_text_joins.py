@@ -86,3 +86,21 @@ def test_rows_that_start_together_keep_input_order(spark, rows):
     raw = spark.createDataFrame([(1, 0, 90, "long", 0), (1, 0, 50, "short", 1), (1, 60, 100, "x", 2)], "clip_id long, start_us long, end_us long, left_label string, ord long").withColumn("right_label", F.lit("N/A"))
     assert rows(timeline.deoverlap(raw, 5), "start_us", "end_us", "left_label") == [(0, 90, "long"), (90, 100, "x")]
     assert rows(timeline.deoverlap(raw.drop("ord"), 5), "start_us", "end_us", "left_label") == [(0, 50, "short"), (50, 90, "long"), (90, 100, "x")]
+
+
+@pytest.mark.parametrize("few, many", [(64, 16_384), (6, 16_384), (64, 8), (0, 0)])
+def test_containment_of_keys_with_few_and_with_many_texts(spark, rows, monkeypatch, few, many):
+    from clipweave.plans import containment as module
+
+    monkeypatch.setattr(module, "FEW", few, raising=False)
+    monkeypatch.setattr(module, "MANY", many, raising=False)
+    rng = random.Random(few + many)
+    word = lambda: "".join(rng.choice("ab c") for _ in range(rng.randint(0, 6)))
+    texts = lambda n: [(k, word()) for k in "xyz" for _ in range(n * (1 + 4 * (k == "z")))] + [("x", None), (None, "a"), ("only", "b")]
+    needles, hays = texts(4), texts(6)
+    n, h = spark.createDataFrame(needles, "k string, needle string"), spark.createDataFrame(hays, "k string, hay string")
+    got = containment(n, h, ["k"])
+    want = {(k, a, b) for k, a in needles for c, b in hays if k is not None and k == c and a and b and a in b}
+    assert rows(got, "k", "needle", "hay") == sorted(want) and want
+    if few == 64 and many > 8:  # no grams where all keys have few texts
+        assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
