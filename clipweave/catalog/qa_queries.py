@@ -297,9 +297,18 @@ def directions(v):
     return summary(v).select("clip_id", F.col("majority").alias("direction"))
 
 
+def written(v):
+    """Segments, written once, their rows by hand and the levels of blocks that they and the track use."""
+    from ..operators.hands import unpivot_hands
+
+    segs = cut(v.segments())
+    return segs, unpivot_hands(segs.drop("k", "event_type")), Q.evidence_levels(v.track(), segs, U, DAY)
+
+
 @query("contact_findings", "SELECT * FROM qa1", HANDS, _QA1)
 def _(v):
-    return Q.contact_qa(v.track(), hands(v), U, DAY)
+    _, h, levels = written(v)
+    return Q.contact_qa(v.track(), h, U, DAY, levels)
 
 
 @query("segment_coverage", "SELECT clip_id, seg, hand, cover AS cover_us FROM qc WHERE cover IS NOT NULL", HANDS, _QA1)
@@ -313,7 +322,8 @@ def _(v):
 
 @query("track_consistency", "SELECT * FROM qa2", HANDS, _QA2)
 def _(v):
-    return Q.track_consistency(v.track(), hands(v), U, DAY)
+    _, h, levels = written(v)
+    return Q.track_consistency(v.track(), h, U, DAY, levels)
 
 
 @query("pair_mirror", "SELECT * FROM qa3", _QA3)
@@ -333,10 +343,8 @@ def _(v):
 
 @query("run_qa", "SELECT clip_id, seg, hand, code, detail FROM (SELECT * FROM qa1 UNION ALL SELECT * FROM qa2 UNION ALL SELECT * FROM qa3 UNION ALL SELECT * FROM qa4)", *QA)
 def _(v):
-    from ..operators.hands import unpivot_hands
-
-    segs = cut(v.segments())
-    return Q.run_qa(v.track(), segs, unpivot_hands(segs.drop("k", "event_type")), directions(v), U, DAY)
+    segs, h, levels = written(v)
+    return Q.run_qa(v.track(), segs, h, directions(v), U, DAY, levels)
 
 
 # ---- flagship --------------------------------------------------------------------------------------
@@ -360,7 +368,7 @@ def _(v):
 
     segs = cut(v.ordered(order=("start_us",)).number(cleaned(v), "seg"))
     h = unpivot_hands(segs)
-    reviewed = needs_review(segs, T.chained_labels(h), Q.contact_qa(v.track(), h, U, DAY))
+    reviewed = needs_review(segs, T.chained_labels(h), Q.contact_qa(v.track(), h, U, DAY, Q.evidence_levels(v.track(), segs, U, DAY)))
     return reviewed.groupBy("clip_id").agg(
         F.count("*").alias("n_segments"),
         F.sum("needs_review").alias("n_review"),

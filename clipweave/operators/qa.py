@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import SEC
 from ..functions import text as X
-from ..plans.ranges import overlapping
+from ..plans.ranges import levels_in_use, overlapping
 from .joins import WIDTH
 
 HAND_KEY = ["clip_id", "hand"]
@@ -18,7 +18,17 @@ def _segs(hands: DataFrame) -> DataFrame:
     return hands.select("clip_id", "hand", "seg", "start_us", "end_us", "label")
 
 
-def _evidence(track: DataFrame, hands: DataFrame, unit: int, width: int) -> DataFrame:
+def evidence_levels(track: DataFrame, segs: DataFrame, unit: int = SEC, width: int = WIDTH) -> tuple[list[int], list[int]]:
+    """The levels of blocks in use by the segments and by the track, for ``levels`` of the rules below. With
+    them each row is sent to the blocks of these only. Reads both, so ``segs`` is best a written table."""
+    return levels_in_use(segs, *_widened(unit), width), levels_in_use(track, F.col("start_us"), F.col("end_us"), width)
+
+
+def _widened(unit: int) -> tuple[Column, Column]:
+    return F.col("start_us") - (8 * unit // 10), F.col("end_us") + (8 * unit // 10)
+
+
+def _evidence(track: DataFrame, hands: DataFrame, unit: int, width: int, levels) -> DataFrame:
     """Every labelled row with what the track says about it: from one overlap join, wide enough for all rules,
     the time covered and first name inside, and around its start and end the first name and whether any agrees."""
     s = _segs(hands).withColumn("_obj", X.object_tokens("label"))
@@ -28,7 +38,7 @@ def _evidence(track: DataFrame, hands: DataFrame, unit: int, width: int) -> Data
         X.object_tokens("object").alias("_tokens"),
     ).where(F.col("_held") | F.col("_named"))
     before, after, inset = 8 * unit // 10, unit // 2, unit // 10
-    j = overlapping(s, iv, HAND_KEY, (F.col("start_us") - before, F.col("end_us") + before), (F.col("iv_start"), F.col("iv_end")), width)
+    j = overlapping(s, iv, HAND_KEY, _widened(unit), (F.col("iv_start"), F.col("iv_end")), width, a_levels=levels[0], b_levels=levels[1])
     inside = F.col("_held") & (F.col("iv_end") > F.col("start_us") + inset) & (F.col("iv_start") < F.col("end_us") - inset)
     near = lambda edge, tol: F.col("_named") & F.col(edge).between(F.col("iv_start") - tol, F.col("iv_end") + tol)
     order, agree = F.struct("iv_start", "iv_end"), F.arrays_overlap("_tokens", "_obj").cast("int")
@@ -70,14 +80,14 @@ def _findings(evidence: DataFrame, *rules: Column) -> DataFrame:
     return got.where(F.col("f").isNotNull()).select("clip_id", "seg", "hand", "f.code", "f.detail")
 
 
-def contact_qa(track: DataFrame, hands: DataFrame, unit: int = SEC, width: int = WIDTH) -> DataFrame:
+def contact_qa(track: DataFrame, hands: DataFrame, unit: int = SEC, width: int = WIDTH, levels=(None, None)) -> DataFrame:
     """Idle label while the track holds something, or an action while it holds nothing."""
-    return _findings(_evidence(track, hands, unit, width), _contact(unit))
+    return _findings(_evidence(track, hands, unit, width, levels), _contact(unit))
 
 
-def track_consistency(track: DataFrame, hands: DataFrame, unit: int = SEC, width: int = WIDTH) -> DataFrame:
+def track_consistency(track: DataFrame, hands: DataFrame, unit: int = SEC, width: int = WIDTH, levels=(None, None)) -> DataFrame:
     """A releasing hand must have held the object, a picking hand must hold it right after."""
-    return _findings(_evidence(track, hands, unit, width), _mismatch())
+    return _findings(_evidence(track, hands, unit, width, levels), _mismatch())
 
 
 def pair_exclusivity(segs: DataFrame) -> DataFrame:
@@ -108,10 +118,11 @@ def direction_conflict(hands: DataFrame, directions: DataFrame) -> DataFrame:
     )
 
 
-def run_qa(track: DataFrame, segs: DataFrame, hands: DataFrame, directions: DataFrame, unit: int = SEC, width: int = WIDTH) -> DataFrame:
-    """All findings; ``seg`` counts from 0 and -1 means the whole clip (documents add 1)."""
+def run_qa(track: DataFrame, segs: DataFrame, hands: DataFrame, directions: DataFrame, unit: int = SEC, width: int = WIDTH, levels=(None, None)) -> DataFrame:
+    """All findings; ``seg`` counts from 0 and -1 means the whole clip (documents add 1). ``levels`` are those of
+    `evidence_levels`, where known."""
     return (
-        _findings(_evidence(track, hands, unit, width), _contact(unit), _mismatch())
+        _findings(_evidence(track, hands, unit, width, levels), _contact(unit), _mismatch())
         .unionByName(pair_exclusivity(segs))
         .unionByName(direction_conflict(hands, directions))
     )

@@ -282,3 +282,13 @@ def test_robust_frame_medians_are_sorted_without_a_comparator(spark):
             want[r[2]] = min(good)[1] if good else r[2]
     assert {r.frame: r.use_frame for r in out.collect()} == want and any(k != f for k, f in want.items())
     assert "array_sort(" not in out._jdf.queryExecution().optimizedPlan().toString().replace("sort_array(", "")
+
+
+def test_run_qa_sends_rows_to_the_levels_in_use_only(spark, monkeypatch):
+    from clipweave import catalog
+
+    used, join = [], Q.overlapping
+    monkeypatch.setattr(Q, "overlapping", lambda *a, **kw: used.append((kw.get("a_levels"), kw.get("b_levels"))) or join(*a, **kw))
+    for name in ("run_qa", "contact_findings", "track_consistency"):
+        catalog.SPARK[name](spark, "/root/testdata/sf0.001")
+    assert used == [([0], [0])] * 3
