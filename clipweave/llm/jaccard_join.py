@@ -8,10 +8,17 @@ smallest hash as its pivot. Steps:
 
 1. Equal sets fall into one class. A sketch counts shingles over all documents; it only orders them, from
    rare to frequent, so its size bears on the cost and never on the result.
-2. Classes meet their regions' pivots; exact distances to pivots are computed, and links join components.
+2. Classes meet their regions' pivots - the member that holds the fewest shingles no other has, as the one in the
+   middle of a group of near copies does; exact distances to pivots are computed, and links join components.
 3. A region whose members are in one component is settled: nothing more can change the components there. In
-   the others the triangle inequality leaves, for each document, the window of members whose distance to
-   the pivot differs by at most the threshold; shingles that no other open document has bound overlaps. Further pivots (``GROWTH`` times as many in each round, until
+   the others, shingles that no other open component has bound overlaps and rule documents out.
+4. Around a pivot, documents are their differences from it, which are few for near copies. Two documents differ by what
+   only one of their differences holds, so two that link, and are not both linked with the pivot already, have common
+   differences, and the more the farther they are from the pivot. Pairs meet by the rarest of their differences
+   (prefix and positional filters) and are verified on the differences alone, exactly.
+5. Documents with less than ``1 - APART`` in common with the pivot, or too large or small to be compared with it, meet
+   in their regions: the triangle inequality leaves, for each, the window of members whose distance to
+   the pivot differs by at most the threshold. Further pivots (``GROWTH`` times as many in each round, until
    all members are) are compared with what is left, until all regions are settled.
 
 Regions are rows, never collected; a region of any size is spread by joins on pairs. Only the sketch
@@ -42,6 +49,8 @@ SIZE = 5
 PERCENT = 80
 BITS, SLICES = 23, 64
 GROWTH = 16
+MORE = 16  # the larger, the shorter the prefixes, and the fewer members they must have in common
+APART = 0.6  # distance from the pivot up to which differences are fewer than what is common
 _C = np.random.default_rng(20).integers(1, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -96,8 +105,9 @@ def key_of(s: np.ndarray, seed: int) -> int:
 
 
 def prefix(n: int) -> int:
-    """How many of a set's rarest members hold one of any set that reaches the threshold with it."""
-    return n - -(-PERCENT * n // 100) + 1
+    """How many of a set's rarest members hold, of any set of m that reaches the threshold with it, ``1 + min(n, m) // MORE``
+    of that set's own such members. One member less in the prefix is one less in common."""
+    return n - -(-PERCENT * n // 100) + 1 + n // MORE
 
 
 def bucket(s: np.ndarray) -> np.ndarray:
@@ -205,9 +215,68 @@ def compared(pairs: DataFrame, text: DataFrame, seed: int) -> DataFrame:
                 inter.append(same), either.append(len(both) - same)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ps, pa.int64()), pa.array(inter, pa.int64()), pa.array(either, pa.int64())], names=["x", "p", "inter", "either"])
 
+    return side_by_side(pairs, text).mapInArrow(work, "x long, p long, inter long, either long")
+
+
+def side_by_side(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """(x, p, tx, tp): both texts of each pair of classes."""
     one = pairs.join(text.select("x", F.col("text").alias("tx")), "x")
     two = one.join(text.select(F.col("x").alias("p"), F.col("text").alias("tp")), "p")
-    return two.select("x", "p", "tx", "tp").mapInArrow(work, "x long, p long, inter long, either long")
+    return two.select("x", "p", "tx", "tp")
+
+
+def differences(pairs: DataFrame, text: DataFrame, seed: int) -> DataFrame:
+    """(x, p, e): the shingles that one of the two classes of each pair has and the other lacks."""
+
+    def work(batches):
+        last, set_p = None, None
+        for batch in batches:
+            xs, ps = batch.column("x").to_pylist(), batch.column("p").to_pylist()
+            tx, tp = batch.column("tx"), batch.column("tp")
+            for i, (x, p) in enumerate(zip(xs, ps, strict=True)):
+                if p != last:
+                    last, set_p = p, sets_of([tp[i].as_py() or ""], seed)[0]
+                e = np.setxor1d(sets_of([tx[i].as_py() or ""], seed)[0], set_p, assume_unique=True).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([p], pa.int64()), pa.array([e], pa.list_(pa.int64()))], names=["x", "p", "e"])
+
+    return side_by_side(pairs, text).mapInArrow(work, "x long, p long, e array<long>")
+
+
+def linked_around(member: DataFrame, text: DataFrame, seed: int) -> DataFrame:
+    """(a, b): the links of classes of different components among the members (x, p, n, pn, root, far) that are
+    at most ``APART`` from their common pivot ``p``, but for classes that both link with it.
+
+    Sizes of symmetric differences take the place of Jaccard: sets of n and m shingles link when
+    (100 + PERCENT) * d <= (100 - PERCENT) * (n + m), where d = dx + dy - 2 * (common differences from the pivot).
+    """
+    up, down = 100 + PERCENT, 100 - PERCENT
+    close = kept(member.filter(F.col("far") <= APART).select("x", "p", "n", "pn", "root").distinct())
+    apart = kept(close.join(differences(close.select("x", "p"), text, seed), ["x", "p"]).withColumn("d", F.size("e").cast("long")))
+    each = apart.select("p", "x", "root", F.explode("e").alias("e"))
+    # only what several components have can be common to a pair that is looked for
+    held = each.groupBy("p", "e").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("p", "e", "df")
+    rank = F.row_number().over(Window.partitionBy("p", "x").orderBy("df", "e"))
+    count = F.count("*").over(Window.partitionBy("p", "x"))
+    some = each.select("p", "x", "e").join(held, ["p", "e"]).select("p", "x", "e", rank.alias("rank"), count.alias("can"))
+    row = some.join(apart.drop("e"), ["p", "x"])
+    # of what a partner must have in common, the least: a class that links with the pivot needs one that does not, whose
+    # distance from it is above the threshold; another's partners are at most 100 / PERCENT times its size
+    near_p = up * F.col("d") <= down * (F.col("n") + F.col("pn"))
+    with_far = up * F.col("d") + down * (F.col("pn") - F.col("n"))
+    twice = F.when(near_p, with_far).otherwise(2 * (up * F.col("d") - down * F.floor(F.col("n") * up / PERCENT)))
+    least = F.greatest(F.lit(1), F.ceil(twice / (2 * up)))
+    row = row.withColumn("near_p", near_p).withColumn("rest", F.col("can") - F.col("rank"))
+    row = kept(row.filter((F.col("can") >= least) & (F.col("rank") <= F.col("can") - least + 1)).select("p", "e", "x", "n", "d", "root", "near_p", "can", "rest"))
+    other = row.select("p", "e", *(F.col(c).alias(f"q_{c}") for c in ("x", "n", "d", "root", "near_p", "can", "rest")))
+    short = up * (F.col("d") + F.col("q_d")) - down * (F.col("n") + F.col("q_n"))  # 2 * up * what must be common
+    meets = (F.col("x") < F.col("q_x")) & (F.col("root") != F.col("q_root")) & ~(F.col("near_p") & F.col("q_near_p"))
+    # at the first common difference in the order, all other common ones come after it on both sides
+    enough = 2 * up * (1 + F.least("rest", "q_rest")) >= short
+    pairs = row.join(other, ["p", "e"]).filter(meets & compatible("n", "q_n") & enough)
+    pairs = kept(pairs.select("p", "x", "q_x", short.alias("short")).distinct())
+    one = pairs.join(apart.select("p", "x", "e"), ["p", "x"])
+    two = one.join(apart.select("p", F.col("x").alias("q_x"), F.col("e").alias("q_e")), ["p", "q_x"])
+    return two.filter(2 * up * F.size(F.array_intersect("e", "q_e")) >= F.col("short")).select(F.col("x").alias("a"), F.col("q_x").alias("b"))
 
 
 def lonely(text: DataFrame, seed: int) -> DataFrame:
@@ -244,8 +313,15 @@ def links(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
     member = blocks.select("x", "n", F.explode("rare").alias("s"))
     place = F.xxhash64("x", F.lit(1)).cast("double") / F.lit(2.0**64) + 0.5  # the order in which members become pivots
     shared = member.groupBy("s").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("s")
-    member = kept(member.join(shared, "s").distinct().withColumn("u", place))
-    elected = member.groupBy("s").agg(F.min(F.struct("u", "x", "n")).alias("p"), F.count("*").alias("m"))
+    member = member.join(shared, "s").distinct()
+    # a class needs as many shared ones as the smallest set that can reach the threshold with it: chance hits are fewer
+    member = member.withColumn("both", F.count("*").over(Window.partitionBy("x")))
+    member = member.filter(F.col("both") > F.floor(F.floor(F.col("n") * PERCENT / 100) / MORE))
+    # the part of them that is shared is largest in the middle of near copies
+    mine = 1 - F.col("both") / (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 + F.floor(F.col("n") / MORE))
+    member = kept(member.select("x", "n", "s", place.alias("u"), mine.alias("mine")))
+    elected = member.groupBy("s").agg(F.min(F.struct("mine", "u", "x", "n")).alias("p"), F.count("*").alias("m"))
+    member = member.drop("mine")
     member = member.join(elected.select("s", F.col("p.x").alias("p"), F.col("p.n").alias("pn"), "m"), "s")
     pairs = kept(member.filter("x <> p").filter(compatible("n", "pn")).select("x", "p").distinct())
     text = texts(rows, pairs, classes, seed)
@@ -265,6 +341,14 @@ def links(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
     own = lonely(text.join(open_, "x", "left_semi"), seed)
     member = member.join(own, "x", "left").withColumn("can", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     member = kept(member.filter(F.col("can") * 100 >= F.col("n") * PERCENT))
+    around = linked_around(member, text, seed)
+    old = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = kept(components(around.unionByName(old)))
+    # what is left for the regions: pairs of which one is far from the pivot, and the other not much nearer
+    step = 1 - PERCENT / 100 + 1e-9
+    out = F.coalesce(F.col("far") > APART, F.lit(True))
+    member = member.withColumn("out", out).filter(F.coalesce(F.col("far") > APART - step, F.lit(True)))
+    member = kept(unsettled(member, roots))
     most = member.agg(F.max("m")).first()[0] or 0
     share, full = 1, not most
     while not full:
@@ -274,13 +358,13 @@ def links(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
         part = F.col("u") * F.col("m")
         chosen = member.filter(part >= tried if tried > 1 else part >= 0)
         chosen = chosen if full else chosen.filter(part < share)
-        chosen = chosen.select("s", F.col("x").alias("q"), F.col("n").alias("qn"), F.col("u").alias("q_u"), F.col("root").alias("q_root"), F.col("far").alias("q_far"), F.col("can").alias("q_can"))
+        chosen = chosen.select("s", F.col("out").alias("q_out"), F.col("x").alias("q"), F.col("n").alias("qn"), F.col("u").alias("q_u"), F.col("root").alias("q_root"), F.col("far").alias("q_far"), F.col("can").alias("q_can"))
         over = F.least("can", "q_can")
         bound = over * 100 >= (F.col("n") + F.col("qn") - over) * PERCENT
-        window = F.coalesce(F.abs(F.col("far") - F.col("q_far")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
+        window = F.coalesce(F.abs(F.col("far") - F.col("q_far")) <= step, F.lit(True))
         # each pair once: with the pivot that comes first in the order, in that one's round
         once = (F.col("u") > F.col("q_u")) | ((F.col("u") == F.col("q_u")) & (F.col("x") > F.col("q")))
-        meet = member.join(chosen, "s").filter((F.col("root") != F.col("q_root")) & compatible("n", "qn") & bound & once & window)
+        meet = member.join(chosen, "s").filter((F.col("root") != F.col("q_root")) & compatible("n", "qn") & bound & once & window & (F.col("out") | F.col("q_out")))
         pairs = kept(meet.select("x", F.col("q").alias("p")).distinct())
         text = text.unionByName(texts(rows, pairs, classes, seed, text))
         more = compared(pairs, text, seed).filter(f"inter * 100 >= either * {PERCENT}").select(F.col("x").alias("a"), F.col("p").alias("b"))
