@@ -89,6 +89,27 @@ def test_join_of_near_copies_matches_all_pairs(spark, seed):
     check_join(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
 
 
+def test_near_copies_around_one_text_are_not_compared_all_with_all(spark, monkeypatch):
+    """Copies with few edits link with the text they come from; those with more must be told apart without all pairs."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(90)]
+    docs = [" ".join(base)]
+    for _ in range(119):
+        text = list(base)
+        for at in rng.sample(range(0, 90, 3), rng.choice([1, 2, 3])):
+            text[at] = rng.choice(["one", "two"])
+        docs.append(" ".join(text))
+    met = []
+
+    def counted(pairs, text, seed, form=jaccard_join.compared):
+        met.append(pairs.count())
+        return form(pairs, text, seed)
+
+    monkeypatch.setattr(jaccard_join, "compared", counted)
+    check_join(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert sum(met) <= 6 * len(docs)  # 522; 5,390 when further pivots were compared with all that was left
+
+
 def test_representatives(spark):
     docs = odd_documents(spark)
     out = jaccard_join.representatives(docs)
